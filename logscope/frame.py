@@ -1,5 +1,7 @@
 """A log view: lines plus an ordered set of named filters."""
 
+from __future__ import annotations
+
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,7 @@ from logscope.sources.memory import lines_from_text
 @dataclass(frozen=True)
 class Filter:
     label: str
-    keep: Column
+    test: filters.Predicate | Column
 
 
 @dataclass(frozen=True)
@@ -30,8 +32,8 @@ class LogFrame:
 
     # -- filters ---------------------------------------------------------------------
 
-    def with_filter(self, kind: str, label: str, keep: Column) -> "LogFrame":
-        return replace(self, filters={**self.filters, kind: Filter(label, keep)})
+    def with_filter(self, kind: str, label: str, test: filters.Predicate | Column) -> "LogFrame":
+        return replace(self, filters={**self.filters, kind: Filter(label, test)})
 
     def without(self, kind: str) -> "LogFrame":
         return replace(self, filters={k: f for k, f in self.filters.items() if k != kind})
@@ -73,7 +75,7 @@ class LogFrame:
 
     def _keep(self, df: DataFrame) -> DataFrame:
         for f in self.filters.values():
-            df = df.where(f.keep)
+            df = filters.where(df, f.test)
         return df
 
     @property
@@ -87,10 +89,7 @@ class LogFrame:
         return self._keep(df if "line_no" in df.columns else number_lines(df))
 
     def counts(self) -> DataFrame:
-        keep = F.lit(True)
-        for f in self.filters.values():
-            keep = keep & f.keep
-        return filters.filter_counts(self.lines, keep)
+        return filters.filter_counts(self.lines, *[f.test for f in self.filters.values()])
 
     # -- positions -------------------------------------------------------------------
 

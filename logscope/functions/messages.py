@@ -1,63 +1,70 @@
 """Message part of a line, under four definitions, and error-message clean-up."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logscope.functions import patterns as P
 from logscope.functions.severity import level_text
+from logscope.functions.staged import computed
 from logscope.functions.text import WHITE_SPACE, after_first, first_match, remove_first, strip
 from logscope.functions.timestamps import extract_ts
 
 PROFILES = ("csv", "detected", "separator", "contextual")
 
 
-def message(line: Column, profile: str = "csv", year: int | None = None, ts: Column | None = None) -> Column:
-    """``ts`` is the line's timestamp where a column has it already (profile ``csv``)."""
+def with_message(df: DataFrame, profile: str = "csv", year: int | None = None) -> DataFrame:
+    """``df`` with the ``message`` of its ``line``."""
+    line = F.col("line")
     if profile == "csv":
-        return _csv(line, extract_ts(line, "csv", year) if ts is None else ts)
-    if profile == "detected":
-        return detected_message(line, *_per_line_parts(line))
-    if profile == "separator":
-        return _after_separator(detected_message(line, *_per_line_parts(line)))
+        staged = computed(df, csv_ts=extract_ts(line, "csv", year))
+        return staged.withColumn("message", csv_message(line, F.col("csv_ts"))).drop("csv_ts")
+    if profile in ("detected", "separator"):
+        levels = F.coalesce(*[level_text(line, p) for p in P.DETECT_SEVERITIES])
+        staged = computed(df, found_ts=extract_ts(line, "detected"), found_level=levels)
+        staged = with_detected_message(staged, "found_ts", "found_level").drop("found_ts", "found_level")
+        return staged if profile == "detected" else computed_separator(staged)
     if profile == "contextual":
-        return _contextual(line)
+        ts = F.when(line.rlike(P.CLOCK), F.coalesce(
+            first_match(line, P.ISO_T_OR_SPACE + P.ISO_TAIL), first_match(line, P.SYSLOG_PADDED), first_match(line, P.US)
+        ))
+        staged = computed(df, found_ts=ts)
+        return computed(staged, message=contextual_message(line, F.col("found_ts"))).drop("found_ts")
     raise ValueError(f"unknown message profile {profile!r}, use one of {PROFILES}")
 
 
-def _csv(line: Column, ts: Column) -> Column:
+def csv_message(line: Column, ts: Column) -> Column:
+    """What follows the timestamp, a first word and a word like a host name."""
     text = after_first(line, ts)
     text = F.regexp_replace(text, r"(?s)^.*?(?:\s*[A-Za-z]+:\s+|\s+[A-Za-z]+\s+)", "")
     text = F.regexp_replace(F.ltrim(text, F.lit(WHITE_SPACE)), r"^[a-zA-Z0-9_-]+\s+", "")
-    return F.coalesce(text, line)
+    return F.when(ts.isNull(), line).otherwise(text)
 
 
-def _per_line_parts(line: Column) -> tuple[Column, Column]:
-    levels = F.coalesce(*[level_text(line, p) for p in P.DETECT_SEVERITIES])
-    return extract_ts(line, "detected"), levels
+def with_detected_message(df: DataFrame, ts: str, level: str) -> DataFrame:
+    """``message``: the line without its timestamp and level texts (each removed once)."""
+    part = lambda name: F.coalesce(F.col(name), F.lit(""))
+    df = df.withColumn("rest", remove_first(F.col("line"), part(ts)))
+    return df.withColumn("message", strip(remove_first(F.col("rest"), part(level)))).drop("rest")
 
 
-def detected_message(line: Column, ts: Column, level: Column) -> Column:
-    """``line`` without its timestamp and level texts (each removed once)."""
-    text = remove_first(line, F.coalesce(ts, F.lit("")))
-    return strip(remove_first(text, F.coalesce(level, F.lit(""))))
+def computed_separator(df: DataFrame) -> DataFrame:
+    """``message`` cut to what follows its last colon, or without colons its last ``- ``.
 
+    NULL if nothing is left or the rest looks like a comment.
+    """
+    text = F.replace(F.col("uncut"), F.lit("\r"), F.lit(""))
+    text = F.regexp_replace(text, r"(?s)^(?:.*:\s*|(?=.* - ).*- )", "")
+    text = F.nullif(F.regexp_replace(text, "(?s)^#.*$", ""), F.lit(""))
+    return computed(df.withColumnRenamed("message", "uncut"), message=text).drop("uncut")
 
-def _after_separator(text: Column) -> Column:
-    """After the last colon, or without colons after the last ``- ``; NULL if empty or a comment."""
-    text = F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("")), r"(?s)^(?:.*:\s*|(?=.* - ).*- )", "")
-    return F.nullif(F.regexp_replace(text, "(?s)^#.*$", ""), F.lit(""))
 
-
-def _contextual(line: Column) -> Column:
-    ts = F.coalesce(
-        first_match(line, P.ISO_T_OR_SPACE + P.ISO_TAIL), first_match(line, P.SYSLOG_PADDED), first_match(line, P.US)
-    )
-    # level word, else file:line:, else process[pid]:
+def contextual_message(line: Column, ts: Column) -> Column:
+    """What follows a level word, else ``file:line:``, else ``process[pid]:``."""
     lead = (
         rf"(?s)^(?:(?i:.*?\b(?:{P.MESSAGE_LEVELS})[: ] *)"
         r"|.*?[a-zA-Z0-9._-]+:[0-9]+: *|.*?[a-zA-Z0-9._-]+\[[0-9]+\]: *)"
     )
-    text = F.coalesce(F.regexp_replace(remove_first(line, ts), lead, ""), line)
+    text = F.when(ts.isNull(), line).otherwise(F.regexp_replace(remove_first(line, ts), lead, ""))
     return F.rtrim(F.ltrim(text, F.lit(" \t:")), F.lit(WHITE_SPACE))
 
 

@@ -1,7 +1,7 @@
 """Small string expressions shared by the extraction functions.
 
-They name their argument once wherever possible: Catalyst puts the whole argument in
-for every mention, so nested functions with several mentions grow exponentially.
+Most name their argument once: Catalyst puts the whole argument in for every mention,
+so nested functions with several mentions grow exponentially.
 """
 
 from functools import reduce
@@ -32,18 +32,18 @@ def classify(text: Column, classes, default: str) -> Column:
     return out.otherwise(default)
 
 
-def _split_at(text: Column, part: Column) -> Column:
-    return F.split(text, F.concat(F.lit("\\Q"), part, F.lit("\\E")), 2)
-
-
 def remove_first(text: Column, part: Column) -> Column:
-    """``text`` without the first literal occurrence of ``part``."""
-    return F.array_join(_split_at(text, part), "")
+    """``text`` without the first literal occurrence of ``part``; both should be plain columns."""
+    at = F.instr(text, part)
+    return F.when(
+        at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(part), F.length(text)))
+    ).otherwise(text)
 
 
 def after_first(text: Column, part: Column) -> Column:
-    """What follows the first literal occurrence of ``part``; ``text`` if absent."""
-    return F.element_at(_split_at(text, part), -1)
+    """What follows the first literal occurrence of ``part``; ``text`` if absent. Plain columns, too."""
+    at = F.instr(text, part)
+    return F.when(at > 0, F.substring(text, at + F.length(part), F.length(text))).otherwise(text)
 
 
 def strip(text: Column) -> Column:

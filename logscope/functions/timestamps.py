@@ -38,59 +38,70 @@ def _without_millis(digits: Column) -> Column:
 
 
 def extract_ts(line: Column, profile: str = "csv", year: int | None = None) -> Column:
-    """Timestamp text of ``line`` under ``profile``; NULL where there is none."""
+    """Timestamp text of ``line`` under ``profile``; NULL where there is none.
+
+    All forms but dates alone and epoch digits hold a clock; lines without one are
+    not searched for the less frequent of them.
+    """
     iso = [_blank_for_t(first_match(line, P.ISO_T)), first_match(line, P.ISO_SPACE)]
+
+    def clocked(*forms):
+        return F.when(line.rlike(P.CLOCK), F.coalesce(*forms))
+
     if profile == "csv":
-        return F.coalesce(*iso, _with_year(first_match(line, P.SYSLOG), year), first_match(line, P.US))
+        return F.coalesce(*iso, clocked(_with_year(first_match(line, P.SYSLOG), year), first_match(line, P.US)))
     if profile == "lexical":
         return F.coalesce(*iso)
     if profile == "view":
-        return F.coalesce(*iso, first_match(line, P.SYSLOG_PADDED), first_match(line, P.US))
+        return F.coalesce(*iso, clocked(first_match(line, P.SYSLOG_PADDED), first_match(line, P.US)))
     if profile == "api":
         return first_match(line, P.ISO_T_OR_SPACE)
     if profile == "detected":
-        return F.coalesce(*[first_match(line, p) for p in P.DETECT_TIMESTAMPS])
+        first, *others = [first_match(line, p) for p in P.DETECT_TIMESTAMPS]
+        return F.coalesce(first, clocked(*others))
     if profile == "rich":
         return F.coalesce(
-            _blank_for_t(first_match(line, P.ISO_T)),
+            iso[0],
             _blank_for_t(first_match(line, P.ISO_OPTIONAL_SEPARATOR)),
-            _with_year(first_match(line, P.SYSLOG_MONTH_YEAR), year),
-            first_match(line, P.US_BLANKS),
+            clocked(
+                _with_year(first_match(line, P.SYSLOG_MONTH_YEAR), year),
+                first_match(line, P.US_BLANKS),
+            ),
             _from_epoch(_without_millis(first_match(line, P.EPOCH_WORD))),
         )
     if profile == "range":
         noon = F.lit(" 12:00:00")
         return F.coalesce(
-            first_match(line, P.ISO_SPACE),
-            _blank_for_t(first_match(line, P.ISO_T)),
-            F.replace(first_match(line, P.ISO_PIPE), F.lit(" | "), F.lit(" ")),
+            iso[1],
+            iso[0],
+            clocked(F.replace(first_match(line, P.ISO_PIPE), F.lit(" | "), F.lit(" "))),
             F.concat(first_match(line, P.ISO_DATE), noon),
-            first_match(line, P.US),
+            clocked(first_match(line, P.US)),
             F.concat(first_match(line, P.US_DATE), noon),
-            _with_year(first_match(line, P.SYSLOG_MONTH), year),
+            clocked(_with_year(first_match(line, P.SYSLOG_MONTH), year)),
         )
     raise ValueError(f"unknown timestamp profile {profile!r}, use one of {PROFILES}")
 
 
-CLOCK = "[0-9]{2}:[0-9]{2}:[0-9]{2}"
-ISO_FORM = rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ]{CLOCK}(\.[0-9]+)?( ?(Z|[+-][0-9]{{2}}:?[0-9]{{2}}))?)?$"
-MONTH_FORM = rf"^[A-Za-z]{{3}} [0-9]{{1,2}} {CLOCK} [0-9]{{4}}$"
+ISO_FORM = rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ]{P.CLOCK}(\.[0-9]+)?( ?(Z|[+-][0-9]{{2}}:?[0-9]{{2}}))?)?$"
+MONTH_FORM = rf"^[A-Za-z]{{3}} [0-9]{{1,2}} {P.CLOCK} [0-9]{{4}}$"
 
 
 def to_ts(text: Column, year: int | None = None) -> Column:
     """TIMESTAMP of any of the supported written forms; NULL if it is none of them.
 
-    ISO with ``T`` or blank, fraction and zone optional; ``MM/DD/YYYY``; month name,
+    ``text`` should be a plain column. ISO with ``T`` or blank, fraction and zone optional; ``MM/DD/YYYY``; month name,
     day and clock with or without weekday and year; dates alone in the first two.
     """
     iso = F.regexp_replace(text, r"^([0-9]{2})/([0-9]{2})/([0-9]{4})( *)", "$3-$1-$2$4")
     iso = F.regexp_replace(F.translate(iso, "tz,", "TZ."), r"\s+", " ")
     month = F.regexp_replace(text, r"\s+", " ")
     month = _with_year(F.regexp_replace(month, "^[A-Za-z]{3} (?=[A-Za-z]{3} )", ""), year)
-    return F.coalesce(
+    plain = (F.length(text) == 19) & (F.instr(text, "-") == 5)  # by far the most frequent form
+    return F.when(plain, F.try_to_timestamp(text)).otherwise(F.coalesce(
         F.try_to_timestamp(F.regexp_extract(iso, ISO_FORM, 0)),
         F.try_to_timestamp(F.regexp_extract(month, MONTH_FORM, 0), F.lit("MMM d HH:mm:ss yyyy")),
-    )
+    ))
 
 
 def normalize_ts(ts: Column, fmt: str | None = None, year: int | None = None) -> Column:

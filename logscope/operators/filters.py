@@ -1,17 +1,36 @@
 """Predicates on lines, their effect counts, and search."""
 
 import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logscope.functions import patterns as P
+from logscope.functions.staged import computed
 from logscope.functions.text import contains_any
 from logscope.functions.timestamps import extract_ts, to_ts, within
 
 OPEN = 10**12  # seconds, beyond every readable timestamp
 
 
+@dataclass(frozen=True)
+class Predicate:
+    """A condition and the columns it needs, which are computed once per line."""
+
+    keep: Column
+    needs: dict[str, Column] = field(default_factory=dict)
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        return computed(df, **self.needs) if self.needs else df
+
+
+def where(df: DataFrame, test: Predicate | Column) -> DataFrame:
+    if isinstance(test, Column):
+        return df.where(test)
+    return test.staged(df).where(test.keep).select(*df.columns)
+
+
 def has_error(line: Column) -> Column:
     return F.lower(line).contains("error")
 
@@ -34,18 +53,18 @@ def text_filter(line: Column, text: str, regex: bool = False) -> Column:
     return matches(line, text) if regex else has_text(line, text)
 
 
-def in_lexical_window(line: Column, start: str | None = None, end: str | None = None) -> Column:
+def in_lexical_window(line: Column, start: str | None = None, end: str | None = None) -> Predicate:
     """Compare timestamp text with the bounds as written; lines without one stay.
 
     Bounds are not expanded: an end of ``2023-10-15`` is before all of that day.
     """
-    ts = extract_ts(line, "lexical")
+    ts = F.col("lexical_ts")
     keep = F.lit(True)
     if start:
         keep = keep & (ts >= start.replace("T", " "))
     if end:
         keep = keep & (ts <= end.replace("T", " "))
-    return ts.isNull() | keep
+    return Predicate(ts.isNull() | keep, {"lexical_ts": extract_ts(line, "lexical")})
 
 
 def in_time_window(
@@ -55,18 +74,20 @@ def in_time_window(
     ts_profile: str = "rich",
     year: int | None = None,
     drop_comments: bool = False,
-) -> Column:
+) -> Predicate:
     """Inclusive window on instants; lines without a readable timestamp stay.
 
     A date alone starts at 00:00:00 or ends at 23:59:59. A bound that cannot be read
     leaves its side open.
     """
-    ts = F.unix_seconds(to_ts(extract_ts(line, ts_profile, year), year))
     bound = lambda text, clock, open_end: F.coalesce(
         F.unix_seconds(to_ts(F.lit(_whole_day(text or "", clock)), year)), F.lit(open_end)
     )
-    keep = F.coalesce(within(ts, bound(start, "00:00:00", -OPEN), bound(end, "23:59:59", OPEN)), F.lit(True))
-    return ~line.startswith("#") & keep if drop_comments else keep
+    instant = F.unix_seconds(to_ts(F.col("window_ts"), year))
+    keep = F.coalesce(within(instant, bound(start, "00:00:00", -OPEN), bound(end, "23:59:59", OPEN)), F.lit(True))
+    if drop_comments:
+        keep = ~line.startswith("#") & keep
+    return Predicate(keep, {"window_ts": extract_ts(line, ts_profile, year)})
 
 
 def _whole_day(bound: str, clock: str) -> str:
@@ -74,8 +95,15 @@ def _whole_day(bound: str, clock: str) -> str:
     return f"{bound} {clock}" if dated else bound
 
 
-def filter_counts(df: DataFrame, keep: Column) -> DataFrame:
-    """``kept, total`` of a predicate, in one pass."""
+def filter_counts(df: DataFrame, *tests: Predicate | Column) -> DataFrame:
+    """``kept, total``: lines that pass all tests, and all lines, in one pass."""
+    keep = F.lit(True)
+    for i, test in enumerate(tests):
+        if isinstance(test, Predicate):
+            # two windows may need a column of the same name
+            df = test.staged(df).withColumn(f"test{i}", test.keep).drop(*test.needs)
+            test = F.col(f"test{i}")
+        keep = keep & test
     return df.agg(F.count_if(keep).alias("kept"), F.count("*").alias("total"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.functions import patterns as P
-from logscope.functions.messages import detected_message
+from logscope.functions.messages import with_detected_message
 from logscope.functions.severity import level_text
+from logscope.functions.staged import computed
 from logscope.functions.text import first_match
 from logscope.operators.joins import join_per_file
 from logscope.operators.ranking import BLOCK
@@ -94,29 +95,28 @@ REGISTRY = FormatRegistry()
 register_format = REGISTRY.register
 
 
-def format_struct(line: Column, fmt: LogFormat) -> Column:
-    """The fields as a struct; NULL where the line is of another format.
+def format_parts(line: Column, fmt: LogFormat) -> Column:
+    """Array of the capture groups of a line, after one element of no meaning.
 
-    One pass of the regex writes all groups with a mark between them. Lines that
-    hold the mark themselves take one pass per field.
+    One pass of the regex writes all groups with a mark between them; a line of
+    another format stays in one piece, so its array has one element. Lines that hold
+    the mark themselves take one pass per group.
     """
     n = len(fmt.fields)
     groups = "".join(f"{MARK}${i}" for i in range(1, n + 1))
     written = F.split(F.regexp_replace(line, fmt.regex, f"{groups}{MARK}"), MARK)
     one_by_one = F.array(F.lit(""), *[F.regexp_extract(line, fmt.regex, i) for i in range(1, n + 1)])
-    marked = line.contains(MARK)
-    parts = F.when(marked & line.rlike(fmt.regex), one_by_one).when(~marked, written)
-    # unmatched lines stay in one piece
-    return F.when(
-        F.size(parts) > 1, F.struct(*[F.get(parts, F.lit(i + 1)).alias(f) for i, f in enumerate(fmt.fields)])
-    )
+    return F.when(~line.contains(MARK), written).when(line.rlike(fmt.regex), one_by_one).otherwise(F.array(line))
 
 
 def parse_format(df: DataFrame, name: str, registry: FormatRegistry = REGISTRY) -> DataFrame:
     """The lines with the fields of a named format, NULL where a line is of another one."""
     fmt = registry[name]
-    parsed = df.withColumn("parsed", format_struct(F.col("line"), fmt))
-    return parsed.select(*df.columns, *[F.col("parsed")[f].alias(f) for f in fmt.fields])
+    parts = F.col("parts")
+    values = [
+        F.when(F.size(parts) > 1, F.get(parts, F.lit(i))).alias(field) for i, field in enumerate(fmt.fields, start=1)
+    ]
+    return df.withColumn("parts", format_parts(F.col("line"), fmt)).select(*df.columns, *values)
 
 
 def syslog_priority(priority: Column) -> list[Column]:
@@ -249,6 +249,7 @@ def parse_detected(df: DataFrame) -> DataFrame:
 
     ts = by_pattern("timestamp_pattern", P.DETECT_TIMESTAMPS, lambda p: first_match(line, p))
     level = by_pattern("severity_pattern", P.DETECT_SEVERITIES, lambda p: level_text(line, p))
-    return found.select(*df.columns, ts.alias("timestamp"), level.alias("severity")).withColumn(
-        "message", detected_message(line, F.col("timestamp"), F.col("severity"))
+    parts = computed(found, timestamp=ts, severity=level)
+    return with_detected_message(parts, "timestamp", "severity").select(
+        *df.columns, "timestamp", "severity", "message"
     )

@@ -7,6 +7,7 @@ from logscope.functions.patterns import DETECT_TIMESTAMPS
 from logscope.functions.text import bar, sanitize_text
 from logscope.functions.timestamps import to_ts
 from logscope.operators.filters import has_error
+from logscope.operators.occurrences import occurrences
 
 # grain: written form of a bucket
 GRAINS = {"minute": "yyyy-MM-dd HH:mm", "hour": "yyyy-MM-dd HH", "day": "yyyy-MM-dd", "month": "yyyy-MM"}
@@ -21,16 +22,9 @@ def time_histogram(df: DataFrame, interval: str = "hour", year: int | None = Non
     read is its own bucket. An unknown interval means hours.
     """
     grain = interval if interval in GRAINS else "hour"
-    found = df.select("file", *[
-        F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias(f"m{i}") for i, p in enumerate(DETECT_TIMESTAMPS)
-    ])
-
-    def tagged(i: int):
-        return F.transform(f"m{i}", lambda text: F.struct(F.lit(i).alias("form"), text.alias("text")))
-
     instant = to_ts(F.col("text"), year)
     counts = (
-        found.select("file", F.inline(F.concat(*[tagged(i) for i in range(len(DETECT_TIMESTAMPS))])))
+        occurrences(df, DETECT_TIMESTAMPS, "file").select("file", "form", F.explode("found").alias("text"))
         .select("file", "form", F.date_trunc(grain, instant).alias("at"), "text")
         .withColumn("text", F.when(F.col("at").isNull(), F.col("text")))
         .groupBy("file", "form", "at", "text").agg(F.count("*").alias("count"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logscope.functions.messages import message
+from logscope.functions.messages import csv_message, with_message
 from logscope.functions.severity import severity
 from logscope.functions.text import is_content
 from logscope.functions.timestamps import extract_ts
@@ -28,16 +28,18 @@ def csv_rows(df: DataFrame, profile: str = "csv", year: int | None = None) -> Da
     """
     of_ts, of_severity, of_message = ROW_PROFILES[profile]
     line = F.col("line")
-    ts = F.col("ts")
-    rows = df.where(is_content(line)).withColumn("ts", extract_ts(line, of_ts, year)).select(
+    staged = df.where(is_content(line)).withColumn("ts", extract_ts(line, of_ts, year))
+    if profile == "csv":
+        rows = staged.withColumn("message", csv_message(line, F.col("ts")))
+    else:
+        rows = with_message(staged, of_message, year)
+        rows = rows.where((F.col("message") != "") & ~F.col("message").startswith("#"))
+    return rows.select(
         *_places(df),
-        F.coalesce(ts, F.lit("")).alias("timestamp"),
+        F.coalesce("ts", F.lit("")).alias("timestamp"),
         severity(line, of_severity).alias("severity"),
-        message(line, of_message, year, ts).alias("message"),
+        "message",
     )
-    if profile == "csv":
-        return rows
-    return rows.where((F.col("message") != "") & ~F.col("message").startswith("#"))
 
 
 def log_entries(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from logscope.functions.severity import severity
 from logscope.functions.timestamps import normalize_ts
 from logscope.operators.errors import top_errors
 from logscope.operators.filters import has_text, matches
+from logscope.operators.occurrences import occurrences
 
 DIGITS = r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$"
 
@@ -52,7 +53,9 @@ def _order(df: DataFrame) -> tuple[list[str], str]:
 
 
 def _pack_iso(ts: Column) -> Column:
-    return F.translate(ts, "-T :", "").cast("bigint")
+    for separator in "-:T ":
+        ts = F.replace(ts, F.lit(separator), F.lit(""))
+    return ts.cast("bigint")
 
 
 def _unpack_iso(packed: Column) -> Column:
@@ -78,40 +81,60 @@ def _unpack_syslog(packed: Column) -> Column:
     return F.concat(letters, F.lit(" "), F.substring(digits, F.lit(1), width - 6), F.lit(" "), clock)
 
 
-_FORMS = (
+_PACKED = (
     (P.ISO_T, _pack_iso, _unpack_iso),
     (P.ISO_SPACE, _pack_iso, _unpack_iso),
     (P.SYSLOG_SINGLE_BLANK, _pack_syslog, _unpack_syslog),
 )
 
 
-def _with_times(df: DataFrame) -> DataFrame:
-    """First and last match of each form in each line, packed; NULL where none."""
-    found = df.select("*", *[
-        F.regexp_extract_all("line", F.lit(form), F.lit(0)).alias(f"m{i}") for i, (form, _, _) in enumerate(_FORMS)
-    ])
-    keep = [c for c in df.columns]
-    return found.select(*keep, *[
-        c for i, (_, pack, _) in enumerate(_FORMS) for c in (
-            pack(F.get(f"m{i}", F.lit(0))).alias(f"a{i}"),
-            pack(F.try_element_at(F.col(f"m{i}"), F.lit(-1))).alias(f"b{i}"),
-        )
-    ])
+def _ends(df: DataFrame, forms) -> DataFrame:
+    """``form, first, last``: ends of the matches in each line; ``last`` is NULL if there is one match."""
+    found = F.col("found")
+    return occurrences(df, forms, *df.columns).withColumn("first", F.get(found, F.lit(0))).withColumn(
+        "last", F.when(F.size(found) > 1, F.element_at(found, -1))
+    )
+
+
+def _with_packed(df: DataFrame) -> DataFrame:
+    def packed(end):
+        out = F
+        for i, (_, pack, _) in enumerate(_PACKED):
+            out = out.when(F.col("form") == i, pack(F.col(end)))
+        return out.otherwise(None)
+
+    ends = _ends(df, [form for form, _, _ in _PACKED]).withColumn("a", packed("first"))
+    b = F.when(F.col("last").isNull(), F.col("a")).otherwise(packed("last"))
+    return ends.select(*df.columns, "form", "a", b.alias("b"))
+
 
+def _of_form(i: int, column: str):
+    return F.when(F.col("form") == i, F.col(column))
 
-def _first_last(position: str, prefix: str = "") -> list[Column]:
+
+def _first_last(position: str, n: int) -> list[Column]:
     """Per form, the earliest and latest time by ``position``."""
-    out = []
-    for i in range(len(_FORMS)):
-        a, b = F.col(f"a{i}"), F.col(f"b{i}")
-        out.append(F.min_by(a, F.when(a.isNotNull(), F.col(position))).alias(f"a{i}"))
-        out.append(F.max_by(b, F.when(b.isNotNull(), F.col(position))).alias(f"b{i}"))
-    return out
+    return [
+        c for i in range(n) for c in (
+            F.min_by(_of_form(i, "a"), _of_form(i, position)).alias(f"a{i}"),
+            F.max_by(_of_form(i, "b"), _of_form(i, position)).alias(f"b{i}"),
+        )
+    ]
+
+
+def _first_last_block(n: int) -> list[Column]:
+    """The same over the results of the blocks of a file."""
+    has = lambda c: F.when(F.col(c).isNotNull(), F.col("block"))
+    return [
+        c for i in range(n) for c in (
+            F.min_by(f"a{i}", has(f"a{i}")).alias(f"a{i}"), F.max_by(f"b{i}", has(f"b{i}")).alias(f"b{i}"),
+        )
+    ]
 
 
 def _unpacked() -> list[Column]:
-    start = F.coalesce(*[unpack(F.col(f"a{i}")) for i, (_, _, unpack) in enumerate(_FORMS)])
-    end = F.coalesce(*[unpack(F.col(f"b{i}")) for i, (_, _, unpack) in enumerate(_FORMS)])
+    start = F.coalesce(*[unpack(F.col(f"a{i}")) for i, (_, _, unpack) in enumerate(_PACKED)])
+    end = F.coalesce(*[unpack(F.col(f"b{i}")) for i, (_, _, unpack) in enumerate(_PACKED)])
     return [start.alias("time_start"), end.alias("time_end")]
 
 
@@ -122,20 +145,21 @@ def file_statistics(df: DataFrame) -> DataFrame:
     time) of the first form that occurs in the file: ISO with ``T``, ISO with a
     blank, then month and day without year.
     """
-    keys, position = _order(df)
     counts = ["total_lines", "error_count", "warning_count", "info_count"]
-    stats = _with_times(df).groupBy(*keys).agg(*_count_columns(), *_first_last(position))
-    if "block" in keys:
-        stats = stats.groupBy("file").agg(*[F.sum(c).alias(c) for c in counts], *_first_last("block"))
-    return stats.select("file", *counts, *_unpacked())
+    return _packed_statistics(df, counts).select("file", *counts, *_unpacked())
 
 
 def time_range(df: DataFrame) -> DataFrame:
+    return _packed_statistics(df, []).select("file", *_unpacked())
+
+
+def _packed_statistics(df: DataFrame, counts: list[str]) -> DataFrame:
     keys, position = _order(df)
-    times = _with_times(df).groupBy(*keys).agg(*_first_last(position))
+    n = len(_PACKED)
+    stats = _with_packed(df).groupBy(*keys).agg(*(_count_columns() if counts else []), *_first_last(position, n))
     if "block" in keys:
-        times = times.groupBy("file").agg(*_first_last("block"))
-    return times.select("file", *_unpacked())
+        stats = stats.groupBy("file").agg(*[F.sum(c).alias(c) for c in counts], *_first_last_block(n))
+    return stats
 
 
 def iso_time_range(df: DataFrame) -> DataFrame:
@@ -150,29 +174,17 @@ def date_range(df: DataFrame, year: int | None = None) -> DataFrame:
 
 def _text_range(df: DataFrame, forms, show, missing: str | None) -> DataFrame:
     keys, position = _order(df)
-    found = df.select(*keys, position, *[
-        F.regexp_extract_all("line", F.lit(form), F.lit(0)).alias(f"m{i}") for i, form in enumerate(forms)
-    ])
-    n = range(len(forms))
-    found = found.select(*keys, position, *[
-        c for i in n for c in (
-            F.get(f"m{i}", F.lit(0)).alias(f"a{i}"),
-            F.try_element_at(F.col(f"m{i}"), F.lit(-1)).alias(f"b{i}"),
-        )
-    ])
-    pick = lambda at: [
-        c for i in n for c in (
-            F.min_by(f"a{i}", F.when(F.col(f"a{i}").isNotNull(), F.col(at))).alias(f"a{i}"),
-            F.max_by(f"b{i}", F.when(F.col(f"b{i}").isNotNull(), F.col(at))).alias(f"b{i}"),
-        )
-    ]
-    times = found.groupBy(*keys).agg(*pick(position))
+    n = len(forms)
+    ends = _ends(df.select(*keys, position, "line"), forms).select(
+        *keys, position, "form", F.col("first").alias("a"), F.coalesce("last", "first").alias("b")
+    )
+    times = ends.groupBy(*keys).agg(*_first_last(position, n))
     if "block" in keys:
-        times = times.groupBy("file").agg(*pick("block"))
-    ends = [show(F.coalesce(*[F.col(f"{side}{i}") for i in n])) for side in "ab"]
+        times = times.groupBy("file").agg(*_first_last_block(n))
+    both = [show(F.coalesce(*[F.col(f"{side}{i}") for i in range(n)])) for side in "ab"]
     if missing is not None:
-        ends = [F.coalesce(end, F.lit(missing)) for end in ends]
-    return times.select("file", ends[0].alias("time_start"), ends[1].alias("time_end"))
+        both = [F.coalesce(end, F.lit(missing)) for end in both]
+    return times.select("file", both[0].alias("time_start"), both[1].alias("time_end"))
 
 
 def summarize(df: DataFrame, top: int = 5) -> DataFrame:

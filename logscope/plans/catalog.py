@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logscope.frame import LogFrame
-from logscope.functions.messages import error_message, message
+from logscope.functions.messages import error_message, with_message
 from logscope.functions.severity import severity
 from logscope.functions.timestamps import compare_ts, extract_ts, in_range, normalize_ts, to_epoch
 from logscope.operators import errors, export, filters, formats, histogram, ranking, records, report, rows, summary
@@ -88,7 +88,7 @@ for profile in ("csv", "lexical", "rich", "range", "detected", "view", "api"):
 for profile in ("csv", "api", "display", "contextual", "detected"):
     per_line(f"severity_{profile}", severity=lambda line, p=profile: severity(line, p))
 for profile in ("csv", "detected", "separator", "contextual"):
-    per_line(f"msg_{profile}", message=lambda line, p=profile: message(line, p, YEAR))
+    over_lines(f"msg_{profile}", lambda df, p=profile: with_message(df, p, YEAR).select("line_no", "message"))
 per_line("error_message_norm", message=lambda line: F.nullif(error_message(line), F.lit("")))
 
 
@@ -116,7 +116,7 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(name, keep):
-    over_lines(name, lambda df: df.where(keep(F.col("line"))).select("line_no", "line"))
+    over_lines(name, lambda df: filters.where(df, keep(F.col("line"))).select("line_no", "line"))
 
 
 kept("filter_errors", filters.has_error)
@@ -129,7 +129,8 @@ kept("filter_time_epoch", lambda line: filters.in_time_window(line, *WINDOW, yea
 kept("filter_time_range", lambda line: filters.in_time_window(line, "01/05/2024", "01/07/2024", "range", YEAR, drop_comments=True))
 kept("filter_from", lambda line: filters.in_time_window(line, "2024-01-20T06:00:00Z", year=YEAR))
 kept("skip_comments", rows.is_content)
-over_lines("filter_counts", lambda df: filters.filter_counts(df, filters.has_error(F.col("line"))))
+over_lines("filter_counts", lambda df: filters.filter_counts(
+    df, filters.has_error(F.col("line")), filters.in_time_window(F.col("line"), *WINDOW, year=YEAR)))
 over_lines("search_next", lambda df: filters.search(df, "backend-3", 4000))
 over_lines("search_prev", lambda df: filters.search(df, "backend-3", 4000, "backward"))
 
@@ -228,7 +229,7 @@ over_lines("report_long", lambda df: report.escaped_report(report.report_long(df
 
 @query("split_text_lines")
 def split_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_text(D.load(spark, sf_dir, "documents"), "text", "doc_id")
+    return split_text(D.load(spark, sf_dir, "documents", "doc_id"), "text", "doc_id")
 
 
 @query("csv_roundtrip")

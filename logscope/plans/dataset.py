@@ -162,13 +162,20 @@ def mixed(dialect: dict[str, str], file: str = ONE_FILE) -> str:
     return MIXED.format(**dialect, file=file.format(**dialect))
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """The table, spread over the cores if it is read in fewer partitions than there are.
+
+    A single small file is one partition, and the regular expressions would keep one
+    core busy. Large tables have many partitions and are not shuffled.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def _from_events(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
-    load(spark, sf_dir, "events").createOrReplaceTempView("logscope_events")
+    load(spark, sf_dir, "events", "event_id").createOrReplaceTempView("logscope_events")
     lines = spark.sql(f"WITH {ctes} {select}".replace("FROM events", "FROM logscope_events"))
     # The text of a line is made once, as if it were read: without the generator the
     # optimizer would put the whole CASE in for every mention of the line.

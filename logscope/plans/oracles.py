@@ -221,7 +221,8 @@ over_lines("filter_from", TIMED.format(TS["rich"]) + f"ts IS NULL OR {instant('t
 over_lines("filter_stacked", TIMED.format(TS["rich"]) + f"(ts IS NULL OR {instant('ts')} {DAYS}) AND line ILIKE '%backend-1%' AND line ILIKE '%error%'")
 CONTENT = "NOT regexp_matches(line, '^\\s*#') AND trim(line) <> ''"
 over_lines("skip_comments", LINES + CONTENT)
-over_lines("filter_counts", f"SELECT count(*) FILTER (WHERE {ERROR}) AS kept, count(*) AS total FROM log_lines")
+over_lines("filter_counts", f"""WITH times AS (SELECT line, {TS['rich']} AS ts FROM log_lines)
+ SELECT count(*) FILTER (WHERE {ERROR} AND (ts IS NULL OR {instant('ts')} {DAYS})) AS kept, count(*) AS total FROM times""")
 over_lines("search_next", "SELECT min(line_no) AS line_no FROM log_lines WHERE line_no >= 4000 AND line ILIKE '%backend-3%'")
 over_lines("search_prev", "SELECT max(line_no) AS line_no FROM log_lines WHERE line_no <= 4000 AND line ILIKE '%backend-3%'")
 
