@@ -160,7 +160,7 @@ def w3c_rows(df: DataFrame, block: int = BLOCK) -> DataFrame:
     header = F.nullif(F.regexp_extract("line", "^#Fields: (.*)$", 1), F.lit(""))
     is_data = F.col("line").rlike("^[0-9-]+ [0-9:]+ ")
     lines = df.select("file", "line_no", "line", header.alias("names")).withColumn(
-        "block", F.floor(F.col("line_no") / block)
+        "block", F.call_function("div", F.col("line_no"), F.lit(block))
     )
     own_at = F.when(F.col("names").isNotNull(), F.col("line_no"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ SMALL = 10_000
 
 
 def _with_block(df: DataFrame, block: int) -> DataFrame:
-    return df.withColumn("block", F.floor(F.col("line_no") / block))
+    return df.withColumn("block", F.call_function("div", F.col("line_no"), F.lit(block)))
 
 
 def block_table(df: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -10,7 +10,6 @@ from logscope.operators.errors import top_errors
 from logscope.operators.filters import has_text, matches
 from logscope.operators.occurrences import occurrences
 
-DIGITS = r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$"
 
 
 def _count_columns() -> list[Column]:
@@ -52,39 +51,25 @@ def _order(df: DataFrame) -> tuple[list[str], str]:
 # the hash aggregate; with strings Spark would sort all rows by file first.
 
 
-def _pack_iso(ts: Column) -> Column:
-    for separator in "-:T ":
-        ts = F.replace(ts, F.lit(separator), F.lit(""))
-    return ts.cast("bigint")
-
-
-def _unpack_iso(packed: Column) -> Column:
-    return F.regexp_replace(F.lpad(packed.cast("string"), 14, "0"), DIGITS, "$1-$2-$3 $4:$5:$6")
-
-
-def _pack_syslog(ts: Column) -> Column:
-    """Three letters, then whether the day has two digits, day, clock."""
-    letters = F.conv(F.hex(F.substring(ts, 1, 3)), 16, 10).cast("bigint")
-    two_digits = (F.length(ts) == 15).cast("bigint")
-    rest = F.translate(F.substring(ts, 5, 11), " :", "").cast("bigint")
-    return letters * 1_000_000_000 + two_digits * 100_000_000 + rest
-
-
-def _unpack_syslog(packed: Column) -> Column:
-    billion = F.lit(1_000_000_000).cast("bigint")
-    letters = F.unhex(F.hex(F.floor(packed / billion).cast("bigint"))).cast("string")
-    rest = packed % billion
-    two_digits = rest >= 100_000_000
-    width = F.when(two_digits, 8).otherwise(7)
-    digits = F.lpad((rest % 100_000_000).cast("string"), width, F.lit("0"))
-    clock = F.regexp_replace(F.right(digits, F.lit(6)), r"^(\d{2})(\d{2})(\d{2})$", "$1:$2:$3")
-    return F.concat(letters, F.lit(" "), F.substring(digits, F.lit(1), width - 6), F.lit(" "), clock)
-
-
+PACK_ISO = "cast(replace(replace(replace(replace({ts}, '-', ''), ':', ''), 'T', ''), ' ', '') as bigint)"
+UNPACK_ISO = (
+    "regexp_replace(lpad({n}, 14, '0'),"
+    " '^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})([0-9]{{2}})([0-9]{{2}})([0-9]{{2}})$', '$1-$2-$3 $4:$5:$6')"
+)
+# Three letters, then whether the day has two digits, day (2 places), clock (6 places).
+PACK_SYSLOG = (
+    "cast(conv(hex(substr({ts}, 1, 3)), 16, 10) as bigint) * 1000000000"
+    " + if(length({ts}) = 15, 100000000, 0) + cast(replace(replace(substr({ts}, 5), ' ', ''), ':', '') as bigint)"
+)
+UNPACK_SYSLOG = (
+    "regexp_replace(cast(unhex(hex({n} div 1000000000)) as string)"
+    " || if({n} % 1000000000 >= 100000000, lpad({n} % 100000000, 8, '0'), lpad({n} % 100000000, 7, '0')),"
+    " '^([A-Za-z]{{3}})([0-9]{{1,2}})([0-9]{{2}})([0-9]{{2}})([0-9]{{2}})$', '$1 $2 $3:$4:$5')"
+)
 _PACKED = (
-    (P.ISO_T, _pack_iso, _unpack_iso),
-    (P.ISO_SPACE, _pack_iso, _unpack_iso),
-    (P.SYSLOG_SINGLE_BLANK, _pack_syslog, _unpack_syslog),
+    (P.ISO_T, PACK_ISO, UNPACK_ISO),
+    (P.ISO_SPACE, PACK_ISO, UNPACK_ISO),
+    (P.SYSLOG_SINGLE_BLANK, PACK_SYSLOG, UNPACK_SYSLOG),
 )
 
 
@@ -100,7 +85,7 @@ def _with_packed(df: DataFrame) -> DataFrame:
     def packed(end):
         out = F
         for i, (_, pack, _) in enumerate(_PACKED):
-            out = out.when(F.col("form") == i, pack(F.col(end)))
+            out = out.when(F.col("form") == i, F.expr(pack.format(ts=end)))
         return out.otherwise(None)
 
     ends = _ends(df, [form for form, _, _ in _PACKED]).withColumn("a", packed("first"))
@@ -133,9 +118,10 @@ def _first_last_block(n: int) -> list[Column]:
 
 
 def _unpacked() -> list[Column]:
-    start = F.coalesce(*[unpack(F.col(f"a{i}")) for i, (_, _, unpack) in enumerate(_PACKED)])
-    end = F.coalesce(*[unpack(F.col(f"b{i}")) for i, (_, _, unpack) in enumerate(_PACKED)])
-    return [start.alias("time_start"), end.alias("time_end")]
+    def time(side: str) -> Column:
+        return F.coalesce(*[F.expr(unpack.format(n=f"{side}{i}")) for i, (_, _, unpack) in enumerate(_PACKED)])
+
+    return [time("a").alias("time_start"), time("b").alias("time_end")]
 
 
 def file_statistics(df: DataFrame) -> DataFrame:
