@@ -138,7 +138,7 @@ class LogFrame:
         return formats.parse_format(self.view, name)
 
     def stacktraces(self) -> DataFrame:
-        return records.stacktrace_records(self.numbered)
+        return records.stacktrace_records(self.clear().numbered)
 
     def report(self, kind: str = "text", year: int | None = None):
         """``csv`` and ``json`` give a frame, ``text`` the frames of its three parts."""

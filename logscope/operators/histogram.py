@@ -24,12 +24,13 @@ def time_histogram(df: DataFrame, interval: str = "hour", year: int | None = Non
     grain = interval if interval in GRAINS else "hour"
     instant = to_ts(F.col("text"), year)
     counts = (
-        occurrences(df, DETECT_TIMESTAMPS, "file").select("file", "form", F.explode("found").alias("text"))
+        occurrences(df, DETECT_TIMESTAMPS, "file").where("file is not null and form is not null").select("file", "form", F.explode("found").alias("text"))
         .select("file", "form", F.date_trunc(grain, instant).alias("at"), "text")
         .withColumn("text", F.when(F.col("at").isNull(), F.col("text")))
         .groupBy("file", "form", "at", "text").agg(F.count("*").alias("count"))
     )
-    # reading the count as well keeps both sides on the same aggregation, computed once
+    # the two sides share one aggregation: the filter above is the one that the join
+    # would add to its left side, and the right side reads the count as well
     form = counts.groupBy("file").agg(F.min(F.when(F.col("count") > 0, F.col("form"))).alias("form"))
     return counts.join(form, ["file", "form"]).select(
         "file", F.coalesce(F.date_format("at", GRAINS[grain]), "text").alias("bucket"), "count"

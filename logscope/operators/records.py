@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.operators.formats import REGISTRY
-from logscope.operators.ranking import BLOCK, block_table, rank_in_blocks
+from logscope.operators.ranking import BLOCK
 
 CONTINUATION = r"^\tat .+"
 PART_LINES = 10_000
@@ -13,33 +13,39 @@ PART_LINES = 10_000
 def stacktrace_lines(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """Head and continuation lines with ``head_no``, the line number of their record's head.
 
-    Only these lines are shuffled, by block of line numbers. Ranked among themselves,
-    consecutive lines share ``line_no - rank``; a line belongs to the last head above
-    it if both have the same. The last head of earlier blocks comes from a table of
-    one row per block.
+    ``df`` holds all lines of its files. A line belongs to the last head above it
+    unless some line between is neither head nor continuation. Heads and breaks are
+    marks, ``2 * line_no`` and one more for heads, so the greatest mark so far decides.
+    Within a block of lines the marks come from the kept lines alone (a break shows as
+    a gap in their numbers), and only these are shuffled; the last mark of earlier
+    blocks comes from a table of one row per block.
     """
-    head = F.col("line").rlike(REGISTRY["java_stacktrace"].regex)
-    kept = df.withColumn("is_head", head).where(F.col("is_head") | F.col("line").rlike(CONTINUATION))
-    kept = kept.select("file", "line_no", "line", "is_head")
-    ranked = rank_in_blocks(kept, block_table(kept, block), block).withColumn(
-        "run", F.col("line_no") - F.col("position")
+    line, line_no = F.col("line"), F.col("line_no")
+    blocked = df.select(
+        "file", "line_no", "line",
+        F.call_function("div", line_no, F.lit(block)).alias("block"),
+        line.rlike(REGISTRY["java_stacktrace"].regex).alias("is_head"),
     )
-    own = lambda c: F.when(F.col("is_head"), F.col(c))
-    heads = ranked.groupBy("file", "block").agg(
-        F.max(own("line_no")).alias("last_head"), F.max(own("run")).alias("last_run")
+    kept = F.col("is_head") | line.rlike(CONTINUATION)
+    last = blocked.groupBy("file", "block").agg(
+        F.max(F.when(F.col("is_head"), line_no * 2 + 1).when(~kept, line_no * 2)).alias("mark")
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = heads.select(
-        "file", "block",
-        F.max("last_head").over(earlier).alias("head_before"), F.max("last_run").over(earlier).alias("run_before"),
+    carried = last.select("file", "block", F.max("mark").over(earlier).alias("mark_before"))
+
+    in_block = Window.partitionBy("file", "block").orderBy("line_no")
+    so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    above = F.coalesce(F.lag("line_no").over(in_block), F.col("block") * block - 1)
+    marked = blocked.where(kept).withColumn("above", above).withColumn(
+        "mark", F.when(F.col("is_head"), line_no * 2 + 1).when(F.col("above") != line_no - 1, (line_no - 1) * 2)
     )
-    so_far = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    # the join is on the columns by which the window has its rows partitioned and sorted
     return (
-        ranked.join(carried, ["file", "block"])
-        .withColumn("head_no", F.coalesce(F.max(own("line_no")).over(so_far), F.col("head_before")))
-        .withColumn("head_run", F.coalesce(F.max(own("run")).over(so_far), F.col("run_before")))
-        .where(F.col("run") == F.col("head_run"))
-        .select("file", "head_no", "line_no", "line")
+        marked.withColumn("mark", F.max("mark").over(so_far))
+        .join(carried, ["file", "block"])
+        .withColumn("mark", F.coalesce("mark", "mark_before"))
+        .where("mark % 2 = 1")
+        .selectExpr("file", "mark div 2 as head_no", "line_no", "line")
     )
 
 
@@ -51,7 +57,7 @@ def stacktrace_records(df: DataFrame, block: int = BLOCK, part_lines: int = PART
     """
     parts = (
         stacktrace_lines(df, block)
-        .withColumn("part", F.floor((F.col("line_no") - F.col("head_no")) / part_lines))
+        .withColumn("part", F.call_function("div", F.col("line_no") - F.col("head_no"), F.lit(part_lines)))
         .groupBy("file", "head_no", "part").agg(
             F.count("*").alias("n_lines"),
             F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"),

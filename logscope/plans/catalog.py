@@ -12,6 +12,7 @@ from logscope.plans import dataset as D
 from logscope.sources.csv import read_csv, write_csv
 from logscope.sources.memory import split_text
 from logscope.sources.scratch import scratch_path
+from logscope.streaming.piped import write_rows
 
 YEAR = 2024
 WINDOW = ("2024-01-05", "2024-01-07")
@@ -239,6 +240,14 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path)
 
 
+@query("stream_csv_rows")
+def stream_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "stream")
+    csv = rows.csv_rows(D.log_line_stream(spark, sf_dir), year=YEAR)
+    write_rows(csv, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return read_csv(spark, f"{path}/rows").drop("csv_parse_error")
+
+
 @query("export_metadata")
 def export_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = LogFrame(D.log_lines(spark, sf_dir)).errors_only().text("backend-1")

@@ -175,11 +175,24 @@ def load(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
 
 
 def _from_events(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
-    load(spark, sf_dir, "events", "event_id").createOrReplaceTempView("logscope_events")
-    lines = spark.sql(f"WITH {ctes} {select}".replace("FROM events", "FROM logscope_events"))
+    return _lines_of(load(spark, sf_dir, "events", "event_id"), ctes, select)
+
+
+def _lines_of(events: DataFrame, ctes: str, select: str) -> DataFrame:
+    events.createOrReplaceTempView("logscope_events")
+    lines = events.sparkSession.sql(f"WITH {ctes} {select}".replace("FROM events", "FROM logscope_events"))
     # The text of a line is made once, as if it were read: without the generator the
-    # optimizer would put the whole CASE in for every mention of the line.
-    return lines.select("file", "line_no", F.explode(F.array("line")).alias("line"))
+    # optimizer would put the whole CASE in for every mention of the line, and drop
+    # joins on a file name that is a constant here.
+    return lines.select("line_no", F.inline(F.array(F.struct("file", "line")))).select("file", "line_no", "line")
+
+
+def log_line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed log as a stream over the table's file."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _lines_of(events, mixed(SPARK), "SELECT * FROM log_lines")
 
 
 def log_lines(spark: SparkSession, sf_dir: str, file: str = ONE_FILE) -> DataFrame:

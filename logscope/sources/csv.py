@@ -5,17 +5,20 @@ from pyspark.sql import DataFrame, SparkSession
 CSV_COLUMNS = ("timestamp", "severity", "message")
 
 
-def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header, every field quoted, quotes doubled. One file per partition."""
-    (
-        rows.select(*CSV_COLUMNS).write.mode(mode)
-        .option("header", True).option("quoteAll", True).option("escape", '"')
+def csv_options(writer):
+    """Header, every field quoted, quotes doubled, blanks kept."""
+    return (
+        writer.option("header", True).option("quoteAll", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("nullValue", "").option("emptyValue", "")
-        .csv(path)
     )
 
 
+def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One file per partition."""
+    csv_options(rows.select(*CSV_COLUMNS).write.mode(mode)).csv(path)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of ``write_csv``; a record that does not parse keeps its text in ``csv_parse_error``."""
     return (
