@@ -40,9 +40,9 @@ def analyze_frame(frame: LogFrame, options: LogOptions = LogOptions()) -> LogRes
     if limit is None and not options.csv:
         limit = options.shown_lines
     if options.sample:
-        lines = systematic_sample(view.numbered).drop("position")
+        lines = systematic_sample(view.view).drop("position")
     elif limit is not None:
-        lines = limit_lines(view.numbered, limit)
+        lines = limit_lines(view.view, limit)
     else:
         lines = view.view
     return LogResult(

@@ -94,13 +94,13 @@ class LogFrame:
     # -- positions -------------------------------------------------------------------
 
     def limit(self, n: int) -> DataFrame:
-        return ranking.limit_lines(self.numbered, n)
+        return ranking.limit_lines(self.view, n)
 
     def sample(self) -> DataFrame:
-        return ranking.systematic_sample(self.numbered)
+        return ranking.systematic_sample(self.view)
 
     def page(self, number: int, size: int = ranking.PAGE_SIZE) -> DataFrame:
-        return ranking.page(self.numbered, number, size)
+        return ranking.page(self.view, number, size)
 
     def page_count(self, size: int = ranking.PAGE_SIZE) -> DataFrame:
         return ranking.page_count(self.view, size)

@@ -3,7 +3,8 @@
 Position is semantic here, but a global sort would pass everything through one task.
 Rows are counted per block of line numbers instead; the block table (one row per
 block) gets running totals, and only blocks that hold wanted positions are ranked,
-each on its own. Rows of the other blocks are never shuffled.
+each on its own. Rows of the other blocks are never shuffled. Lines as read, without
+numbers, are counted per split instead.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,9 +17,16 @@ SMALL = 10_000
 
 
 def _with_block(df: DataFrame, block: int) -> DataFrame:
+    """Blocks of line numbers; lines without numbers keep the split they were read in."""
+    if "line_no" not in df.columns:
+        return df
     return df.withColumn("block", F.call_function("div", F.col("line_no"), F.lit(block)))
 
 
+def _order(df: DataFrame) -> list[str]:
+    return ["line_no"] if "line_no" in df.columns else ["block", "seq"]
+
+
 def block_table(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """``file, block, n, before, total``: rows of the block, rows ahead of it, rows in all."""
     blocks = _with_block(df, block).groupBy("file", "block").agg(F.count("*").alias("n"))
@@ -39,7 +47,7 @@ def block_table(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def rank_in_blocks(df: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
     """``position`` of rows in the blocks given, each block on its own."""
-    in_block = Window.partitionBy("file", "block").orderBy("line_no")
+    in_block = Window.partitionBy("file", "block").orderBy(_order(df)[-1])
     return (
         _with_block(df, block).join(blocks, ["file", "block"])
         .withColumn("position", F.col("before") + F.row_number().over(in_block))
@@ -65,7 +73,7 @@ def limit_lines(df: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     if n < 0:
         raise ValueError("a limit cannot be negative")
     if n <= SMALL:
-        return df.orderBy("file", "line_no").limit(n)
+        return df.orderBy("file", *_order(df)).limit(n)
     return position_range(df, 1, n, block).drop("position")
 
 

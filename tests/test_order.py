@@ -131,5 +131,13 @@ def test_w3c_header_carries_over_blocks(lines, block):
 def test_read_is_lazy_about_numbers(spark, split_files):
     frame = read(spark, str(split_files[0]))
     assert "line_no" not in frame.view.columns and "line_no" in frame.numbered.columns
-    assert frame.page(1).count() == 40
-    assert frame.limit(5).count() == 5
+    lines = [line for name in ("a.log", "b.log") for line in split_files[1][name]]
+    shown = lambda df: [r.line for r in df.collect()]
+    assert shown(frame.limit(5)) == lines[:5]
+    assert shown(frame.page(2).orderBy("position")) == lines[40:80]
+    assert shown(frame.page(76).orderBy("position")) == lines[3000:3040]  # the second file
+    assert shown(frame.sample().orderBy("position")) == lines[89::90]
+    nines = [line for line in lines if line.split()[0].endswith("9")]
+    view = frame.text("9 ")
+    assert shown(view.sample().orderBy("position")) == nines[14::15]
+    assert shown(ranking.positions(view.view).orderBy("position")) == nines
