@@ -11,7 +11,6 @@ from logscope.operators.filters import has_text, matches
 from logscope.operators.occurrences import occurrences
 
 
-
 def _count_columns() -> list[Column]:
     line = F.col("line")
     return [
