@@ -1,11 +1,16 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from logscope.llm import substring_dedup
+from logscope.llm import bin_packing, quality_rules, simhash_dedup, source_mixing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+    "op3_bin_packing": bin_packing.op3_bin_packing,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op9_source_mixing": source_mixing.op9_source_mixing,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op9_source_mixing": source_mixing.SQL,
 }

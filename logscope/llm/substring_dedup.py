@@ -55,13 +55,7 @@ class _Words:
         self.window, self.gram, n = window, gram, len(starts)
         self.doc = np.searchsorted(self.text_starts, starts, "right") - 1
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1), "left")
-        keep = np.zeros(len(data) + 1, np.int8)
-        keep[starts] = 1
-        keep[ends + 1] -= 1
-        plain = data[np.cumsum(keep[:-1], dtype=np.int8).astype(bool)].copy()
-        self.at = np.concatenate([[0], np.cumsum(ends - starts + 1)])
-        plain[self.at[1:] - 1] = 32
-        self.plain = plain.tobytes()
+        self.plain, self.at = common.plain(data, starts, ends)
         self.hashes = common.rolling(common.byte_values(data), starts, ends)
         self.n, self.windows = n, max(0, n - window + 1)
         if self.windows:
