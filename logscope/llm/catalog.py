@@ -1,16 +1,24 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from logscope.llm import bin_packing, quality_rules, simhash_dedup, source_mixing, substring_dedup
+from logscope.llm import (
+    bin_packing, hamming_search, license_scan, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup,
+    weak_labels,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_bin_packing": bin_packing.op3_bin_packing,
+    "op4_weak_labels": weak_labels.op4_weak_labels,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_source_mixing": source_mixing.op9_source_mixing,
+    "op10_hamming_search": hamming_search.op10_hamming_search,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op9_source_mixing": source_mixing.SQL,
+    "op10_hamming_search": hamming_search.SQL,
 }

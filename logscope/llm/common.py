@@ -131,6 +131,25 @@ def gathered(table: pa.Table | pa.RecordBatch, columns: dict[str, type]) -> list
     ]
 
 
+def slide(least, values: np.ndarray, width: int) -> np.ndarray:
+    """``least`` (minimum or maximum) of each ``width`` neighbours, by doubling."""
+    out, done = values, 1
+    while done < width:
+        step = min(done, width - done)
+        out = least(out[:-step], out[step:])
+        done += step
+    return out
+
+
+def chosen(grams: np.ndarray, whole: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose gram is the least of some window of ``span`` grams that counts (``whole``); and each window's least."""
+    least = slide(np.minimum, grams, span)[: len(whole)]
+    pad = np.zeros(len(whole) + 2 * (span - 1), np.uint64)
+    pad[span - 1 : span - 1 + len(whole)] = np.where(whole, least, np.uint64(0))
+    most = slide(np.maximum, pad, span)
+    return np.flatnonzero(most == grams[: len(most)]), least
+
+
 def run_starts(*columns: np.ndarray) -> np.ndarray:
     """Whether a row of sorted columns differs from the row before."""
     new = np.zeros(len(columns[0]), bool)

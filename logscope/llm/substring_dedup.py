@@ -62,15 +62,10 @@ class _Words:
             i = np.arange(n - gram + 1)
             self.grams = common.rolling(self.hashes, i, i + gram)
             self.whole = self.doc[: self.windows] == self.doc[window - 1 :]
-            self.least = _slide(np.minimum, self.grams, window - gram + 1)
+            self.chosen, self.least = common.chosen(self.grams, self.whole, window - gram + 1)
 
     def anchors(self) -> np.ndarray:
-        if not self.windows:
-            return np.zeros(0, np.int64)
-        span = self.window - self.gram + 1
-        pad = np.zeros(self.windows + 2 * (span - 1), np.uint64)
-        pad[span - 1 : span - 1 + self.windows] = np.where(self.whole, self.least, np.uint64(0))
-        return np.flatnonzero(_slide(np.maximum, pad, span) == self.grams)
+        return self.chosen if self.windows else np.zeros(0, np.int64)
 
     def path(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First word and end of the path through each anchor."""
@@ -104,16 +99,6 @@ class _Words:
         return both[:, 0], both[:, 1]
 
 
-def _slide(least, values: np.ndarray, width: int) -> np.ndarray:
-    """The least (or greatest) of each ``width`` neighbours, by doubling."""
-    out, done = values, 1
-    while done < width:
-        step = min(done, width - done)
-        out = least(out[:-step], out[step:])
-        done += step
-    return out
-
-
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     ids = batch.column("doc_id")
     return np.asarray(pc.fill_null(ids.cast(pa.int64()), 0)), np.asarray(ids.is_valid())
