@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
 from logscope.llm import (
-    bin_packing, hamming_search, license_scan, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup,
+    bin_packing, hamming_search, html_wrappers, license_scan, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup,
     weak_labels,
 )
 
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_weak_labels": weak_labels.op4_weak_labels,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op7_html_wrappers": html_wrappers.op7_html_wrappers,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_source_mixing": source_mixing.op9_source_mixing,
     "op10_hamming_search": hamming_search.op10_hamming_search,

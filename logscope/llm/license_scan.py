@@ -106,7 +106,9 @@ def _examples(docs: DataFrame, templates: DataFrame) -> DataFrame:
     alike = own.join(F.broadcast(templates.select("shingles")), _held(F.col("paragraph"), F.col("shingles")) >= 0.5, "left_anti")
     unknown = alike.select(F.lit(UNKNOWN).alias("family"), "tokens", (F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 3).alias("held_out"))
     label = F.element_at(F.create_map(*[x for k, f in enumerate(FAMILIES) for x in (F.lit(f), F.lit(float(k)))]), F.col("family"))
-    return common.written(known.unionByName(unknown).select("family", label.alias("label"), _grams(F.col("tokens")).alias("grams"), "held_out"), "examples")
+    rows = known.unionByName(unknown).select("family", label.alias("label"), _grams(F.col("tokens")).alias("grams"), "held_out")
+    # A few thousand rows: two tasks for each of the many passes of the estimators.
+    return common.written(rows.coalesce(2), "examples")
 
 
 def _scored(paragraphs: DataFrame, weights: DataFrame, intercepts: list[float]) -> DataFrame:
