@@ -126,19 +126,20 @@ class Classifier:
         spark = docs.sparkSession
         self.templates = _templates(spark)
         examples = _examples(docs, self.templates)
-        counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(examples.where("NOT held_out"))
+        # The features are the n-grams of notices; what else a paragraph of the corpus says is no evidence for a family.
+        counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(examples.where(F.col("label") > 0))
         # Each class weighs the same, as families have few examples and unknown has many.
         sizes = examples.groupBy("label").agg(F.count("*").alias("n"))
         train = counter.transform(examples.where("NOT held_out")).join(F.broadcast(sizes), "label").withColumn("weight", 1 / F.col("n"))
-        fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-4, elasticNetParam=1.0, maxIter=100).fit(train)
+        fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-4, elasticNetParam=1.0, maxIter=60, tol=1e-4).fit(train)
         matrix, self.intercepts = fitted.coefficientMatrix.toArray(), [float(b) for b in fitted.interceptVector.toArray()]
         rows = [(g, *map(float, matrix[:, j])) for j, g in enumerate(counter.vocabulary) if abs(matrix[:, j]).max() > 1e-6]
         schema = StructType([StructField("gram", StringType()), *[StructField(f"w{k}", DoubleType()) for k in range(len(FAMILIES))]])
         self.weights = common.written(spark.createDataFrame(rows, schema), "weights")
         positive = sorted(g for g, w0, *w in rows if max(w) > w0)
         self.words = sorted({min(g.split(" "), key=lambda w: (-len(w), w)) for g in positive})
-        named = examples.where("held_out").withColumn("paragraph", F.monotonically_increasing_id())
-        margins = _scored(common.written(named, "held"), self.weights, self.intercepts)
+        named = common.written(examples.where("held_out").withColumn("paragraph", F.monotonically_increasing_id()), "held")
+        margins = _scored(named, self.weights, self.intercepts)
         held = named.join(margins, "paragraph").select((F.col("label") > 0).cast("double").alias("label"), "margin")
         line = LogisticRegression(regParam=1e-3).fit(VectorAssembler(inputCols=["margin"], outputCol="features").transform(held))
         self.slope, self.shift = float(line.coefficients[0]), float(line.intercept)

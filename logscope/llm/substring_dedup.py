@@ -16,7 +16,7 @@ words of all windows that hold it.
 A path counts as equal by 128 bits (the anchor's 64 and 64 of the path), a window by 128 bits.
 
 Defined results: a null or blank text has no words and nothing removed; a row without doc_id is kept whole and removes
-nothing elsewhere; rows that share a doc_id never remove from one another, and each gives a row of the result.
+nothing elsewhere; rows that share a doc_id never remove from one another, and each gives a row of the result. Columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -162,9 +162,9 @@ def _resolve_paths(mail: pa.Table) -> pa.Table:
 
 def _edges(batches: Iterator[pa.RecordBatch], window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        batch = batch.filter(pc.greater(pc.list_value_length(batch.column("places")), 0))
+        batch = batch.filter(pc.greater(pc.list_value_length(batch.column("_places")), 0))
         ids, _ = _ids(batch)
-        lists, parts = batch.column("places"), []
+        lists, parts = batch.column("_places"), []
         for lo, hi in common.steps(batch, "text"):
             w = _Words(batch.column("text")[lo:hi], window, gram)
             pos = np.concatenate([w.first[r] + _listed(lists[lo + r], BRANCH)[0] for r in range(hi - lo)])
@@ -198,7 +198,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, gram: int, keep_text
         for lo, hi in common.steps(batch, "text"):
             w = _Words(batch.column("text")[lo:hi], window, gram)
             change = np.zeros(w.n + 1, np.int32)
-            for column in ("places", "edges"):
+            for column in ("_places", "_edges"):
                 for kind in (PATH, EDGE):
                     pos, proof = [], []
                     for r in range(hi - lo):
@@ -230,7 +230,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, gram: int, keep_text
                     spans.append([])
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept if keep_text else b"")
-        names = [n for n in batch.schema.names if n not in ("places", "edges") and (keep_text or n != "text")]
+        names = [n for n in batch.schema.names if n not in ("_places", "_edges") and (keep_text or n != "text")]
         columns = [batch.column(n) for n in names] + [
             pa.array([x for x, _ in counts], pa.int64()), pa.array([x for _, x in counts], pa.int64()), pa.array(digests, pa.string()),
             pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
@@ -243,7 +243,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, gram: int, keep_text
 
 
 def _per_document(places: DataFrame) -> DataFrame:
-    return places.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "pos", "proof")).alias("places"))
+    return places.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "pos", "proof")).alias("_places"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
@@ -254,6 +254,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, kee
     """
     if not 0 < gram <= window:
         raise ValueError("gram must be from 1 to window")
+    docs = docs.drop("_places", "_edges", "_n_words", "_n_removed", "_kept_sha256", "_spans", "_kept")
     buckets = common.bucket_count(docs, "text", BUCKET_BYTES)
     ours = docs.select("doc_id", "text")
     arguments = {"window": window, "gram": gram, "buckets": buckets}
@@ -264,11 +265,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, kee
     places = common.written(_per_document(resolved(_paths, ours, _resolve_paths)), "places")
 
     def of_kind(kind: int) -> DataFrame:
-        return places.withColumn("places", F.filter("places", lambda p: p["kind"] == kind))
+        return places.withColumn("_places", F.filter("_places", lambda p: p["kind"] == kind))
 
     # Both joins are outer ones, so that the documents are shuffled once and read twice.
-    branching = docs.join(of_kind(BRANCH), "doc_id", "left").select("doc_id", "text", "places")
-    edges = _per_document(resolved(_edges, branching, _resolve_edges)).withColumnRenamed("places", "edges")
+    branching = docs.join(of_kind(BRANCH), "doc_id", "left").select("doc_id", "text", "_places")
+    edges = _per_document(resolved(_edges, branching, _resolve_edges)).withColumnRenamed("_places", "_edges")
     listed = docs.join(of_kind(PATH), "doc_id", "left").join(edges, "doc_id", "left")
     more = "_n_words long, _n_removed long, _kept_sha256 string, _spans array<struct<start:int,end:int>>"
     fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]

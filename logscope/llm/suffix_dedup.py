@@ -17,7 +17,7 @@ Hashes are taken at 128 bits in all (64 of the gram and 64 of what is around it)
 
 Defined results: a null text has no bytes; a row without doc_id is kept whole and is no occurrence; rows that share a
 doc_id are occurrences of their own, so that a repeated row loses what is long enough in both; ``_kept`` may cut a
-character in two, so it is binary.
+character in two, so it is binary; columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -167,11 +167,11 @@ def _fetcher(length: int, gram: int, buckets: int):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each listed anchor the bytes around its gram, to the bucket of what is before it and of what is behind it."""
         for batch in batches:
-            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("places")), 0))
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("_places")), 0))
             ids, parts, texts = np.asarray(batch.column("doc_id").cast(pa.int64())), [], []
             for lo, hi in common.steps(batch, "text"):
                 b = _Bytes(batch.column("text")[lo:hi], length, gram)
-                pos = [b.starts[r] + np.unique(_listed(batch.column("places")[lo + r], BRANCH, "pos")[0]) for r in range(hi - lo)]
+                pos = [b.starts[r] + np.unique(_listed(batch.column("_places")[lo + r], BRANCH, "pos")[0]) for r in range(hi - lo)]
                 pos = np.concatenate([p[p + gram < b.starts[r + 1]] for r, p in enumerate(pos)])
                 proof = b.hashes(pos)
                 doc, begin, end = b.around(pos)
@@ -299,7 +299,7 @@ def _remover(length: int, gram: int, keep_text: bool):
                 for r in range(hi - lo):
                     a, e = int(b.starts[r]), int(b.starts[r + 1]) - 1
                     change = np.zeros(e - a + 1, np.int32)
-                    for column in ("places", "edges"):
+                    for column in ("_places", "_edges"):
                         start, size, pos, proof = _listed(batch.column(column)[lo + r], SPAN, "start", "size", "pos", "proof")
                         ok = pos + gram <= e - a
                         start, size, pos, proof = start[ok], size[ok], pos[ok], proof[ok]
@@ -311,7 +311,7 @@ def _remover(length: int, gram: int, keep_text: bool):
                     text = b.data[a:e][~gone].tobytes()
                     spans = [{"start": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist())]
                     made.append((e - a, int(gone.sum()), len(spans), hashlib.sha256(text).hexdigest(), spans, text if keep_text else None))
-            names = [n for n in batch.schema.names if n not in ("places", "edges", "text")]
+            names = [n for n in batch.schema.names if n not in ("_places", "_edges", "text")]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
             columns = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)][: 6 if keep_text else 5]
             more = ["_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_spans", "_kept"][: len(columns)]
@@ -328,22 +328,23 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_t
     """
     if not 0 < gram < length or (length - gram) % 16:
         raise ValueError("length must exceed gram by a multiple of 16")
+    docs = docs.drop("_places", "_edges", "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_spans", "_kept")
     buckets = common.bucket_count(docs, "text", BUCKET_BYTES)
     ours = docs.select("doc_id", "text")
 
     def per_document(places: DataFrame) -> DataFrame:
-        return places.groupBy("doc_id").agg(F.collect_list(F.struct(*_NAMES[1:])).alias("places"))
+        return places.groupBy("doc_id").agg(F.collect_list(F.struct(*_NAMES[1:])).alias("_places"))
 
     sent = ours.mapInArrow(_sender(length, gram, buckets), _SENT)
     places = common.written(per_document(sent.groupBy("bucket").applyInArrow(_resolve, _PLACE)), "places")
 
     def of_kind(kind: int) -> DataFrame:
-        return places.withColumn("places", F.filter("places", lambda p: p["kind"] == kind))
+        return places.withColumn("_places", F.filter("_places", lambda p: p["kind"] == kind))
 
     # Both joins are outer ones, so that the documents are shuffled once and read twice.
-    branching = docs.join(of_kind(BRANCH), "doc_id", "left").select("doc_id", "text", "places")
+    branching = docs.join(of_kind(BRANCH), "doc_id", "left").select("doc_id", "text", "_places")
     sides = branching.mapInArrow(_fetcher(length, gram, buckets), _SIDES)
-    edges = per_document(sides.groupBy("bucket").applyInArrow(_sorter(length, gram), _PLACE)).withColumnRenamed("places", "edges")
+    edges = per_document(sides.groupBy("bucket").applyInArrow(_sorter(length, gram), _PLACE)).withColumnRenamed("_places", "_edges")
     listed = docs.join(of_kind(SPAN), "doc_id", "left").join(edges, "doc_id", "left")
     more = "_n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, _spans array<struct<start:long,end:long>>"
     schema = T.StructType([*[f for f in docs.schema.fields if f.name != "text"], *T.StructType.fromDDL(more + (", _kept binary" if keep_text else "")).fields])
