@@ -12,11 +12,15 @@ from logscope.options import LogOptions
 
 @dataclass(frozen=True)
 class LogResult:
-    """Lazy frames: the summary of all lines, the selected lines as entries and as CSV rows."""
+    """Lazy frames: the summary of all lines, the selected lines as entries and as CSV rows, counts over time of
+    the view and those of its error peaks, and the page of the view that was asked for."""
 
     summary: DataFrame
     logs: DataFrame
     csv: DataFrame | None
+    histogram: DataFrame
+    anomalies: DataFrame
+    page: DataFrame | None
     view: LogFrame = field(repr=False)
 
 
@@ -35,7 +39,7 @@ def analyze_frame(frame: LogFrame, options: LogOptions = LogOptions()) -> LogRes
     if options.errors_only:
         view = view.errors_only()
     if options.text:
-        view = view.text(options.text, options.regex)
+        view = view.text(options.text, options.regex, options.dialect)
     limit = options.limit
     if limit is None and not options.csv:
         limit = options.shown_lines
@@ -49,5 +53,8 @@ def analyze_frame(frame: LogFrame, options: LogOptions = LogOptions()) -> LogRes
         summary=frame.summary(options.top_errors),
         logs=log_entries(lines),
         csv=csv_rows(lines, year=options.year) if options.csv else None,
+        histogram=view.time_histogram(options.interval, options.year),
+        anomalies=view.error_anomalies(options.interval, options.error_threshold, options.year),
+        page=None if options.page is None else view.page(options.page, options.page_size),
         view=view,
     )

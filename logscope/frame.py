@@ -13,6 +13,10 @@ from logscope.sources.files import number_lines, read_lines
 from logscope.sources.memory import lines_from_text
 
 
+# Fixed value: how an export's metadata name this filter.
+ERRORS_LABEL = "Errors only"
+
+
 @dataclass(frozen=True)
 class Filter:
     label: str
@@ -43,16 +47,16 @@ class LogFrame:
 
     def errors_only(self, broad: bool = False) -> "LogFrame":
         test = filters.has_broad_error if broad else filters.has_error
-        return self.with_filter("errors", "Errors only", test(F.col("line")))
+        return self.with_filter("errors", ERRORS_LABEL, test(F.col("line")))
 
     def toggle_errors(self) -> "LogFrame":
         return self.without("errors") if "errors" in self.filters else self.errors_only(broad=True)
 
-    def text(self, text: str, regex: bool = False) -> "LogFrame":
-        return self.with_filter("text", f'Text: "{text}"', filters.text_filter(F.col("line"), text, regex))
+    def text(self, text: str, regex: bool = False, dialect: str = "basic") -> "LogFrame":
+        return self.with_filter("text", f'Text: "{text}"', filters.text_filter(F.col("line"), text, regex, dialect))
 
-    def severity(self, pattern: str) -> "LogFrame":
-        return self.with_filter("severity", f'Severity: "{pattern}"', filters.matches(F.col("line"), pattern))
+    def severity(self, pattern: str, dialect: str = "basic") -> "LogFrame":
+        return self.with_filter("severity", f'Severity: "{pattern}"', filters.matches(F.col("line"), pattern, dialect))
 
     def between(
         self, start: str | None = None, end: str | None = None, window: str = "lexical",
@@ -73,6 +77,10 @@ class LogFrame:
     def labels(self) -> list[str]:
         return [f.label for f in self.filters.values()]
 
+    @property
+    def tests(self) -> list:
+        return [f.test for f in self.filters.values()]
+
     def _keep(self, df: DataFrame) -> DataFrame:
         for f in self.filters.values():
             df = filters.where(df, f.test)
@@ -89,7 +97,7 @@ class LogFrame:
         return self._keep(df if "line_no" in df.columns else number_lines(df))
 
     def counts(self) -> DataFrame:
-        return filters.filter_counts(self.lines, *[f.test for f in self.filters.values()])
+        return filters.filter_counts(self.lines, *self.tests)
 
     # -- positions -------------------------------------------------------------------
 
@@ -111,7 +119,8 @@ class LogFrame:
     def search(self, text: str, start: int, direction: str = "forward") -> DataFrame:
         return filters.search(self.numbered, text, start, direction)
 
-    # -- results; all but the summary and the reports are of the view --------------------
+    # -- results: of the view, except for the summary, the reports, the detected format and
+    # -- stack traces, which are of all lines
 
     def summary(self, top: int = 5, filtered: bool = False) -> DataFrame:
         return summary.summarize(self.view if filtered else self.lines, top)
@@ -138,7 +147,19 @@ class LogFrame:
         return formats.parse_format(self.view, name)
 
     def stacktraces(self) -> DataFrame:
-        return records.stacktrace_records(self.clear().numbered)
+        """Records of all lines: filters would tear them, so filter the records instead."""
+        return records.stacktrace_records(self.lines)
+
+    def stacktrace_lines(self) -> DataFrame:
+        """The lines of those records one by one, with the line number of their head."""
+        return records.stacktrace_lines(self.lines)
+
+    def error_anomalies(self, interval: str = "hour", threshold: int = 100, year: int | None = None) -> DataFrame:
+        return histogram.error_anomalies(self.view, interval, threshold, year)
+
+    def w3c_rows(self) -> DataFrame:
+        """Rows of all lines, as headers apply to what follows them."""
+        return formats.w3c_rows(self.lines)
 
     def report(self, kind: str = "text", year: int | None = None):
         """``csv`` and ``json`` give a frame, ``text`` the frames of its three parts."""
@@ -151,7 +172,10 @@ class LogFrame:
         write_csv(self.csv_rows(profile, year), path)
 
     def export(self, path: str, scope: str = "filtered", year: int | None = None) -> None:
-        export.export_view(self.lines, self.view, path, self.labels, self.source, scope, year)
+        export.export_view(self.lines, self.view, path, self.tests, self.labels, self.source, scope, year)
+
+    def export_metadata(self, scope: str = "filtered") -> DataFrame:
+        return export.export_metadata(self.lines, self.tests, self.labels, self.source, scope)
 
 
 def read(spark: SparkSession, paths: str | list[str]) -> LogFrame:

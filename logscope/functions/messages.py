@@ -35,8 +35,8 @@ def with_message(df: DataFrame, profile: str = "csv", year: int | None = None) -
 def csv_message(line: Column, ts: Column) -> Column:
     """What follows the timestamp, a first word and a word like a host name."""
     text = after_first(line, ts)
-    text = F.regexp_replace(text, r"(?s)^.*?(?:\s*[A-Za-z]+:\s+|\s+[A-Za-z]+\s+)", "")
-    text = F.regexp_replace(F.ltrim(text, F.lit(WHITE_SPACE)), r"^[a-zA-Z0-9_-]+\s+", "")
+    text = F.regexp_replace(text, P.CSV_LEAD, "")
+    text = F.regexp_replace(F.ltrim(text, F.lit(WHITE_SPACE)), P.CSV_HOST, "")
     return F.when(ts.isNull(), line).otherwise(text)
 
 
@@ -53,26 +53,20 @@ def computed_separator(df: DataFrame) -> DataFrame:
     NULL if nothing is left or the rest looks like a comment.
     """
     text = F.replace(F.col("uncut"), F.lit("\r"), F.lit(""))
-    text = F.regexp_replace(text, r"(?s)^(?:.*:\s*|(?=.* - ).*- )", "")
+    text = F.regexp_replace(text, P.LAST_SEPARATOR, "")
     text = F.nullif(F.regexp_replace(text, "(?s)^#.*$", ""), F.lit(""))
     return computed(df.withColumnRenamed("message", "uncut"), message=text).drop("uncut")
 
 
 def contextual_message(line: Column, ts: Column) -> Column:
     """What follows a level word, else ``file:line:``, else ``process[pid]:``."""
-    lead = (
-        rf"(?s)^(?:(?i:.*?\b(?:{P.MESSAGE_LEVELS})[: ] *)"
-        r"|.*?[a-zA-Z0-9._-]+:[0-9]+: *|.*?[a-zA-Z0-9._-]+\[[0-9]+\]: *)"
-    )
-    text = F.when(ts.isNull(), line).otherwise(F.regexp_replace(remove_first(line, ts), lead, ""))
+    text = F.when(ts.isNull(), line).otherwise(F.regexp_replace(remove_first(line, ts), P.CONTEXT_LEAD, ""))
     return F.rtrim(F.ltrim(text, F.lit(" \t:")), F.lit(WHITE_SPACE))
 
 
 def error_message(line: Column) -> Column:
     """Error text free of a leading timestamp and of all through the last ERROR; may be empty."""
     text = strip(line)
-    text = F.regexp_replace(text, rf"^{P.ISO_T_OR_SPACE}{P.ISO_TAIL}", "")
-    text = F.regexp_replace(
-        text, r"^[A-Za-z]{3} +[0-9]+ +[0-9]{2}:[0-9]{2}:[0-9]{2} +(?:[0-9]{4})?", "")
-    text = F.regexp_replace(text, r"^[0-9]{2}/[0-9]{2}/[0-9]{4} +[0-9]{2}:[0-9]{2}:[0-9]{2}", "")
-    return strip(F.regexp_replace(text, r"(?s)^.*ERROR:?\s*", ""))
+    for lead in P.ERROR_LEADS:
+        text = F.regexp_replace(text, lead, "")
+    return strip(text)

@@ -87,6 +87,23 @@ CONTEXT_SEVERITY_WORDS = (
 BROAD_ERRORS = ("error", "critical", "fatal", "exception", "fail")
 MESSAGE_LEVELS = "ERROR|ERR|WARNING|WARN|INFO|DEBUG|NOTICE|TRACE|FATAL|CRITICAL|CRIT|EMERG|ALERT"
 
+# --- what stands before a message (fixed values) ----------------------------------
+# Quantifiers are possessive and starts are looked behind, so that each run of letters,
+# digits or blanks is read once however long it is.
+CSV_LEAD = r"(?s)^.*?(?:(?<!\s)\s*+(?<![A-Za-z])[A-Za-z]++:\s+|(?<!\s)\s++[A-Za-z]++\s+)"
+CSV_HOST = r"^[a-zA-Z0-9_-]++\s+"
+LAST_SEPARATOR = r"(?s)^(?:.*:\s*|(?=.* - ).*- )"
+CONTEXT_LEAD = (
+    rf"(?s)^(?:(?i:.*?\b(?:{MESSAGE_LEVELS})[: ] *)"
+    r"|.*?(?<![a-zA-Z0-9._-])[a-zA-Z0-9._-]++:[0-9]++: *|.*?(?<![a-zA-Z0-9._-])[a-zA-Z0-9._-]++\[[0-9]++\]: *)"
+)
+ERROR_LEADS = (
+    rf"^{ISO_T_OR_SPACE}{ISO_TAIL}",
+    r"^[A-Za-z]{3} +[0-9]+ +[0-9]{2}:[0-9]{2}:[0-9]{2} +(?:[0-9]{4})?",
+    r"^[0-9]{2}/[0-9]{2}/[0-9]{4} +[0-9]{2}:[0-9]{2}:[0-9]{2}",
+    r"(?s)^.*ERROR:?\s*",
+)
+
 # --- lines ------------------------------------------------------------------------
 COMMENT = r"^\s*#"
 CONTROL_CHARACTERS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"

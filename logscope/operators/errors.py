@@ -8,10 +8,6 @@ from logscope.functions.patterns import COMMENT
 from logscope.functions.text import bar, collapse_blanks, sanitize_text
 from logscope.operators.filters import has_error
 
-# Spark trims a "row_number() <= k" window before its shuffle up to this k.
-GROUP_LIMIT = 1000
-SALTS = 64
-
 
 def top_errors(df: DataFrame, n: int = 5, by_file: bool = False) -> DataFrame:
     """The ``n`` most frequent lines with "error": ``occurrences, message, display``.
@@ -30,20 +26,21 @@ def top_errors(df: DataFrame, n: int = 5, by_file: bool = False) -> DataFrame:
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """First ``n`` rows of each group, without bringing a whole group to one task."""
-    if n > GROUP_LIMIT:
-        salted = df.withColumn("salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-        df = _first_rows(salted, [*keys, "salt"], order, n).drop("salt")
-    return _first_rows(df, keys, order, n)
-
-
-def _first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """First ``n`` rows of each group. Each task hands on its first ``n`` of a group, up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; raise that for a greater ``n``."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n).drop("rank")
 
 
 def unique_errors(df: DataFrame, threshold: int = 1) -> DataFrame:
-    """Cleaned error messages with at least ``threshold`` occurrences; comments left out."""
+    """Cleaned error messages with at least ``threshold`` occurrences, the most frequent first; comments left out.
+
+    Equally frequent ones are in descending binary order.
+    """
+    return _unique_errors(df, threshold).orderBy(F.desc("occurrences"), F.desc("message"))
+
+
+def _unique_errors(df: DataFrame, threshold: int) -> DataFrame:
     line = F.col("line")
     return (
         df.where(has_error(line) & ~line.rlike(COMMENT))
@@ -56,10 +53,9 @@ def unique_errors(df: DataFrame, threshold: int = 1) -> DataFrame:
 
 
 def error_chart(df: DataFrame, threshold: int = 1) -> DataFrame:
-    """Unique errors with a bar each; messages sanitised and cut to 50 characters."""
-    errors = unique_errors(df, threshold)
-    largest = errors.agg(F.max("occurrences")).scalar()
-    return errors.select(
+    """Unique errors in their order with a bar each; messages sanitised and cut to 50 characters."""
+    largest = _unique_errors(df, threshold).agg(F.max("occurrences")).scalar()
+    return unique_errors(df, threshold).select(
         "occurrences",
         F.substring(sanitize_text(F.col("message")), 1, 50).alias("message"),
         bar(F.col("occurrences"), largest).alias("bar"),

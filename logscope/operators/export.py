@@ -3,28 +3,28 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logscope.operators.filters import filter_counts
 from logscope.operators.rows import csv_rows
 from logscope.sources.csv import write_csv
 
 
 def export_metadata(
-    everything: DataFrame, view: DataFrame, filters: list[str], source: str, scope: str
+    everything: DataFrame, tests: list, filters: list[str], source: str, scope: str
 ) -> DataFrame:
-    """One row: date, source, scope, entries in all and in the view, filter labels."""
-    filtered = view.agg(F.count("*").alias("n")).scalar()
+    """One row: date, source, scope, entries in all and of those that pass the tests, filter labels."""
     labels = F.array(*[F.lit(f) for f in filters]) if filters else F.array().cast("array<string>")
-    return everything.agg(F.count("*").alias("total_entries")).select(
+    return filter_counts(everything, *tests).select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("export_date"),
         F.lit(source).alias("source"),
         F.lit(scope).alias("export_type"),
-        "total_entries",
-        filtered.alias("filtered_entries"),
+        F.col("total").alias("total_entries"),
+        F.col("kept").alias("filtered_entries"),
         labels.alias("filters"),
     )
 
 
 def export_view(
-    everything: DataFrame, view: DataFrame, path: str, filters: list[str], source: str,
+    everything: DataFrame, view: DataFrame, path: str, tests: list, filters: list[str], source: str,
     scope: str = "filtered", year: int | None = None,
 ) -> None:
     """Write ``path/data`` (CSV) and ``path/metadata`` (JSON)."""
@@ -32,4 +32,4 @@ def export_view(
         raise ValueError("scope is 'filtered' or 'full'")
     rows = csv_rows(view if scope == "filtered" else everything, "view", year)
     write_csv(rows, f"{path}/data")
-    export_metadata(everything, view, filters, source, scope).write.json(f"{path}/metadata")
+    export_metadata(everything, tests, filters, source, scope).write.json(f"{path}/metadata")

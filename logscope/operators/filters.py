@@ -39,9 +39,38 @@ def has_broad_error(line: Column) -> Column:
     return contains_any(F.lower(line), P.BROAD_ERRORS)
 
 
-def matches(line: Column, pattern: str) -> Column:
-    """Regular expression, any case."""
-    return line.rlike(f"(?i){pattern}")
+def basic_regex(pattern: str) -> str:
+    """A POSIX basic regular expression as a Java one.
+
+    There ``\\|``, ``\\+``, ``\\?``, ``\\{``, ``\\(`` are operators and the bare characters are text; a star
+    at the beginning is text, and in brackets a backslash is.
+    """
+    out, at, fresh = [], 0, True
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\" and at + 1 < len(pattern):
+            at += 1
+            c = pattern[at]
+            out.append(c if c in "|+?{}()" else "\\" + c)
+            fresh = c in "(|"
+        elif c == "[" and (end := pattern.find("]", at + 2 + pattern.startswith("[^", at))) > 0:
+            inner = pattern[at + 1 : end].replace("\\", "\\\\").replace("&&", "&\\&")
+            inner = inner if inner.startswith("[:") else inner.replace("[", "\\[")
+            out.append(f"[{inner}]".replace("[^]", "[^\\]").replace("[]", "[\\]"))
+            at, fresh = end, False
+        else:
+            text = c in "|+?{}()" or c == "*" and fresh or c == "^" and not fresh or c == "$" and at + 1 < len(pattern) and pattern[at + 1 : at + 3] != "\\|"
+            out.append("\\" + c if text else c)
+            fresh = c == "^" and fresh
+        at += 1
+    return "".join(out)
+
+
+def matches(line: Column, pattern: str, dialect: str = "basic") -> Column:
+    """Regular expression, any case: a POSIX basic one, or with ``dialect="java"`` one of Spark."""
+    if dialect not in ("basic", "java"):
+        raise ValueError("dialect is 'basic' or 'java'")
+    return line.rlike(f"(?i){basic_regex(pattern) if dialect == 'basic' else pattern}")
 
 
 def has_text(line: Column, text: str) -> Column:
@@ -49,8 +78,8 @@ def has_text(line: Column, text: str) -> Column:
     return F.lower(line).contains(text.lower())
 
 
-def text_filter(line: Column, text: str, regex: bool = False) -> Column:
-    return matches(line, text) if regex else has_text(line, text)
+def text_filter(line: Column, text: str, regex: bool = False, dialect: str = "basic") -> Column:
+    return matches(line, text, dialect) if regex else has_text(line, text)
 
 
 def in_lexical_window(line: Column, start: str | None = None, end: str | None = None) -> Predicate:

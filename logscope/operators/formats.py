@@ -11,7 +11,8 @@ from logscope.functions.severity import level_text
 from logscope.functions.staged import computed
 from logscope.functions.text import first_match
 from logscope.operators.joins import join_per_file
-from logscope.operators.ranking import BLOCK
+from logscope.operators.ranking import BLOCK, position, with_block
+from logscope.sources.files import bounded, split_shifts
 
 SAMPLE_LINES = 20
 MARK = "\u0001"
@@ -52,13 +53,13 @@ BUILT_IN = (
     _format("postgresql", "timestamp pid user database severity message",
             r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)? [A-Z]+) \[([0-9-]+)\] (?:user=([^,]+),)?(?:db=([^,]+),)?(?: )?((?:DEBUG|INFO|NOTICE|WARNING|ERROR|LOG|FATAL|PANIC)[^:]*): (.*)$", 8),
     _format("django", "timestamp severity module message",
-            r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]+) +([A-Z]+) +([^:]+): +(.*)$", 9),
+            r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]+) +([A-Z]+) ++([^:]++): +(.*)$", 9),
     _format("kubernetes", "timestamp severity component message",
-            r"^([A-Z][a-z]{2} [A-Z][a-z]{2} [ 0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} [0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]+Z) +([A-Z]+) +([^:]+): +(.*)$", 10),
+            r"^([A-Z][a-z]{2} [A-Z][a-z]{2} [ 0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} [0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]+Z) +([A-Z]+) ++([^:]++): +(.*)$", 10),
     _format("winston", "timestamp severity message",
             r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]+Z) +([A-Z]+) +(.*)$", 11),
     _format("java_stacktrace", "exception message",
-            r"^((?:[\w$]+\.)+[\w$]+(?:Exception|Error|Throwable)): (.*)$", 12),
+            r"^((?:[\w$]++\.)++[\w$]+(?:Exception|Error|Throwable)): (.*)$", 12),
     _format("w3c_iis", "fields data", r"^(?:#Fields: (.*)|([0-9-]+ [0-9:]+ .*))$", 13, "^#Fields: "),
     _format("simple", "timestamp severity message",
             r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})?) +([A-Z]+) +(.*)$", 14),
@@ -66,7 +67,9 @@ BUILT_IN = (
             "remote_addr remote_user timestamp request status body_bytes_sent http_referer http_user_agent",
             r'^([^ ]+) - ([^ ]+) \[([^\]]+)\] "([^"]*)" ([0-9]+) ([0-9]+) "([^"]*)" "([^"]*)"', None),
 )
-ALIASES = {"json_log": "json", "simple_log": "simple"}
+ALIASES = {"json_log": "json"}
+# Lines of this format are in the right form already: parsing hands them on as ``entry``.
+PASS_THROUGH = "simple_log"
 
 
 class FormatRegistry:
@@ -111,6 +114,8 @@ def format_parts(line: Column, fmt: LogFormat) -> Column:
 
 def parse_format(df: DataFrame, name: str, registry: FormatRegistry = REGISTRY) -> DataFrame:
     """The lines with the fields of a named format, NULL where a line is of another one."""
+    if name == PASS_THROUGH:
+        return df.withColumn("entry", F.col("line"))
     fmt = registry[name]
     parts = F.col("parts")
     values = [
@@ -154,22 +159,22 @@ def w3c_rows(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """Data lines of W3C files as a map from the field names of their ``#Fields:`` header.
 
     A file may repeat its header; a data line takes the nearest one above it. Within a
-    block of lines that is a running last value, and the last header of earlier blocks
-    comes from a table of one row per block.
+    block of lines (a split, for lines as read) that is a running last value, and the
+    last header of earlier blocks comes from a table of one row per block. Of a name
+    that a header repeats, the last value counts.
     """
     header = F.nullif(F.regexp_extract("line", "^#Fields: (.*)$", 1), F.lit(""))
     is_data = F.col("line").rlike("^[0-9-]+ [0-9:]+ ")
-    lines = df.select("file", "line_no", "line", header.alias("names")).withColumn(
-        "block", F.call_function("div", F.col("line_no"), F.lit(block))
+    blocked = with_block(df, block)
+    places = [c for c in df.columns if c != "line"]
+    lines = blocked.select("file", "block", position(df).alias("at"), "line", header.alias("names"), *[c for c in places if c not in ("file", "block")])
+    by_block = Window.partitionBy("file").orderBy("block")
+    last = lines.where("names is not null").groupBy("file", "block").agg(F.max_by("names", "at").alias("names"))
+    carried = (
+        lines.groupBy("file", "block").agg(F.count("*").alias("n")).join(last, ["file", "block"], "left")
+        .select("file", "block", F.last("names", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     )
-    own_at = F.when(F.col("names").isNotNull(), F.col("line_no"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = lines.groupBy("file", "block").agg(F.max(own_at).alias("at")).select(
-        "file", "block", F.max("at").over(earlier).alias("at")
-    )
-    headers = lines.where("names is not null").select("file", F.col("line_no").alias("at"), F.col("names").alias("carried"))
-    carried = before.join(headers, ["file", "at"], "left").select("file", "block", "carried")
-    so_far = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     named = (
         lines.where(is_data | F.col("names").isNotNull())
         .withColumn("names", F.last("names", ignorenulls=True).over(so_far))
@@ -178,20 +183,20 @@ def w3c_rows(df: DataFrame, block: int = BLOCK) -> DataFrame:
         .where(is_data & F.col("names").isNotNull())
     )
     names, values = F.split("names", " "), F.split("line", " ")
-    width = F.least(F.size(names), F.size(values))
-    return named.select(
-        "file", "line_no",
-        F.map_from_arrays(F.slice(names, F.lit(1), width), F.slice(values, F.lit(1), width)).alias("row"),
-    )
+    pairs = F.slice(F.arrays_zip(names.alias("key"), values.alias("value")), F.lit(1), F.least(F.size(names), F.size(values)))
+    once = F.filter(pairs, lambda pair, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == pair["key"]))
+    return named.select(*places, F.map_from_entries(once).alias("row"))
 
 
 def head_lines(df: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
     """The first ``n`` lines of each file."""
     if "line_no" in df.columns:
         return df.where(F.col("line_no") <= n)
-    # a long line may fill a whole split, so the head can span several of them
-    first = Window.partitionBy("file").orderBy("block", "seq")
-    return df.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n).drop("rank")
+    # A long line may fill a whole split, so the head can span several of them: at most
+    # ``n``, which the counts of all splits tell. No line is sorted for that.
+    shifts = split_shifts(df)
+    wanted = bounded(df, shifts.where(F.col("first") + F.col("shift") <= n).drop("first"))
+    return df.join(wanted, ["file", "block"]).where(F.col("seq") + F.col("shift") <= n).select(*df.columns)
 
 
 def _first_pattern(patterns, flags: str = "") -> Column:

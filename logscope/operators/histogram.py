@@ -14,13 +14,17 @@ GRAINS = {"minute": "yyyy-MM-dd HH:mm", "hour": "yyyy-MM-dd HH", "day": "yyyy-MM
 
 
 def time_histogram(df: DataFrame, interval: str = "hour", year: int | None = None) -> DataFrame:
-    """``file, bucket, count`` of every timestamp of the file's form.
+    """``file, bucket, count`` of every timestamp of the file's form, in the order of files and buckets.
 
     The form of a file is the first detection pattern that occurs in it. All forms
     are counted in one pass and the others dropped from the (small) counts. Buckets
     are grouped as instants and written out afterwards; a timestamp that cannot be
     read is its own bucket. An unknown interval means hours.
     """
+    return _time_histogram(df, interval, year).orderBy("file", "bucket")
+
+
+def _time_histogram(df: DataFrame, interval: str, year: int | None) -> DataFrame:
     grain = interval if interval in GRAINS else "hour"
     instant = to_ts(F.col("text"), year)
     counts = (

@@ -3,17 +3,20 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_FILES = 200_000
+from logscope.operators.ranking import BLOCK, with_block
+from logscope.sources.files import BROADCAST_BLOCKS, split_bound
 
 
-def join_per_file(df: DataFrame, per_file: DataFrame, limit: int = BROADCAST_FILES) -> DataFrame:
+def join_per_file(df: DataFrame, per_file: DataFrame, limit: int = BROADCAST_BLOCKS, block: int = BLOCK) -> DataFrame:
     """Left join on ``file``.
 
-    One file may hold much of the data, so the join should not shuffle by file: the
-    per-file side is broadcast after a check that it is small. Scans of text files
-    know their number of files; elsewhere the rows are counted, up to the limit.
-    Beyond it Spark splits skewed files at run time (adaptive skew join).
+    One file may hold much of the data, so lines are never shuffled by file. The
+    per-file side is broadcast if the scan cannot have more files than ``limit``;
+    beyond that it is spread to the blocks of its files, and lines meet it by
+    (file, block), which a split or a million lines bounds.
     """
-    scanned = "block" in df.columns
-    files = len(df.inputFiles()) if scanned else per_file.limit(limit + 1).count()
-    return df.join(F.broadcast(per_file) if files <= limit else per_file, "file", "left")
+    if split_bound(df) <= limit:
+        return df.join(F.broadcast(per_file), "file", "left")
+    blocked = with_block(df, block)
+    per_block = blocked.select("file", "block").distinct().join(per_file, "file")
+    return blocked.join(per_block, ["file", "block"], "left").select(*df.columns, *[c for c in per_file.columns if c != "file"])

@@ -10,13 +10,18 @@ numbers, are counted per split instead.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logscope.sources.files import bounded
 
 BLOCK = 1_000_000
 PAGE_SIZE = 40
-SMALL = 10_000
 
 
-def _with_block(df: DataFrame, block: int) -> DataFrame:
+def position(df: DataFrame) -> Column:
+    """What orders the lines of a block."""
+    return F.col("line_no" if "line_no" in df.columns else "seq")
+
+
+def with_block(df: DataFrame, block: int) -> DataFrame:
     """Blocks of line numbers; lines without numbers keep the split they were read in."""
     if "line_no" not in df.columns:
         return df
@@ -29,9 +34,9 @@ def _order(df: DataFrame) -> list[str]:
 
 def block_table(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """``file, block, n, before, total``: rows of the block, rows ahead of it, rows in all."""
-    blocks = _with_block(df, block).groupBy("file", "block").agg(F.count("*").alias("n"))
+    blocks = with_block(df, block).groupBy("file", "block").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per file from here on
+    # one row per file from here on: names and counts only
     earlier_files = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = blocks.groupBy("file").agg(F.sum("n").alias("file_n")).select(
         "file",
@@ -49,7 +54,7 @@ def rank_in_blocks(df: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
     """``position`` of rows in the blocks given, each block on its own."""
     in_block = Window.partitionBy("file", "block").orderBy(_order(df)[-1])
     return (
-        _with_block(df, block).join(blocks, ["file", "block"])
+        with_block(df, block).join(blocks, ["file", "block"])
         .withColumn("position", F.col("before") + F.row_number().over(in_block))
     )
 
@@ -62,19 +67,15 @@ def positions(df: DataFrame, block: int = BLOCK) -> DataFrame:
 def position_range(df: DataFrame, first: int, last: int, block: int = BLOCK) -> DataFrame:
     """Rows at positions ``first`` to ``last``."""
     blocks = block_table(df, block).where((F.col("before") < last) & (F.col("before") + F.col("n") >= first))
-    if last - first < SMALL:
-        blocks = F.broadcast(blocks)  # every block holds a row, so at most last-first+1 blocks
-    ranked = rank_in_blocks(df, blocks, block)
+    ranked = rank_in_blocks(df, bounded(df, blocks), block)
     return ranked.where(F.col("position").between(first, last)).select("position", *df.columns)
 
 
-def limit_lines(df: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
-    """First ``n`` rows in (file, line) order."""
+def limit_lines(df: DataFrame, n: int) -> DataFrame:
+    """First ``n`` rows, sorted by file and line."""
     if n < 0:
         raise ValueError("a limit cannot be negative")
-    if n <= SMALL:
-        return df.orderBy("file", *_order(df)).limit(n)
-    return position_range(df, 1, n, block).drop("position")
+    return df.orderBy("file", *_order(df)).limit(n)
 
 
 def sample_step(total: Column) -> Column:
@@ -97,9 +98,13 @@ def systematic_sample(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int = PAGE_SIZE, block: int = BLOCK) -> DataFrame:
-    """Rows of one page, with their position in the view."""
-    first = (max(number, 1) - 1) * size + 1
-    return position_range(df, first, first + size - 1, block)
+    """Rows of one page, with their position in the view; a number beyond the last page gives the last one."""
+    wanted = max(number, 1)
+    blocks = block_table(df, block).withColumn("page", F.least(F.lit(wanted), F.greatest(F.lit(1), F.ceil(F.col("total") / size))))
+    first = (F.col("page") - 1) * size + 1
+    blocks = blocks.where((F.col("before") < first + size - 1) & (F.col("before") + F.col("n") >= first))
+    ranked = rank_in_blocks(df, bounded(df, blocks), block)
+    return ranked.where(F.col("position").between(first, first + size - 1)).select("position", *df.columns)
 
 
 def page_count(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
@@ -108,6 +113,3 @@ def page_count(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return df.agg(n.alias("entries"), F.greatest(F.lit(1), F.ceil(n / size)).cast("bigint").alias("pages"))
 
 
-def turn_page(current: int, move: int, pages: int) -> int:
-    """Page number after moving, kept within 1 and ``pages``."""
-    return min(max(current + move, 1), max(pages, 1))

@@ -4,71 +4,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.operators.formats import REGISTRY
-from logscope.operators.ranking import BLOCK
+from logscope.operators.ranking import BLOCK, position, with_block
 
 CONTINUATION = r"^\tat .+"
-PART_LINES = 10_000
 
 
 def stacktrace_lines(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Head and continuation lines with ``head_no``, the line number of their record's head.
+    """``file, head_no, line_no, line``: head and continuation lines, with the line number of their record's head.
 
     ``df`` holds all lines of its files. A line belongs to the last head above it
     unless some line between is neither head nor continuation. Heads and breaks are
     marks, ``2 * line_no`` and one more for heads, so the greatest mark so far decides.
-    Within a block of lines the marks come from the kept lines alone (a break shows as
-    a gap in their numbers), and only these are shuffled; the last mark of earlier
-    blocks comes from a table of one row per block.
+    Within a block of lines (a split, for lines as read) the marks come from the kept
+    lines alone (a break shows as a gap in their places), and only these are shuffled.
+    A table of one row per block has the last mark of earlier blocks, and what turns
+    places into line numbers: two scans in all.
     """
-    line, line_no = F.col("line"), F.col("line_no")
-    blocked = df.select(
-        "file", "line_no", "line",
-        F.call_function("div", line_no, F.lit(block)).alias("block"),
-        line.rlike(REGISTRY["java_stacktrace"].regex).alias("is_head"),
+    line, at = F.col("line"), F.col("at")
+    numbered = "line_no" in df.columns
+    blocked = with_block(df, block).select(
+        "file", "block", position(df).alias("at"), "line", line.rlike(REGISTRY["java_stacktrace"].regex).alias("is_head"),
     )
     kept = F.col("is_head") | line.rlike(CONTINUATION)
-    last = blocked.groupBy("file", "block").agg(
-        F.max(F.when(F.col("is_head"), line_no * 2 + 1).when(~kept, line_no * 2)).alias("mark")
+    blocks = blocked.groupBy("file", "block").agg(
+        F.count("*").alias("n"), F.min("at").alias("first"),
+        F.max(F.when(F.col("is_head"), at * 2 + 1).when(~kept, at * 2)).alias("mark"),
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("file", "block", F.max("mark").over(earlier).alias("mark_before"))
-
-    in_block = Window.partitionBy("file", "block").orderBy("line_no")
-    so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    above = F.coalesce(F.lag("line_no").over(in_block), F.col("block") * block - 1)
-    marked = blocked.where(kept).withColumn("above", above).withColumn(
-        "mark", F.when(F.col("is_head"), line_no * 2 + 1).when(F.col("above") != line_no - 1, (line_no - 1) * 2)
+    shift = F.lit(0) if numbered else F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1
+    carried = blocks.withColumn("shift", shift).select(
+        "file", "block", "first", "shift", F.max(F.col("mark") + 2 * F.col("shift")).over(earlier).alias("mark_before")
+    )
+    in_block = Window.partitionBy("file", "block").orderBy("at")
+    above = F.coalesce(F.lag("at").over(in_block), F.col("first") - 1)
+    marked = blocked.where(kept).join(carried, ["file", "block"]).withColumn("above", above).withColumn(
+        "mark", F.when(F.col("is_head"), at * 2 + 1).when(F.col("above") != at - 1, (at - 1) * 2)
     )
-    # the join is on the columns by which the window has its rows partitioned and sorted
+    so_far = F.max("mark").over(in_block.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        marked.withColumn("mark", F.max("mark").over(so_far))
-        .join(carried, ["file", "block"])
-        .withColumn("mark", F.coalesce("mark", "mark_before"))
+        marked.withColumn("mark", F.coalesce(so_far + 2 * F.col("shift"), "mark_before"))
         .where("mark % 2 = 1")
-        .selectExpr("file", "mark div 2 as head_no", "line_no", "line")
+        .selectExpr("file", "mark div 2 as head_no", "at + shift as line_no", "line")
     )
 
 
-def stacktrace_records(df: DataFrame, block: int = BLOCK, part_lines: int = PART_LINES) -> DataFrame:
+def stacktrace_records(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per record: exception, message, the ``at`` lines as text.
 
-    A record of more than ``part_lines`` lines continues in rows with ``part`` 1, 2, …
-    so that no record, however long, has to fit one group.
+    A record is one value, however long; ``stacktrace_lines`` has the same lines one
+    by one, for records that no row should hold.
     """
-    parts = (
-        stacktrace_lines(df, block)
-        .withColumn("part", F.call_function("div", F.col("line_no") - F.col("head_no"), F.lit(part_lines)))
-        .groupBy("file", "head_no", "part").agg(
-            F.count("*").alias("n_lines"),
-            F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"),
-        )
+    records = stacktrace_lines(df, block).groupBy("file", "head_no").agg(
+        F.count("*").alias("n_lines"),
+        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"),
     )
     regex = REGISTRY["java_stacktrace"].regex
-    first = F.when(F.col("part") == 0, F.col("lines")[0]["line"])
-    body = F.when(F.col("part") == 0, F.slice("lines", F.lit(2), F.size("lines"))).otherwise(F.col("lines"))
-    return parts.select(
-        "file", "head_no", "part", "n_lines",
-        F.regexp_extract(first, regex, 1).alias("exception"),
-        F.regexp_extract(first, regex, 2).alias("message"),
-        F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("stacktrace"),
+    head = F.col("lines")[0]["line"]
+    return records.select(
+        "file", "head_no", "n_lines",
+        F.regexp_extract(head, regex, 1).alias("exception"),
+        F.regexp_extract(head, regex, 2).alias("message"),
+        F.array_join(F.transform(F.slice("lines", F.lit(2), F.size("lines")), lambda x: x["line"]), "\n").alias("stacktrace"),
     )

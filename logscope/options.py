@@ -10,6 +10,7 @@ class LogOptions:
     errors_only: bool = False
     text: str | None = None
     regex: bool = False
+    dialect: str = "basic"  # of the regular expression; or "java"
     limit: int | None = None
     sample: bool = False
     top_errors: int = 5
@@ -17,14 +18,16 @@ class LogOptions:
     window: str = "lexical"  # or "instant"
     year: int | None = None  # of timestamps without one; None is the current year
 
-    # defaults of the reports
-    interval: str = "hour"
-    error_threshold: int = 100
+    interval: str = "hour"  # of the histogram and the anomalies
+    error_threshold: int = 100  # timestamps on error lines that make an interval an anomaly
+    page: int | None = None
     page_size: int = 40
     shown_lines: int = 20  # limit when lines are shown beside a summary
 
     def __post_init__(self):
         if self.limit is not None and self.limit < 0:
             raise ValueError("limit cannot be negative")
+        if self.page_size < 1:
+            raise ValueError("page_size must be at least 1")
         if self.window not in ("lexical", "instant"):
             raise ValueError("window is 'lexical' or 'instant'")

@@ -1,13 +1,15 @@
 """The registered queries: every operator over whole tables."""
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.frame import LogFrame
+from logscope.frame import LogFrame, read
 from logscope.functions.messages import error_message, with_message
 from logscope.functions.severity import severity
 from logscope.functions.timestamps import compare_ts, extract_ts, in_range, normalize_ts, to_epoch
-from logscope.operators import errors, export, filters, formats, histogram, ranking, records, report, rows, summary
+from logscope.operators import errors, filters, formats, histogram, ranking, records, report, rows, summary
 from logscope.plans import dataset as D
 from logscope.sources.csv import read_csv, write_csv
 from logscope.sources.memory import split_text
@@ -60,8 +62,8 @@ over_lines("severity_distribution", lambda df: summary.severity_distribution(df,
 @query("summary")
 def summary_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file and frequent error, the summary's counts and range beside it."""
-    record = summary.summarize(D.log_lines(spark, sf_dir, D.FOUR_FILES))
-    return record.select("*", F.posexplode("top_errors").alias("rank", "error")).select(
+    record = summary.summarize(D.log_lines(spark, sf_dir, D.QUIET_FILE))
+    return record.select("*", F.posexplode_outer("top_errors").alias("rank", "error")).select(
         "file", "total_lines", "error_count", "warning_count", "info_count", "time_start", "time_end",
         F.col("rank").cast("bigint").alias("rank"), "error.occurrences", "error.message",
     )
@@ -122,9 +124,12 @@ def kept(name, keep):
 
 kept("filter_errors", filters.has_error)
 kept("filter_errors_broad", filters.has_broad_error)
-kept("filter_severity_regex", lambda line: filters.matches(line, "warn|debug"))
+kept("filter_severity_regex", lambda line: filters.matches(line, r"warn\|debug"))
 kept("filter_text", lambda line: filters.text_filter(line, "User login: user1"))
 kept("filter_regex", lambda line: filters.text_filter(line, r"backend-[0-3]: time", regex=True))
+kept("filter_regex_bare", lambda line: filters.text_filter(line, "warn|debug", regex=True))
+kept("filter_regex_repeat", lambda line: filters.text_filter(line, r"^20[0-9]\+-.*back\(end\)-\?[35]:", regex=True))
+kept("filter_regex_java", lambda line: filters.text_filter(line, "warn|backend-[12]+:", regex=True, dialect="java"))
 kept("filter_time_lexical", lambda line: filters.in_lexical_window(line, *WINDOW))
 kept("filter_time_epoch", lambda line: filters.in_time_window(line, *WINDOW, year=YEAR))
 kept("filter_time_range", lambda line: filters.in_time_window(line, "01/05/2024", "01/07/2024", "range", YEAR, drop_comments=True))
@@ -230,7 +235,7 @@ over_lines("report_long", lambda df: report.escaped_report(report.report_long(df
 
 @query("split_text_lines")
 def split_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_text(D.load(spark, sf_dir, "documents", "doc_id"), "text", "doc_id")
+    return split_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "doc_id")
 
 
 @query("csv_roundtrip")
@@ -251,6 +256,105 @@ def stream_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("export_metadata")
 def export_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = LogFrame(D.log_lines(spark, sf_dir)).errors_only().text("backend-1")
-    return export.export_metadata(view.lines, view.view, view.labels, "app.log", "filtered").select(
+    return replace(view, source="app.log").export_metadata().select(
         "source", "export_type", "total_entries", "filtered_entries", F.array_join("filters", "; ").alias("filters")
     )
+
+
+# -- registry, sources and reports by name -------------------------------------------
+
+
+@query("registered_format")
+def registered_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A format of the user's own, known to a registry of its own: found and parsed."""
+    registry = formats.FormatRegistry()
+    registry.register("app", "day clock level rest", r"^([0-9]{4}-[0-9-]+) ([0-9:]+) ([A-Z]+) (.*)$", 0)
+    lines = D.format_lines(spark, sf_dir, "simple")
+    found = formats.detect_format(lines, registry).select("file", "format")
+    return formats.parse_format(lines, "app", registry).join(F.broadcast(found), "file").select("line_no", "format", "day", "clock", "level", "rest")
+
+
+@query("parse_simple_log")
+def parse_simple_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.parse_format(D.format_lines(spark, sf_dir, "simple"), "simple_log").select("line_no", "entry")
+
+
+@query("csv_fields")
+def csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with quotes as values of a long report."""
+    dirty = D.derived_lines(spark, sf_dir, D.DIRTY_LINES, "dirty_lines")
+    return report.escaped_report(dirty.select("line_no", F.col("line").alias("value")))
+
+
+@query("csv_malformed")
+def csv_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV text with records of too many fields, read back."""
+    text = D.derived_lines(spark, sf_dir, D.CSV_TEXT, "csv_text").withColumn("part", F.col("line_no") % D.PARTS)
+    return read_csv(spark, D.written_log(spark, text, "csv-text")).drop("part")
+
+
+over_lines("report_text_summary", lambda df: report.report_text(df, YEAR)["summary"].drop("top_errors"))
+over_lines("report_text_errors", lambda df: report.report_text(df, YEAR)["error_chart"])
+over_lines("report_text_times", lambda df: report.report_text(df, YEAR)["time_distribution"])
+
+
+@query("stacktrace_lines")
+def stacktrace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.stacktrace_lines(D.derived_lines(spark, sf_dir, D.TRACE_LINES, "trace_lines")).drop("file")
+
+
+# -- very long lines ------------------------------------------------------------------
+
+
+def over_long_lines(name, make):
+    QUERIES[name] = lambda spark, sf_dir: make(D.derived_lines(spark, sf_dir, D.LONG_LINES, "long_lines"))
+
+
+def fingerprint(column):
+    return [F.length(column).cast("bigint").alias("length"), F.md5(column).alias("md5")]
+
+
+over_long_lines("long_lines_csv", lambda df: rows.csv_rows(df, year=YEAR).select("line_no", "timestamp", *fingerprint("message")))
+over_long_lines("long_lines_view", lambda df: rows.csv_rows(df, "view").select("line_no", "timestamp", *fingerprint("message")))
+over_long_lines("long_lines_traces", lambda df: records.stacktrace_records(df).select("head_no", "n_lines", "message", *fingerprint("exception")))
+over_long_lines("long_lines_detect", formats.detect_format)
+
+
+# -- text files -----------------------------------------------------------------------
+
+
+def over_files(name, make, lines=lambda spark, sf_dir: D.log_lines(spark, sf_dir, D.FOUR_FILES)):
+    """A query over text files: the lines, written as one file per ``line_no % PARTS``."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        written = lines(spark, sf_dir).withColumn("part", F.col("line_no") % D.PARTS)
+        return D.with_part(make(read(spark, D.written_log(spark, written, name))))
+    QUERIES[name] = run
+
+
+over_files("file_lines_numbered", lambda log: log.numbered)
+over_files("file_search", lambda log: log.numbered.groupBy("file").agg(
+    F.min(F.when(filters.has_text(F.col("line"), "backend-3") & (F.col("line_no") >= 100), F.col("line_no"))).alias("line_no")))
+over_files("file_page", lambda log: log.errors_only().page(3).select("file", "position", "line"))
+over_files("file_last_page", lambda log: log.errors_only().page(10**6).select("file", "position", "line"))
+over_files("file_sample", lambda log: log.errors_only().sample().select("file", "position", "line"))
+over_files("file_limit", lambda log: log.errors_only().limit(25).select("file", "line"))
+over_files("file_statistics_of_files", lambda log: summary.file_statistics(log.lines))
+over_files("file_date_range", lambda log: summary.date_range(log.lines, YEAR))
+over_files("file_detect_patterns", lambda log: formats.detect_patterns(log.lines))
+over_files("file_parse_custom", lambda log: formats.parse_detected(log.numbered).select("file", "line_no", "timestamp", "severity", "message"))
+over_files("file_stacktraces", lambda log: log.stacktraces(),
+           lambda spark, sf_dir: D.derived_lines(spark, sf_dir, D.TRACE_FILES, "trace_files"))
+over_files("file_w3c_rows", lambda log: log.w3c_rows().select("file", *[
+    F.col("row")[f].alias(c) for c, f in {"day": "date", "clock": "time", "method": "cs-method", "status": "sc-status"}.items()]),
+    lambda spark, sf_dir: D.derived_lines(spark, sf_dir, D.W3C_FILES, "w3c_files"))
+
+
+@query("file_export_view")
+def file_export_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filtered view of text files, exported: its rows with the counts of its metadata."""
+    written = D.log_lines(spark, sf_dir, D.FOUR_FILES).withColumn("part", F.col("line_no") % D.PARTS)
+    path = scratch_path(spark, "export")
+    log = read(spark, D.written_log(spark, written, "export-log")).errors_only().text("backend-1")
+    log.export(path, year=YEAR)
+    metadata = spark.read.json(f"{path}/metadata").select("total_entries", "filtered_entries", F.array_join("filters", "; ").alias("filters"))
+    return read_csv(spark, f"{path}/data").drop("csv_parse_error").join(F.broadcast(metadata))

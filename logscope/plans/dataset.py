@@ -7,6 +7,8 @@ dialects are filled in. ``line_no`` is the dense position of a line.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logscope.sources.scratch import scratch_path
+
 SPARK = {
     "day": "date_format(ts,'yyyy-MM-dd')",
     "clock": "date_format(ts,'HH:mm:ss')",
@@ -34,7 +36,7 @@ DUCKDB = {
 
 # Mixed log: four timestamp forms, lines without one, comments, blank lines.
 MIXED = """
-base AS (SELECT event_id, user_id, {day} AS d, {clock} AS t, {month} AS mon, {us_day} AS us,
+base AS (SELECT event_id, event_type, user_id, {day} AS d, {clock} AS t, {month} AS mon, {us_day} AS us,
   cast(day(ts) AS {text}) AS dom, CASE event_type
   WHEN 'error'    THEN 'ERROR Failed to connect to backend-'||cast(user_id % 7 AS {text})||': timeout'
   WHEN 'purchase' THEN 'WARNING Slow query took '||cast(user_id AS {text})||' ms'
@@ -51,6 +53,8 @@ log_lines AS (SELECT {file} AS file, cast(event_id+1 AS bigint) AS line_no, CASE
   ELSE body END AS line FROM base)"""
 
 ONE_FILE = "'app.log'"
+# All lines with "error" are in the first of two files.
+QUIET_FILE = "CASE WHEN event_type = 'error' OR event_id % 100 = 9 THEN 'app-0.log' ELSE 'app-'||cast(user_id % 2 AS {text})||'.log' END"
 FOUR_FILES = "'app-'||cast(user_id % 4 AS {text})||'.log'"
 
 # One file per named format; every 50th line is of no format.
@@ -157,25 +161,22 @@ dirty_lines AS (SELECT 'dirty.log' AS file, line_no, CASE WHEN event_id % 10 = 1
   ELSE lvl||{bell}||' said "'||e||'"'||{tab}||u END AS line FROM ev)"""
 SPARK["bell"], DUCKDB["bell"] = "char(7)", "chr(7)"
 
+# Every 400th line of each kind is very long; the others are short ones of the same kinds.
+LONG = 50_000
+LONG_LINES = f"""
+long_lines AS (SELECT 'long.log' AS file, line_no, event_id % 5 AS kind, n, d||' '||t AS ts, CASE event_id % 5
+  WHEN 0 THEN d||' '||t||' '||repeat('a.', n) WHEN 1 THEN d||' '||t||' '||repeat('x', n)
+  WHEN 2 THEN d||' '||t||repeat(' ', n)||'end' WHEN 3 THEN d||' '||t||' '||repeat(':', n)||' tail x'
+  ELSE repeat('a.', n)||'LostException: boom' END AS line
+  FROM (SELECT *, CASE WHEN event_id % 400 < 5 THEN {LONG} ELSE 3 END AS n FROM ev))"""
+
 
 def mixed(dialect: dict[str, str], file: str = ONE_FILE) -> str:
     return MIXED.format(**dialect, file=file.format(**dialect))
 
 
-def load(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
-    """The table, spread over the cores if it is read in fewer partitions than there are.
-
-    A single small file is one partition, and the regular expressions would keep one
-    core busy. Large tables have many partitions and are not shuffled.
-    """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def _from_events(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
-    return _lines_of(load(spark, sf_dir, "events", "event_id"), ctes, select)
+    return _lines_of(spark.read.parquet(f"{sf_dir}/events.parquet"), ctes, select)
 
 
 def _lines_of(events: DataFrame, ctes: str, select: str) -> DataFrame:
@@ -189,7 +190,6 @@ def _lines_of(events: DataFrame, ctes: str, select: str) -> DataFrame:
 
 def log_line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed log as a stream over the table's file."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return _lines_of(events, mixed(SPARK), "SELECT * FROM log_lines")
@@ -199,6 +199,37 @@ def log_lines(spark: SparkSession, sf_dir: str, file: str = ONE_FILE) -> DataFra
     return _from_events(spark, sf_dir, mixed(SPARK, file), "SELECT * FROM log_lines")
 
 
+PARTS = 4
+
+# CSV records, some with a field too many, behind a header for each file.
+CSV_TEXT = """
+csv_text AS (SELECT 'rows.csv' AS file, line_no, 'timestamp,severity,message' AS line FROM ev WHERE event_id < 4 UNION ALL
+  SELECT 'rows.csv' AS file, line_no + 4 AS line_no, CASE WHEN event_id % 10 = 4 THEN '"'||d||'","'||lvl||'","'||e||'","more"'
+  ELSE '"'||d||'","'||lvl||'","said ""'||e||'"", twice"' END AS line FROM ev)"""
+
+# Traces and headers dealt to files by ``line_no % PARTS``.
+TRACE_FILES = TRACE_LINES.replace("trace_lines AS", "trace_files AS").replace("event_id*4+j+1", "(event_id*4+j)*4+event_id%4")
+W3C_FILES = """
+w3c_files AS (SELECT 'iis.log' AS file, line_no, CASE
+  WHEN event_id % 1000 < 4 THEN '#Fields: date time cs-method sc-status'
+  WHEN event_id % 1000 BETWEEN 500 AND 503 THEN '#Fields: date time sc-status cs-method'
+  WHEN event_id % 1000 < 500 THEN d||' '||t||' '||lvl||' '||k
+  ELSE d||' '||t||' '||k||' '||lvl END AS line FROM ev)"""
+
+
+def written_log(spark: SparkSession, lines: DataFrame, label: str) -> str:
+    """The lines (``file, line_no, line, part``) as text files, one per ``part``, in a folder of the shared scratch folder."""
+    path = scratch_path(spark, label)
+    rows = lines.repartition("part").sortWithinPartitions("part", "line_no")
+    rows.select("part", F.col("line").alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+def with_part(read: DataFrame) -> DataFrame:
+    """Results on written logs, with the number of their file instead of its path."""
+    return read.withColumn("part", F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint")).drop("file")
+
+
 def derived(dialect: dict[str, str], cte: str) -> str:
     return f"{EVENTS.format(**dialect)}, {cte.format(**dialect)}"
 

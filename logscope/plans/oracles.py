@@ -179,7 +179,7 @@ RANKED_ERRORS = f"""ranked AS (SELECT file, line AS message, count(*) AS occurre
 over_lines("top_errors_by_file", f"WITH {RANKED_ERRORS} SELECT file, occurrences, message, {DISPLAY} FROM ranked WHERE r <= 3", D.FOUR_FILES)
 over_lines("summary", f"""WITH {RANGE}, {STATISTICS}, {RANKED_ERRORS}
  SELECT c.file, total_lines, error_count, warning_count, info_count, {RANGE_COLUMNS}, r - 1 AS rank, occurrences, message
- FROM counted c LEFT JOIN ends USING (file) JOIN ranked USING (file) WHERE r <= 5""", D.FOUR_FILES)
+ FROM counted c LEFT JOIN ends USING (file) LEFT JOIN ranked USING (file) WHERE r <= 5 OR r IS NULL""", D.QUIET_FILE)
 
 UNIQUE = f"""uniques AS (SELECT {ERROR_MESSAGE} AS message, count(*) AS occurrences FROM log_lines
  WHERE {ERROR} AND NOT regexp_matches(line, '^\\s*#') GROUP BY 1 HAVING message IS NOT NULL)"""
@@ -212,6 +212,9 @@ over_lines("filter_errors_broad", LINES + "regexp_matches(line, '(?i)error|criti
 over_lines("filter_severity_regex", LINES + "line ILIKE '%warn%' OR line ILIKE '%debug%'")
 over_lines("filter_text", LINES + "contains(lower(line), 'user login: user1')")
 over_lines("filter_regex", LINES + "regexp_matches(line, '(?i)backend-[0-3]: time')")
+over_lines("filter_regex_bare", LINES + "contains(lower(line), 'warn|debug')")
+over_lines("filter_regex_repeat", LINES + "regexp_matches(line, '(?i)^20[0-9]+-.*backend-?[35]:')")
+over_lines("filter_regex_java", LINES + "regexp_matches(line, '(?i)warn|backend-[12]+:')")
 over_lines("filter_time_lexical", LINES + f"{TS['lexical']} IS NULL OR ({TS['lexical']} >= '2024-01-05' AND {TS['lexical']} <= '2024-01-07')")
 TIMED = "WITH times AS (SELECT line_no, line, {} AS ts FROM log_lines) SELECT line_no, line FROM times WHERE "
 DAYS = "BETWEEN timestamp '2024-01-05 00:00:00' AND timestamp '2024-01-07 23:59:59'"
@@ -258,8 +261,7 @@ DETECTED_AS = {"nginx_access": "apache_combined"}
 ORACLES["detect_format"] = f"WITH {D.EVENTS.format(**D.DUCKDB)} " + " UNION ALL ".join(
     f"SELECT '{n}.log' AS file, '{DETECTED_AS.get(n, n)}' AS format, count(*) AS lines, count(*) FILTER (WHERE good) AS matched FROM ev WHERE line_no <= 20"
     for n in D.FORMAT_LINES)
-over_derived("stacktrace_records", D.TRACE_LINES, """SELECT cast(event_id*4+1 AS bigint) AS head_no, cast(0 AS bigint) AS part,
- cast(user_id % 3 + 2 AS bigint) AS n_lines, 'java.io.IOException' AS exception, 'user'||cast(user_id AS varchar)||' lost' AS message,
+over_derived("stacktrace_records", D.TRACE_LINES, """SELECT cast(event_id*4+1 AS bigint) AS head_no, cast(user_id % 3 + 2 AS bigint) AS n_lines, 'java.io.IOException' AS exception, 'user'||cast(user_id AS varchar)||' lost' AS message,
  array_to_string([chr(9)||'at com.example.Call.step'||cast(j AS varchar)||'(Call.java:'||cast(user_id AS varchar)||')' FOR j IN range(1, user_id % 3 + 2)], chr(10)) AS stacktrace
  FROM events WHERE event_type = 'error'""")
 
@@ -295,3 +297,65 @@ ORACLES["split_text_lines"] = """WITH pieces AS (SELECT doc_id, string_split(tex
 over_lines("export_metadata", f"""SELECT 'app.log' AS source, 'filtered' AS export_type, count(*) AS total_entries,
  count(*) FILTER (WHERE {ERROR} AND line ILIKE '%backend-1%') AS filtered_entries, 'Errors only; Text: "backend-1"' AS filters FROM log_lines""")
 
+
+# -- registry, sources and reports by name ----------------------------------------------
+
+over_formats("registered_format", """SELECT line_no, 'app' AS format, CASE WHEN good THEN d END AS day, CASE WHEN good THEN t END AS clock,
+ CASE WHEN good THEN lvl END AS level, CASE WHEN good THEN e||' by user'||u END AS rest FROM ev""")
+over_formats("parse_simple_log", f"SELECT line_no, CASE WHEN good THEN {D.FORMAT_LINES['simple'][0]} ELSE {D.OTHER_LINE} END AS entry FROM ev")
+over_formats("csv_fields", """SELECT line_no, CASE WHEN event_id % 10 = 1 THEN '# ""kept"" as is'
+ ELSE lvl||chr(7)||' said ""'||e||'""'||chr(9)||u END AS value FROM ev""")
+over_formats("csv_malformed", """SELECT d AS timestamp, lvl AS severity, CASE WHEN event_id % 10 = 4 THEN e ELSE 'said "'||e||'", twice' END AS message,
+ CASE WHEN event_id % 10 = 4 THEN '"'||d||'","'||lvl||'","'||e||'","more"' END AS csv_parse_error FROM ev""")
+ORACLES["report_text_summary"] = ORACLES["file_statistics"]
+over_lines("report_text_errors", f"""WITH {UNIQUE} SELECT occurrences, left(message, 50) AS message,
+ repeat('#', occurrences * 50 // (SELECT max(occurrences) FROM uniques)) AS bar FROM uniques WHERE occurrences >= 5""")
+ORACLES["report_text_times"] = ORACLES["hist_hour"]
+STEP = "chr(9)||'at com.example.Call.step'||cast(j AS varchar)||'(Call.java:'||cast(user_id AS varchar)||')'"
+ORACLES["stacktrace_lines"] = f"""SELECT cast(event_id*4+1 AS bigint) AS head_no, cast(event_id*4+1+j AS bigint) AS line_no,
+ CASE WHEN j = 0 THEN 'java.io.IOException: user'||cast(user_id AS varchar)||' lost' ELSE {STEP} END AS line
+ FROM events {D.DUCKDB['four']} WHERE event_type = 'error' AND j <= user_id % 3 + 1"""
+
+# -- very long lines ----------------------------------------------------------------------
+
+LONG_MESSAGE = """CASE kind WHEN 0 THEN repeat('a.', n) WHEN 1 THEN repeat('x', n) WHEN 2 THEN 'end' WHEN 3 THEN {} ELSE line END"""
+for name, tail in (("csv", "'x'"), ("view", "'tail x'")):
+    over_derived(f"long_lines_{name}", D.LONG_LINES, f"""WITH m AS (SELECT line_no, CASE WHEN kind = 4 THEN '' ELSE ts END AS timestamp,
+     {LONG_MESSAGE.format(tail)} AS message FROM long_lines) SELECT line_no, timestamp, length(message) AS length, md5(message) AS md5 FROM m""")
+over_derived("long_lines_traces", D.LONG_LINES, """SELECT line_no AS head_no, cast(1 AS bigint) AS n_lines, 'boom' AS message,
+ cast(2 * n + 13 AS bigint) AS length, md5(repeat('a.', n)||'LostException') AS md5 FROM long_lines WHERE kind = 4""")
+ORACLES["long_lines_detect"] = "SELECT 'long.log' AS file, 'java_stacktrace' AS format, 20 AS lines, 4 AS matched FROM events LIMIT 1"
+
+# -- text files ---------------------------------------------------------------------------
+
+IN_PARTS = "cast((event_id + 1) % 4 AS {text})"
+PLACED = """placed AS (SELECT cast(file AS bigint) AS part, row_number() OVER (PARTITION BY file ORDER BY line_no) AS n, line_no AS old_no, line FROM log_lines)"""
+WRONG = f"""{PLACED}, wrong AS (SELECT part, line, row_number() OVER (ORDER BY part, n) AS position, count(*) OVER () AS total FROM placed WHERE {ERROR})"""
+
+
+def over_files(name: str, sql: str) -> None:
+    over_lines(name, sql, IN_PARTS)
+
+
+over_files("file_lines_numbered", f"WITH {PLACED} SELECT part, n AS line_no, line FROM placed")
+over_files("file_search", f"WITH {PLACED} SELECT part, min(n) FILTER (WHERE line ILIKE '%backend-3%' AND n >= 100) AS line_no FROM placed GROUP BY part")
+over_files("file_page", f"WITH {WRONG} SELECT part, position, line FROM wrong WHERE position BETWEEN 81 AND 120")
+over_files("file_last_page", f"WITH {WRONG} SELECT part, position, line FROM wrong WHERE (position - 1) // 40 = (total - 1) // 40")
+over_files("file_sample", f"""WITH {WRONG} SELECT part, position, line FROM wrong
+ WHERE position % greatest(1, total // CASE WHEN total > 1000 THEN 50 WHEN total > 100 THEN 30 ELSE 20 END) = 0""")
+over_files("file_limit", f"WITH {WRONG} SELECT part, line FROM wrong WHERE position <= 25")
+over_files("file_statistics_of_files", f"""WITH {RANGE}, {STATISTICS} SELECT cast(file AS bigint) AS part, total_lines, error_count, warning_count, info_count,
+ {RANGE_COLUMNS} FROM counted LEFT JOIN ends USING (file)""")
+over_files("file_date_range", f"WITH {DATES} SELECT cast(file AS bigint) AS part, {DATE_COLUMNS} FROM (SELECT DISTINCT file FROM log_lines) LEFT JOIN ends USING (file)")
+over_files("file_detect_patterns", f"""SELECT cast(file AS bigint) AS part, 'custom' AS format, '{P.DETECT_TIMESTAMPS[0]}' AS timestamp_pattern,
+ '{P.DETECT_SEVERITIES[0]}' AS severity_pattern FROM log_lines GROUP BY file""")
+over_files("file_parse_custom", DETECTED_PARTS.replace(TS["detected"], m(P.DETECT_TIMESTAMPS[0])).replace(LEVEL, m(f"(?i){P.DETECT_SEVERITIES[0]}")).rstrip()
+           + f", {PLACED} SELECT part, n AS line_no, coalesce(m.ts, '') AS timestamp, coalesce(p.level, '') AS severity, m.message"
+           " FROM msgs m JOIN parts p USING (line_no) JOIN placed ON old_no = m.line_no")
+ORACLES["file_stacktraces"] = ORACLES["stacktrace_records"].replace(
+    "SELECT cast(event_id*4+1 AS bigint) AS head_no,", "SELECT event_id % 4 AS part, cast(event_id // 4 * 4 + 1 AS bigint) AS head_no,")
+over_formats("file_w3c_rows", """SELECT line_no % 4 AS part, d AS day, t AS clock, lvl AS method, k AS status FROM ev
+ WHERE event_id % 1000 >= 4 AND event_id % 1000 NOT BETWEEN 500 AND 503""")
+over_lines("file_export_view", CONTEXT_PARTS + f"""SELECT timestamp, severity, message, (SELECT count(*) FROM log_lines) AS total_entries,
+ (SELECT count(*) FROM log_lines WHERE {ERROR} AND line ILIKE '%backend-1%') AS filtered_entries, 'Errors only; Text: "backend-1"' AS filters
+ FROM msgs WHERE {CONTENT} AND {ERROR} AND line ILIKE '%backend-1%' AND message <> '' AND message NOT LIKE '#%'""")

@@ -12,9 +12,9 @@ these two; operators that need line numbers call ``number_lines``.
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# One row of the block table takes about 250 bytes, so a broadcast stays near 100 MB.
+# One row of a table of splits takes about 250 bytes, so a broadcast stays near 100 MB.
 # Larger stores should read larger splits (spark.sql.files.maxPartitionBytes);
-# beyond the bound the block table is joined by a shuffle instead.
+# beyond the bound the table is joined by a shuffle on (file, block) instead.
 BROADCAST_BLOCKS = 400_000
 
 
@@ -31,26 +31,40 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def number_lines(lines: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
-    """``file, line_no, line`` with 1-based line numbers, from ``read_lines`` output.
+def split_shifts(lines: DataFrame) -> DataFrame:
+    """``file, block, first, shift`` of each split: its first ``seq``, and what to add to a ``seq`` for the line number.
 
     The lines of one split are consecutive in ``seq``, so a line number is the number
     of lines in earlier splits plus the distance from the first ``seq`` of the split.
-    The first needs one counting scan; its result has a row per split and is
-    broadcast if the number of splits allows.
     """
     blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = blocks.select(
-        "file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift")
+    return blocks.select(
+        "file", "block", "first", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift")
     )
-    if _split_bound(lines) <= broadcast_blocks:
-        shifts = F.broadcast(shifts)
+
+
+def number_lines(lines: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """``file, line_no, line`` with 1-based line numbers, from ``read_lines`` output.
+
+    This needs one counting scan; its result has a row per split.
+    """
+    shifts = bounded(lines, split_shifts(lines).drop("first"), broadcast_blocks)
     return lines.join(shifts, ["file", "block"]).select(
         "file", (F.col("seq") + F.col("shift")).alias("line_no"), "line"
     )
 
 
-def _split_bound(lines: DataFrame) -> int:
-    # A file has at most one split that does not fill a partition of its own.
-    return lines.rdd.getNumPartitions() + len(lines.inputFiles())
+def bounded(lines: DataFrame, per_block: DataFrame, limit: int = BROADCAST_BLOCKS) -> DataFrame:
+    """``per_block``, which has a row per split of ``lines`` at most, marked for broadcast if splits are few enough."""
+    return F.broadcast(per_block) if split_bound(lines) <= limit else per_block
+
+
+def split_bound(lines: DataFrame) -> int:
+    """A bound of the number of splits, from what the file listing knows: no job, and no paths in Python.
+
+    A file has at most one split that does not fill a partition of its own.
+    """
+    plan = lines._jdf.queryExecution().optimizedPlan()
+    size = int(lines.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return int(str(plan.stats().sizeInBytes())) // size + len(lines._jdf.inputFiles())

@@ -67,7 +67,7 @@ def test_register(lines):
     assert formats.parse_format(lines(line), "rails", registry).first().request_id == "ab-12"
     assert formats.detect_format(lines(line), registry).first().format == "rails"
     registry.register("simple", "all", "^(.*)$")
-    assert formats.parse_format(lines(line), "simple_log", registry).first().all == line
+    assert formats.parse_format(lines(line), "simple", registry).first()["all"] == line
     assert "timestamp" in formats.REGISTRY["simple"].fields
 
 

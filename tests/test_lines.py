@@ -146,7 +146,7 @@ def test_frame_filters_replace_and_clear(lines):
     assert timed.view.count() == 1
     assert timed.summary().first().total_lines == 4
     assert timed.summary(filtered=True).first().total_lines == 1
-    assert frame.severity("FINE|fail").view.count() == 2
+    assert frame.severity(r"FINE\|fail").view.count() == 2
 
 
 def test_histogram_of_many_times_per_line(lines):

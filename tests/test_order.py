@@ -72,22 +72,26 @@ def test_sample_and_pages(spark, n):
     sample = ranking.systematic_sample(df, block=7).orderBy("position").collect()
     assert [r.line_no for r in sample] == want[step - 1::step]
     page = ranking.page(df, 2, block=7).orderBy("position").collect()
-    assert [(r.position, r.line_no) for r in page] == list(enumerate(want[40:80], start=41))
+    first = 40 if n > 40 else 0  # a view of one page has no second one
+    assert [(r.position, r.line_no) for r in page] == list(enumerate(want[first : first + 40], start=first + 1))
     assert ranking.page_count(df).first().pages == max(1, -(-n // 40))
     assert [r.line_no for r in ranking.positions(df, block=7).orderBy("position").collect()] == want
     assert [r.line_no for r in ranking.limit_lines(df, 25).collect()] == want[:25]
 
 
-def test_large_limit_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "SMALL", 10)
-    df = spark.range(1, 500).select(F.lit("f").alias("file"), F.col("id").alias("line_no"), F.lit("x").alias("line"))
-    assert {r.line_no for r in ranking.limit_lines(df, 120, block=50).collect()} == set(range(1, 121))
+def test_limit_is_sorted_at_any_size(spark):
+    df = spark.range(1, 30_000).select(F.lit("f").alias("file"), F.col("id").alias("line_no"), F.lit("x").alias("line")).repartition(7)
+    for n in (120, 20_000):
+        assert [r.line_no for r in ranking.limit_lines(df, n).collect()] == list(range(1, n + 1))
     with pytest.raises(ValueError):
         ranking.limit_lines(df, -1)
 
 
-def test_turn_page():
-    assert [ranking.turn_page(p, m, 9) for p, m in ((1, -1), (3, 5), (8, 5), (2, 1))] == [1, 8, 9, 3]
+def test_pages_are_clamped(spark):
+    df = spark.range(1, 96).select(F.lit("f").alias("file"), F.col("id").alias("line_no"), F.lit("x").alias("line"))
+    first_of = lambda number, frame=df: [r.line_no for r in ranking.page(frame, number, block=7).orderBy("position").limit(1).collect()]
+    assert [first_of(n) for n in (-3, 0, 1, 2, 3, 4, 10**9)] == [[1], [1], [1], [41], [81], [81], [81]]
+    assert first_of(2, df.where("false")) == []
 
 
 def brute_records(texts):
@@ -111,11 +115,70 @@ def test_records_across_blocks(lines, block):
     assert got == brute_records(texts)
 
 
-def test_long_record_continues_in_parts(lines):
-    texts = [TRACE] + [f"\tat x.Y.z(Y.java:{i})" for i in range(25)] + ["plain", AT]
-    rows = records.stacktrace_records(lines(*texts), block=4, part_lines=10).orderBy("part").collect()
-    assert [(r.head_no, r.part, r.n_lines) for r in rows] == [(1, 0, 10), (1, 1, 10), (1, 2, 6)]
-    assert "\n".join(r.stacktrace for r in rows) == "\n".join(texts[1:26])
+def test_long_record_is_one_row(lines):
+    texts = ["plain", TRACE] + [f"\tat x.Y.z(Y.java:{i})" for i in range(25_000)] + ["plain", AT]
+    rows = records.stacktrace_records(lines(*texts), block=1000).collect()
+    assert [(r.head_no, r.n_lines) for r in rows] == [(2, 25_001)]
+    assert rows[0].stacktrace == "\n".join(texts[2:25_002]) and rows[0].exception is not None and rows[0].message is not None
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def write_logs(folder, **texts):
+    folder.mkdir()
+    for name, body in texts.items():
+        (folder / f"{name}.log").write_text("".join(f"{line}\n" for line in body))
+    return str(folder)
+
+
+def test_records_of_files_over_splits(spark, tmp_path, small_splits):
+    rng = random.Random(4)
+    logs = {name: [rng.choice([TRACE, AT, AT, AT, "plain"]) for _ in range(700)] for name in "ab"}
+    frame = read(spark, write_logs(tmp_path / "logs", **logs))
+    assert frame.lines.rdd.getNumPartitions() > 6
+    got = {(r.file.rsplit("/", 1)[1][0], r.head_no): r.stacktrace for r in frame.stacktraces().collect()}
+    assert got == {(name, no): text for name, texts in logs.items() for no, text in brute_records(texts).items()}
+    assert len({r.line_no for r in frame.stacktrace_lines().where("file like '%a.log'").collect()}) > 100
+
+
+def test_w3c_of_files_over_splits(spark, tmp_path, small_splits):
+    logs = {}
+    for name in "ab":
+        logs[name] = ["2024-01-01 00:00:00 early"]
+        for field in ("a", "b", "c"):
+            logs[name] += [f"#Fields: date time {field} {field}"] + [f"2024-01-01 00:00:01 {name}{field} {i}" for i in range(200)]
+    frame = read(spark, write_logs(tmp_path / "logs", **logs))
+    rows = [(r.file.rsplit("/", 1)[1][0], r.row) for r in frame.w3c_rows().collect()]
+    assert len(rows) == 1200 and all(set(row) - {"date", "time"} <= set("abc") for _, row in rows)
+    # the last value of a name that its header repeats
+    assert sorted((name, f, row[f]) for name, row in rows for f in row if f in "abc") == sorted(
+        (name, f, str(i)) for name in "ab" for f in "abc" for i in range(200))
+
+
+def test_scans_of_files(spark, tmp_path):
+    """How often the text files are read, and that no line is sorted for a head or a window over all of it."""
+    frame = read(spark, write_logs(tmp_path / "logs", a=[TRACE, AT, "2024-01-01 00:00:00 ERROR x"]))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    scans = lambda df: plan(df).count("Scan text") or plan(df).count("FileScan text")
+    assert scans(frame.stacktraces()) == 2
+    assert scans(frame.w3c_rows()) == 3
+    assert scans(frame.export_metadata()) == 1
+    assert scans(formats.head_lines(frame.lines)) == 2 and "row_number" not in plan(formats.head_lines(frame.lines))
+
+
+def test_planning_starts_no_job(spark, tmp_path):
+    frame = read(spark, write_logs(tmp_path / "logs", a=["2024-01-01 00:00:00 ERROR x"] * 50))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    for df in (frame.numbered, frame.page(2), frame.sample(), frame.stacktraces(), formats.parse_detected(frame.lines), frame.w3c_rows()):
+        df._jdf.queryExecution().executedPlan()
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext._jsc.clearJobGroup()
 
 
 @pytest.mark.parametrize("block", [1, 3, 1000])
