@@ -358,3 +358,22 @@ def file_export_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.export(path, year=YEAR)
     metadata = spark.read.json(f"{path}/metadata").select("total_entries", "filtered_entries", F.array_join("filters", "; ").alias("filters"))
     return read_csv(spark, f"{path}/data").drop("csv_parse_error").join(F.broadcast(metadata))
+
+
+# -- rarer forms ----------------------------------------------------------------------
+
+
+def over_varied(name, make):
+    QUERIES[f"varied_{name}"] = lambda spark, sf_dir: make(D.derived_lines(spark, sf_dir, D.VARIED_LINES, "varied_lines"))
+
+
+for profile in ("csv", "lexical", "rich", "range", "detected", "view", "api"):
+    over_varied(f"ts_{profile}", lambda df, p=profile: df.select("line_no", extract_ts(F.col("line"), p, YEAR).alias("ts")))
+over_varied("epoch", lambda df: df.withColumn("ts", extract_ts(F.col("line"), "rich", YEAR)).select("line_no", to_epoch(F.col("ts"), YEAR).alias("epoch")))
+over_varied("errors", lambda df: filters.where(df, filters.has_error(F.col("line"))).select("line_no"))
+over_varied("errors_broad", lambda df: filters.where(df, filters.has_broad_error(F.col("line"))).select("line_no"))
+over_varied("unique_errors", lambda df: errors.unique_errors(df, 4))
+over_varied("severity_csv", lambda df: df.select("line_no", severity(F.col("line"), "csv").alias("severity")))
+over_varied("severity_api", lambda df: df.select("line_no", severity(F.col("line"), "api").alias("severity")))
+over_varied("window", lambda df: filters.where(df, filters.in_time_window(F.col("line"), *WINDOW, year=YEAR)).select("line_no"))
+over_varied("range_window", lambda df: filters.where(df, filters.in_time_window(F.col("line"), *WINDOW, "range", YEAR)).select("line_no"))

@@ -199,6 +199,17 @@ def log_lines(spark: SparkSession, sf_dir: str, file: str = ONE_FILE) -> DataFra
     return _from_events(spark, sf_dir, mixed(SPARK, file), "SELECT * FROM log_lines")
 
 
+# Rarer forms of time, errors by other words, quotes, and an error that a threshold cuts.
+# What each kind must give is stated in the SQL from these columns, without any pattern.
+VARIED_LINES = """
+varied AS (SELECT event_id, cast(event_id+1 AS bigint) AS line_no, event_id % 12 AS kind, {day} AS d, {clock} AS t, {us_day} AS us,
+  {month}||' '||lpad(cast(day(ts) AS {text}),2,' ')||' '||{clock} AS md, cast(1704067200 + event_id AS {text}) AS sec FROM events),
+varied_lines AS (SELECT 'varied.log' AS file, line_no, CASE kind
+  WHEN 0 THEN sec||' INFO tick' WHEN 1 THEN sec||'123 WARNING tock' WHEN 2 THEN d||' | '||t||' INFO piped' WHEN 3 THEN d||' INFO dated'
+  WHEN 4 THEN us||' INFO dated' WHEN 5 THEN 'Mon '||md||' 2024 ERROR "quoted" failure' WHEN 6 THEN d||'T'||t||'.123+02:00 FATAL core dumped'
+  WHEN 7 THEN d||' '||t||' INFO seen at 2024-02-02 02:02:02' WHEN 8 THEN 'exception in worker' WHEN 10 THEN d||' '||t||' ERROR said "no"'
+  WHEN 9 THEN d||' '||t||' ERROR '||CASE WHEN event_id < 40 THEN 'rare' ELSE 'common' END||' thing' ELSE 'plain' END AS line FROM varied)"""
+
 PARTS = 4
 
 # CSV records, some with a field too many, behind a header for each file.

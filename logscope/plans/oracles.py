@@ -359,3 +359,40 @@ over_formats("file_w3c_rows", """SELECT line_no % 4 AS part, d AS day, t AS cloc
 over_lines("file_export_view", CONTEXT_PARTS + f"""SELECT timestamp, severity, message, (SELECT count(*) FROM log_lines) AS total_entries,
  (SELECT count(*) FROM log_lines WHERE {ERROR} AND line ILIKE '%backend-1%') AS filtered_entries, 'Errors only; Text: "backend-1"' AS filters
  FROM msgs WHERE {CONTENT} AND {ERROR} AND line ILIKE '%backend-1%' AND message <> '' AND message NOT LIKE '#%'""")
+
+# -- rarer forms: from the kinds of lines alone -------------------------------------------
+
+CLOCKED, AT_SECOND = "d||' '||t", "strftime(timestamp '2024-01-01' + to_seconds(event_id), '%Y-%m-%d %H:%M:%S')"
+KINDS = {
+    "csv": {5: "md||' 2024'", 6: CLOCKED, 7: CLOCKED, 9: CLOCKED, 10: CLOCKED},
+    "lexical": {6: CLOCKED, 7: CLOCKED, 9: CLOCKED, 10: CLOCKED},
+    "rich": {0: AT_SECOND, 1: AT_SECOND, 5: "md||' 2024'", 6: CLOCKED, 7: CLOCKED, 9: CLOCKED, 10: CLOCKED},
+    "range": {2: CLOCKED, 3: "d||' 12:00:00'", 4: "us||' 12:00:00'", 5: "md||' 2024'", 6: CLOCKED, 7: CLOCKED, 9: CLOCKED, 10: CLOCKED},
+    "detected": {5: "'Mon '||md||' 2024'", 6: "d||'T'||t||'.123+02:00'", 7: CLOCKED, 9: CLOCKED, 10: CLOCKED},
+    "view": {5: "md", 6: CLOCKED, 7: CLOCKED, 9: CLOCKED, 10: CLOCKED},
+    "api": {6: "d||'T'||t", 7: CLOCKED, 9: CLOCKED, 10: CLOCKED},
+}
+
+
+def by_kind(values: dict[int, str], other: str = "NULL") -> str:
+    return "CASE kind " + " ".join(f"WHEN {k} THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+def over_varied(name: str, sql: str) -> None:
+    over_derived(f"varied_{name}", D.VARIED_LINES, sql)
+
+
+for profile, kinds in KINDS.items():
+    over_varied(f"ts_{profile}", f"SELECT line_no, {by_kind(kinds)} AS ts FROM varied")
+ON_CLOCK = "cast(epoch(cast(d||' '||t AS timestamp)) AS bigint)"
+over_varied("epoch", f"SELECT line_no, {by_kind({0: '1704067200 + event_id', 1: '1704067200 + event_id', **dict.fromkeys((5, 6, 7, 9, 10), ON_CLOCK)})} AS epoch FROM varied")
+over_varied("errors", "SELECT line_no FROM varied WHERE kind IN (5, 9, 10)")
+over_varied("errors_broad", "SELECT line_no FROM varied WHERE kind IN (5, 6, 8, 9, 10)")
+over_varied("unique_errors", """SELECT message, count(*) AS occurrences FROM (SELECT CASE kind WHEN 5 THEN '"quoted" failure' WHEN 10 THEN 'said "no"'
+ ELSE CASE WHEN event_id < 40 THEN 'rare' ELSE 'common' END||' thing' END AS message FROM varied WHERE kind IN (5, 9, 10)) GROUP BY 1 HAVING count(*) >= 4""")
+LEVELS = {**dict.fromkeys((0, 2, 3, 4, 7), "'INFO'"), 1: "'WARNING'", **dict.fromkeys((5, 6, 9, 10), "'ERROR'")}
+over_varied("severity_csv", f"SELECT line_no, {by_kind({**LEVELS, 8: chr(39) + 'ERROR' + chr(39)}, chr(39) + 'UNKNOWN' + chr(39))} AS severity FROM varied")
+over_varied("severity_api", f"SELECT line_no, {by_kind(LEVELS, chr(39) + 'UNKNOWN' + chr(39))} AS severity FROM varied")
+DAY = "d BETWEEN '2024-01-05' AND '2024-01-07'"
+over_varied("window", f"""SELECT line_no FROM varied WHERE {by_kind({0: 'event_id >= 4 * 86400', 1: 'event_id >= 4 * 86400', **dict.fromkeys((5, 6, 7, 9, 10), DAY)}, 'true')}""")
+over_varied("range_window", f"SELECT line_no FROM varied WHERE {by_kind(dict.fromkeys((2, 3, 4, 5, 6, 7, 9, 10), DAY), 'true')}")
