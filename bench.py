@@ -58,7 +58,7 @@ def main() -> None:
                 best.append(time.perf_counter() - start)
             times[name] = round(min(best), 3)
     print(json.dumps({
-        "metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec",
+        "metric": "headline queries, total", "value": round(sum(times[name] for name in HEADLINE), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
     spark.stop()

@@ -127,9 +127,12 @@ FORMAT_LINES = {
 OTHER_LINE = "'-- no format '||u"
 
 
-def format_lines_sql(name: str) -> str:
-    line, _ = FORMAT_LINES[name]
-    return f"SELECT '{name}.log' AS file, line_no, CASE WHEN good THEN {line} ELSE {OTHER_LINE} END AS line FROM ev"
+def format_lines_sql(*names: str) -> str:
+    """A file per named format, all from one scan."""
+    lines = ", ".join(
+        f"struct('{n}.log' AS file, CASE WHEN good THEN {FORMAT_LINES[n][0]} ELSE {OTHER_LINE} END AS line)" for n in names
+    )
+    return f"SELECT x.file, line_no, x.line FROM ev LATERAL VIEW inline(array({lines})) x AS file, line"
 
 
 # JSON lines: level or severity, missing message, malformed text.
@@ -250,5 +253,4 @@ def derived_lines(spark: SparkSession, sf_dir: str, cte: str, name: str) -> Data
 
 
 def format_lines(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    select = " UNION ALL ".join(format_lines_sql(n) for n in names)
-    return _from_events(spark, sf_dir, EVENTS.format(**SPARK), select)
+    return _from_events(spark, sf_dir, EVENTS.format(**SPARK), format_lines_sql(*names))
