@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from logscope.functions.text import csv_field, sanitize_text
 from logscope.operators.errors import error_chart, top_errors
 from logscope.operators.histogram import time_histogram
-from logscope.operators.summary import date_range, file_statistics, summarize, summary_counts
+from logscope.operators.summary import date_range, file_statistics, summarize
 
 REPORT_ERRORS = 10
 CHART_THRESHOLD = 5
@@ -26,7 +26,7 @@ def summary_json(df: DataFrame) -> DataFrame:
 
 
 def _statistics(df: DataFrame, year: int | None) -> DataFrame:
-    return summary_counts(df, "file").join(date_range(df, year), "file", "left")
+    return date_range(df, year, counts=True)
 
 
 def report_long(df: DataFrame, year: int | None = None) -> DataFrame:

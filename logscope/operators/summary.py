@@ -9,6 +9,7 @@ from logscope.functions.timestamps import normalize_ts
 from logscope.operators.errors import top_errors
 from logscope.operators.filters import has_text, matches
 from logscope.operators.occurrences import occurrences
+from logscope.sources.files import bounded
 
 
 def _count_columns() -> list[Column]:
@@ -130,7 +131,7 @@ def file_statistics(df: DataFrame) -> DataFrame:
     time) of the first form that occurs in the file: ISO with ``T``, ISO with a
     blank, then month and day without year.
     """
-    counts = ["total_lines", "error_count", "warning_count", "info_count"]
+    counts = list(COUNTS)
     return _packed_statistics(df, counts).select("file", *counts, *_unpacked())
 
 
@@ -152,24 +153,66 @@ def iso_time_range(df: DataFrame) -> DataFrame:
     return _text_range(df, [P.ISO_T_OR_SPACE], lambda ts: ts, "Unknown")
 
 
-def date_range(df: DataFrame, year: int | None = None) -> DataFrame:
-    """Normalised range of the first detection form that occurs in the file; NULL if none."""
-    return _text_range(df, P.DETECT_TIMESTAMPS, lambda ts: normalize_ts(ts, year=year), None)
+def date_range(df: DataFrame, year: int | None = None, counts: bool = False) -> DataFrame:
+    """Normalised range of the first detection form that occurs in the file; NULL if none. With ``counts``, the
+    counts of ``summary_counts`` beside it, from the same pass."""
+    return _text_range(df, P.DETECT_TIMESTAMPS, lambda ts: normalize_ts(ts, year=year), None, COUNTS if counts else ())
 
 
-def _text_range(df: DataFrame, forms, show, missing: str | None) -> DataFrame:
-    keys, position = _order(df)
-    n = len(forms)
-    ends = _ends(df.select(*keys, position, "line"), forms).select(
-        *keys, position, "form", F.col("first").alias("a"), F.coalesce("last", "first").alias("b")
-    )
-    times = ends.groupBy(*keys).agg(*_first_last(position, n))
-    if "block" in keys:
-        times = times.groupBy("file").agg(*_first_last_block(n))
-    both = [show(F.coalesce(*[F.col(f"{side}{i}") for i in range(n)])) for side in "ab"]
+COUNTS = ("total_lines", "error_count", "warning_count", "info_count")
+
+
+def _text_range(df: DataFrame, forms, show, missing: str | None, counts: tuple[str, ...] = ()) -> DataFrame:
+    """The ends as text of any length. Lines as read are counted by place first, and the two lines that matter are
+    fetched by place; with text in the aggregate all lines would be sorted, as they are for tables."""
+    texts = _ends_of_table(df, forms, counts) if "line_no" in df.columns else _ends_by_place(df, forms, counts)
+    both = [show(F.col(side)) for side in "ab"]
     if missing is not None:
         both = [F.coalesce(end, F.lit(missing)) for end in both]
-    return times.select("file", both[0].alias("time_start"), both[1].alias("time_end"))
+    return texts.select("file", *counts, both[0].alias("time_start"), both[1].alias("time_end"))
+
+
+def _ends_of_table(df: DataFrame, forms, counts: tuple[str, ...]) -> DataFrame:
+    n = len(forms)
+    ends = _ends(df.select("file", "line_no", "line"), forms).select(
+        "file", "line_no", "line", "form", F.col("first").alias("a"), F.coalesce("last", "first").alias("b")
+    )
+    times = ends.groupBy("file").agg(*(_count_columns() if counts else []), *_first_last("line_no", n))
+    return times.select("file", *counts, *[F.coalesce(*[F.col(f"{side}{i}") for i in range(n)]).alias(side) for side in "ab"])
+
+
+def _ends_by_place(df: DataFrame, forms, counts: tuple[str, ...]) -> DataFrame:
+    n = len(forms)
+    places = occurrences(df, forms, "file", "block", "seq", "line").groupBy("file", "block").agg(
+        *(_count_columns() if counts else []), F.min("seq").alias("any"),
+        *[c for i in range(n) for c in (F.min(_of_form(i, "seq")).alias(f"a{i}"), F.max(_of_form(i, "seq")).alias(f"b{i}"))],
+    )
+    block_of = lambda c: F.when(F.col(c).isNotNull(), F.col("block"))
+    files = places.groupBy("file").agg(
+        *[F.sum(c).alias(c) for c in counts], F.min("block").alias("any_block"), F.min_by("any", "block").alias("any"),
+        *[c for i in range(n) for c in (
+            F.min(block_of(f"a{i}")).alias(f"a{i}_block"), F.min_by(f"a{i}", block_of(f"a{i}")).alias(f"a{i}"),
+            F.max(block_of(f"b{i}")).alias(f"b{i}_block"), F.max_by(f"b{i}", block_of(f"b{i}")).alias(f"b{i}"),
+        )],
+    )
+    # A file without a time keeps a row by the place of any line of it.
+    place = lambda side: F.struct(
+        F.lit(side).alias("side"),
+        F.coalesce(*[F.col(f"{side}{i}_block") for i in range(n)], F.col("any_block")).alias("block"),
+        F.coalesce(*[F.col(f"{side}{i}") for i in range(n)], F.col("any")).alias("seq"),
+    )
+    form = F.coalesce(*[F.when(F.col(f"a{i}").isNotNull(), i) for i in range(n)])
+    wanted = files.select("file", *counts, form.alias("form"), F.inline(F.array(place("a"), place("b"))))
+    fetched = df.join(bounded(df, wanted), ["file", "block", "seq"])
+    found = F
+    for i, pattern in enumerate(forms):
+        found = found.when(F.col("form") == i, F.regexp_extract_all("line", F.lit(pattern), F.lit(0)))
+    fetched = fetched.withColumn("found", found.otherwise(None))
+    return fetched.groupBy("file").agg(
+        *[F.max(c).alias(c) for c in counts],
+        F.max(F.when(F.col("side") == "a", F.get("found", F.lit(0)))).alias("a"),
+        F.max(F.when(F.col("side") == "b", F.element_at("found", -1))).alias("b"),
+    )
 
 
 def summarize(df: DataFrame, top: int = 5) -> DataFrame:

@@ -347,6 +347,11 @@ over_files("file_limit", f"WITH {WRONG} SELECT part, line FROM wrong WHERE posit
 over_files("file_statistics_of_files", f"""WITH {RANGE}, {STATISTICS} SELECT cast(file AS bigint) AS part, total_lines, error_count, warning_count, info_count,
  {RANGE_COLUMNS} FROM counted LEFT JOIN ends USING (file)""")
 over_files("file_date_range", f"WITH {DATES} SELECT cast(file AS bigint) AS part, {DATE_COLUMNS} FROM (SELECT DISTINCT file FROM log_lines) LEFT JOIN ends USING (file)")
+over_files("file_time_range_iso", f"""WITH {range_of([P.ISO_T_OR_SPACE])} SELECT cast(file AS bigint) AS part, coalesce(a, 'Unknown') AS time_start,
+ coalesce(b, 'Unknown') AS time_end FROM (SELECT DISTINCT file FROM log_lines) LEFT JOIN ends USING (file)""")
+over_files("file_report_long", f"""WITH {DATES}, {STATISTICS} SELECT cast(file AS bigint) AS part, 'statistics' AS report_type, k AS key, cast(v AS varchar) AS value FROM counted,
+  LATERAL (VALUES ('total_lines', total_lines), ('error_count', error_count), ('warning_count', warning_count), ('info_count', info_count)) x(k, v)
+ UNION ALL SELECT cast(file AS bigint), 'time_range', 'first', {normal('a')} FROM ends UNION ALL SELECT cast(file AS bigint), 'time_range', 'last', {normal('b')} FROM ends""")
 over_files("file_detect_patterns", f"""SELECT cast(file AS bigint) AS part, 'custom' AS format, '{P.DETECT_TIMESTAMPS[0]}' AS timestamp_pattern,
  '{P.DETECT_SEVERITIES[0]}' AS severity_pattern FROM log_lines GROUP BY file""")
 over_files("file_parse_custom", DETECTED_PARTS.replace(TS["detected"], m(P.DETECT_TIMESTAMPS[0])).replace(LEVEL, m(f"(?i){P.DETECT_SEVERITIES[0]}")).rstrip()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logscope import read
-from logscope.operators import formats, ranking, records, summary
+from logscope.operators import formats, ranking, records, report, summary
 from logscope.sources.files import number_lines, read_lines
 
 TRACE = "java.io.IOException: lost"
@@ -168,6 +168,8 @@ def test_scans_of_files(spark, tmp_path):
     assert scans(frame.stacktraces()) == 2
     assert scans(frame.w3c_rows()) == 3
     assert scans(frame.export_metadata()) == 1
+    assert scans(summary.date_range(frame.lines)) == 2 and scans(summary.iso_time_range(frame.lines)) == 2
+    assert scans(report.report_long(frame.lines)) == 3
     assert scans(formats.head_lines(frame.lines)) == 2 and "row_number" not in plan(formats.head_lines(frame.lines))
 
 
@@ -204,3 +206,12 @@ def test_read_is_lazy_about_numbers(spark, split_files):
     view = frame.text("9 ")
     assert shown(view.sample().orderBy("position")) == nines[14::15]
     assert shown(ranking.positions(view.view).orderBy("position")) == nines
+
+
+def test_range_of_files_without_times(spark, tmp_path, small_splits):
+    logs = {"a": ["plain"] * 400, "b": ["x"] * 300 + ["2024-01-01 00:00:01 a 2024-01-01 00:00:02"] * 2 + ["y"] * 300, "c": [""]}
+    frame = read(spark, write_logs(tmp_path / "logs", **logs))
+    named = lambda df: {r.file.rsplit("/", 1)[1][0]: (r.time_start, r.time_end) for r in df.collect()}
+    assert named(summary.date_range(frame.lines)) == {"a": (None, None), "b": ("2024-01-01 00:00:01", "2024-01-01 00:00:02"), "c": (None, None)}
+    assert named(summary.iso_time_range(frame.lines))["a"] == ("Unknown", "Unknown")
+    assert {r.total_lines for r in summary.date_range(frame.lines, counts=True).collect()} == {400, 602, 1}
