@@ -3,7 +3,8 @@
 A code of 64 bits is cut into 4 segments of 16. Round r looks up, for every query that is not settled, all values
 that differ in exactly r bits from its segments. After round r every code within distance 4 (r + 1) - 1 has been met,
 since a code further than r in every segment is further than that; a query is settled when its k-th verified
-distance is no greater. So radii grow only as far as a query's own neighbourhood asks.
+distance is no greater. So radii grow only as far as a query's own neighbourhood asks. From the round on in which k have
+been met, only codes that are no further than the k-th so far are taken up.
 
 Equal codes count once: the index has one row per different code with its k + 1 least ids, which are all that a top-k
 can need, and equal queries are searched once. A hot vector is therefore one row. A code that several segments find is
@@ -67,19 +68,21 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     index = common.written(few.groupBy("code").agg(F.min("id").alias("least"), F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     asked = common.written(queries.where("code IS NOT NULL AND id IS NOT NULL").select("id", F.col("code").alias("query")).distinct(), "queries")
     keyed = index.select("code", "least", F.inline(F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)])))
-    active = asked.select("query").distinct()
+    active = asked.select("query", F.lit(BITS).alias("bound")).distinct()
     best = None
     settled = []
     for radius in range(SEGMENT + 1):
-        probes = active.select("query", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("query"), s).alias("own")) for s in range(SEGMENTS)])).alias("p"))
-        probes = probes.select("query", "p.segment", "p.own", F.explode(_masks(radius)).alias("mask")).select(
-            "query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value")
+        probes = active.select("query", "bound", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("query"), s).alias("own")) for s in range(SEGMENTS)])).alias("p"))
+        probes = probes.select("query", "bound", "p.segment", "p.own", F.explode(_masks(radius)).alias("mask")).select(
+            "query", "bound", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value")
         )
         first = F.lit(False)
         for s in range(SEGMENTS):
             first = first | ((F.col("segment") == s) & _found_first(F.col("query"), F.col("code"), s, radius))
-        met = probes.join(keyed, ["segment", "value"]).where(first).select(
-            "query", "code", "least", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance")
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+        # The planner does not know how many probes the masks make of a query: neither side is to be broadcast.
+        met = probes.hint("merge").join(keyed, ["segment", "value"]).where(first & (distance <= F.col("bound"))).select(
+            "query", "code", "least", distance.alias("distance")
         )
         if best is not None:
             met = met.unionByName(best.join(active, "query", "left_semi"))
@@ -88,9 +91,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         reach = best.join(index.select("code", F.size("ids").alias("n")), "code").withColumn(
             "so_far", F.sum("n").over(Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0))
         ).where(F.col("so_far") >= k + 1).groupBy("query").agg(F.min("distance").alias("kth"))
-        done = reach.where(F.col("kth") <= SEGMENTS * (radius + 1) - 1).select("query")
-        settled.append(best.join(done, "query", "left_semi"))
-        active = common.written(active.join(done, "query", "left_anti"), "active")
+        known = common.written(active.join(reach, "query", "left").select("query", F.coalesce("kth", "bound").alias("bound")), "active")
+        covered = SEGMENTS * (radius + 1) - 1
+        settled.append(best.join(known.where(F.col("bound") <= covered), "query", "left_semi"))
+        active = known.where(F.col("bound") > covered)
         if active.isEmpty():
             break
     else:
