@@ -215,7 +215,6 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, gram: int, keep_text
                     np.add.at(change, begin, 1)
                     np.add.at(change, end, -1)
             gone = np.cumsum(change[:-1]) > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
             for r in range(hi - lo):
                 a, b = int(w.first[r]), int(w.first[r + 1])
                 out = gone[a:b]
