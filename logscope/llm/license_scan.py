@@ -119,6 +119,25 @@ def _scored(paragraphs: DataFrame, weights: DataFrame, intercepts: list[float])
     return logits.select("paragraph", best.alias("best"), "z0").select("paragraph", "best.family", (F.col("best.z") - F.col("z0")).alias("margin"))
 
 
+def cue_words(weights: list[tuple], intercepts: list[float], least: float, common_words: dict[str, int]) -> list[str]:
+    """Words, rare in the corpus, such that no paragraph without any of them can reach the margin ``least``.
+
+    Without cues, a paragraph has n-grams of other words only. A bound of its margin for a family is what all of those add
+    in favour of the family; cues are taken, the rarest first, until that is too little for every family.
+    """
+    words = sorted({w for g, _ in weights for w in g.split(" ")}, key=lambda w: (common_words.get(w, 0), -len(w), w))
+    gain = [(set(g.split(" ")), [max(0.0, x - z[0]) for x in z[1:]]) for g, z in weights]
+    cues: set[str] = set()
+    for word in words:
+        reach = [b - intercepts[0] + sum(x[k] for _, x in gain) for k, b in enumerate(intercepts[1:])]
+        # What the corpus does not say costs nothing as a cue.
+        if common_words.get(word) and max(reach) < least:
+            break
+        cues.add(word)
+        gain = [(own, x) for own, x in gain if word not in own]
+    return sorted(cues)
+
+
 class Classifier:
     """What training yields: weights per n-gram, intercepts, the calibration, and the words without which nothing is predicted."""
 
@@ -136,13 +155,15 @@ class Classifier:
         rows = [(g, *map(float, matrix[:, j])) for j, g in enumerate(counter.vocabulary) if abs(matrix[:, j]).max() > 1e-6]
         schema = StructType([StructField("gram", StringType()), *[StructField(f"w{k}", DoubleType()) for k in range(len(FAMILIES))]])
         self.weights = common.written(spark.createDataFrame(rows, schema), "weights")
-        positive = sorted(g for g, w0, *w in rows if max(w) > w0)
-        self.words = sorted({min(g.split(" "), key=lambda w: (-len(w), w)) for g in positive})
         named = common.written(examples.where("held_out").withColumn("paragraph", F.monotonically_increasing_id()), "held")
         margins = _scored(named, self.weights, self.intercepts)
         held = named.join(margins, "paragraph").select((F.col("label") > 0).cast("double").alias("label"), "margin")
         line = LogisticRegression(regParam=1e-3).fit(VectorAssembler(inputCols=["margin"], outputCol="features").transform(held))
         self.slope, self.shift = float(line.coefficients[0]), float(line.intercept)
+        seen = examples.where(F.col("label") == 0).select(F.explode("grams").alias("word")).join(self.weights.select(F.col("gram").alias("word")), "word")
+        common_words = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}
+        least = -self.shift / self.slope if self.slope > 0 else float("-inf")
+        self.words = cue_words([(r[0], r[1:]) for r in rows], self.intercepts, least, common_words)
 
     def probability(self, margin: Column) -> Column:
         return 1 / (1 + F.exp(-(margin * self.slope + self.shift)))
