@@ -123,9 +123,14 @@ def cue_words(weights: list[tuple], intercepts: list[float], least: float, commo
     """Words, rare in the corpus, such that no paragraph without any of them can reach the margin ``least``.
 
     Without cues, a paragraph has n-grams of other words only. A bound of its margin for a family is what all of those add
-    in favour of the family; cues are taken, the rarest first, until that is too little for every family.
+    in favour of the family; cues are taken, first those that are rarest for what they add, until that is too little for every
+    family.
     """
-    words = sorted({w for g, _ in weights for w in g.split(" ")}, key=lambda w: (common_words.get(w, 0), -len(w), w))
+    adds: dict[str, float] = {}
+    for g, z in weights:
+        for w in set(g.split(" ")):
+            adds[w] = adds.get(w, 0.0) + max(0.0, max(z[1:]) - z[0])
+    words = sorted(adds, key=lambda w: (common_words.get(w, 0) / (adds[w] + 1e-9), -len(w), w))
     gain = [(set(g.split(" ")), [max(0.0, x - z[0]) for x in z[1:]]) for g, z in weights]
     cues: set[str] = set()
     for word in words:
@@ -153,6 +158,7 @@ class Classifier:
         fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-4, elasticNetParam=1.0, maxIter=60, tol=1e-4).fit(train)
         matrix, self.intercepts = fitted.coefficientMatrix.toArray(), [float(b) for b in fitted.interceptVector.toArray()]
         rows = [(g, *map(float, matrix[:, j])) for j, g in enumerate(counter.vocabulary) if abs(matrix[:, j]).max() > 1e-6]
+        self.grams = [r[0] for r in rows]
         schema = StructType([StructField("gram", StringType()), *[StructField(f"w{k}", DoubleType()) for k in range(len(FAMILIES))]])
         self.weights = common.written(spark.createDataFrame(rows, schema), "weights")
         named = common.written(examples.where("held_out").withColumn("paragraph", F.monotonically_increasing_id()), "held")
@@ -176,7 +182,8 @@ def scan(docs: DataFrame, trained_on: DataFrame | None = None) -> DataFrame:
     some = docs.select("doc_id", "text").where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), cues))
     found = _paragraphs(some, "doc_id").where(F.arrays_overlap("tokens", cues))
     found = common.written(found.select("doc_id", "line_no", "paragraph"), "paragraphs")
-    different = found.select("paragraph").distinct().withColumn("grams", _grams(F.split("paragraph", " ")))
+    grams = F.array_intersect(_grams(F.split("paragraph", " ")), F.array(*[F.lit(g) for g in model.grams]))
+    different = found.select("paragraph").distinct().withColumn("grams", grams)
     predicted = _scored(different, model.weights, model.intercepts).withColumn("probability", model.probability(F.col("margin"))).where("probability >= 0.5")
     compared = predicted.join(F.broadcast(model.templates.select("family", "template", "shingles")), "family").groupBy("paragraph", "family", "probability").agg(
         F.max(F.struct(_held(F.col("paragraph"), F.col("shingles")).alias("similarity"), (-F.col("template")).alias("template"))).alias("best")
