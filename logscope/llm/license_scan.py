@@ -1,6 +1,7 @@
 """License scans by a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines with words) are turned into lower-case word n-grams of 1 to 3 words. A sparse (L1) multinomial logistic
+Paragraphs are runs of neighbouring lines with words, and each such line alone: a notice may be wrapped, or stand in one line
+among others. They are turned into lower-case word n-grams of 1 to 3 words. A sparse (L1) multinomial logistic
 regression is trained on slices of license notices, one class per family, and on paragraphs of the corpus as class
 ``unknown``. On slices and paragraphs held out, the margin between the best family and ``unknown`` is calibrated to a
 probability; below a half the paragraph stays unknown. The prediction is compared with the templates of its family:
@@ -11,6 +12,9 @@ paragraphs of the ``NEGATIVE_DOCS`` documents with the least hash, ``NEGATIVES``
 a document that holds no word of any n-gram in favour of a family cannot be predicted, and is left out first. Equal
 paragraphs are classified once, so that a notice in a third of all documents is one row there.
 
+A paragraph of several lines gives a row, at its first line, unless one of its lines alone is confirmed for the same family or
+resembles a template as much.
+
 Defined results: null and blank texts have no paragraphs; a document without predicted paragraphs gives no row;
 repeated rows each give their rows.
 """
@@ -93,6 +97,31 @@ def _paragraphs(docs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _units(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, block, line_no, n_lines, tokens, paragraph): runs of lines with words, where longer than a line, and each line.
+
+    ``row`` numbers the rows of ``docs``, ``block`` is the first line of the run. Comment marks made of letters are taken off runs;
+    others hold no words.
+    """
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
+    rows = rows.withColumn("said", F.transform("lines", lambda x: F.lower(x).rlike("[a-z0-9]")))
+    places = F.sequence(F.lit(0), F.size("said") - 1)
+    at = lambda i: F.coalesce(F.get("said", i), F.lit(False))
+    ends = rows.select(
+        "doc_id", "row", "lines", F.filter(places, lambda i: at(i) & ~at(i - 1)).alias("start"), F.filter(places, lambda i: at(i) & ~at(i + 1)).alias("end")
+    ).where("size(start) > 0")
+    runs = ends.select("doc_id", "row", "lines", F.explode(F.arrays_zip("start", "end")).alias("run")).select(
+        "doc_id", "row", F.col("run.start").alias("block"), F.expr("slice(lines, run.start + 1, run.end - run.start + 1)").alias("lines")
+    )
+    plain = F.transform("lines", lambda x: F.regexp_replace(x, r"^\s*(?i:rem|dnl)\b", ""))
+    whole = F.struct(F.col("block").alias("line_no"), F.size("lines").alias("n_lines"), F.array_join(plain, " ").alias("line"))
+    single = F.transform("lines", lambda x, i: F.struct((F.col("block") + i).alias("line_no"), F.lit(1).alias("n_lines"), x.alias("line")))
+    units = runs.select("doc_id", "row", "block", F.inline(F.when(F.size("lines") > 1, F.concat(F.array(whole), single)).otherwise(single)))
+    return units.withColumn("tokens", _tokens(F.col("line"))).select(
+        "row", "doc_id", "block", "line_no", "n_lines", "tokens", F.array_join("tokens", " ").alias("paragraph")
+    )
+
+
 def _examples(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(family, tokens, held_out): slices of the templates, and paragraphs of the corpus that no template resembles."""
     n = F.size("tokens")
@@ -180,16 +209,19 @@ def scan(docs: DataFrame, trained_on: DataFrame | None = None) -> DataFrame:
     model = Classifier(docs if trained_on is None else trained_on)
     cues = F.array(*[F.lit(w) for w in model.words])
     some = docs.select("doc_id", "text").where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), cues))
-    found = _paragraphs(some, "doc_id").where(F.arrays_overlap("tokens", cues))
-    found = common.written(found.select("doc_id", "line_no", "paragraph"), "paragraphs")
+    found = _units(some).where(F.arrays_overlap("tokens", cues))
+    found = common.written(found.select("row", "doc_id", "block", "line_no", "n_lines", "paragraph"), "paragraphs")
     grams = F.array_intersect(_grams(F.split("paragraph", " ")), F.array(*[F.lit(g) for g in model.grams]))
     different = found.select("paragraph").distinct().withColumn("grams", grams)
     predicted = _scored(different, model.weights, model.intercepts).withColumn("probability", model.probability(F.col("margin"))).where("probability >= 0.5")
     compared = predicted.join(F.broadcast(model.templates.select("family", "template", "shingles")), "family").groupBy("paragraph", "family", "probability").agg(
         F.max(F.struct(_held(F.col("paragraph"), F.col("shingles")).alias("similarity"), (-F.col("template")).alias("template"))).alias("best")
     ).select("paragraph", "family", "probability", (-F.col("best.template")).alias("template"), "best.similarity")
-    return found.join(compared, "paragraph").select(
-        "doc_id", "line_no", "family", "probability", "template", "similarity", (F.col("similarity") >= SIMILAR).alias("confirmed")
+    notices = common.written(found.join(compared, "paragraph").drop("paragraph"), "notices").withColumn("confirmed", F.col("similarity") >= SIMILAR)
+    lines = notices.where("n_lines = 1").groupBy("row", "block", "family").agg(F.max("similarity").alias("best"))
+    known = (F.col("n_lines") > 1) & F.col("best").isNotNull() & ((F.col("best") >= SIMILAR) | (F.col("best") >= F.col("similarity")))
+    return notices.join(lines, ["row", "block", "family"], "left").where(~known).select(
+        "doc_id", "line_no", "family", "probability", "template", "similarity", "confirmed"
     )
 
 
