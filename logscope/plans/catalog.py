@@ -342,6 +342,7 @@ over_files("file_statistics_of_files", lambda log: summary.file_statistics(log.l
 over_files("file_date_range", lambda log: summary.date_range(log.lines, YEAR))
 over_files("file_time_range_iso", lambda log: summary.iso_time_range(log.lines))
 over_files("file_report_long", lambda log: report.report_long(log.lines, YEAR).where("report_type <> 'top_errors'"))
+over_files("file_report_whole", lambda log: report.report_long(log.lines, YEAR))
 over_files("file_detect_patterns", lambda log: formats.detect_patterns(log.lines))
 over_files("file_parse_custom", lambda log: formats.parse_detected(log.numbered).select("file", "line_no", "timestamp", "severity", "message"))
 over_files("file_stacktraces", lambda log: log.stacktraces(),

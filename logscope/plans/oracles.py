@@ -352,6 +352,11 @@ over_files("file_time_range_iso", f"""WITH {range_of([P.ISO_T_OR_SPACE])} SELECT
 over_files("file_report_long", f"""WITH {DATES}, {STATISTICS} SELECT cast(file AS bigint) AS part, 'statistics' AS report_type, k AS key, cast(v AS varchar) AS value FROM counted,
   LATERAL (VALUES ('total_lines', total_lines), ('error_count', error_count), ('warning_count', warning_count), ('info_count', info_count)) x(k, v)
  UNION ALL SELECT cast(file AS bigint), 'time_range', 'first', {normal('a')} FROM ends UNION ALL SELECT cast(file AS bigint), 'time_range', 'last', {normal('b')} FROM ends""")
+over_files("file_report_whole", f"""WITH {DATES}, {STATISTICS}, {RANKED_ERRORS}
+ SELECT cast(file AS bigint) AS part, 'statistics' AS report_type, k AS key, cast(v AS varchar) AS value FROM counted,
+  LATERAL (VALUES ('total_lines', total_lines), ('error_count', error_count), ('warning_count', warning_count), ('info_count', info_count)) x(k, v)
+ UNION ALL SELECT cast(file AS bigint), 'time_range', 'first', {normal('a')} FROM ends UNION ALL SELECT cast(file AS bigint), 'time_range', 'last', {normal('b')} FROM ends
+ UNION ALL SELECT cast(file AS bigint), 'top_errors', cast(occurrences AS varchar), message FROM ranked WHERE r <= 10""")
 over_files("file_detect_patterns", f"""SELECT cast(file AS bigint) AS part, 'custom' AS format, '{P.DETECT_TIMESTAMPS[0]}' AS timestamp_pattern,
  '{P.DETECT_SEVERITIES[0]}' AS severity_pattern FROM log_lines GROUP BY file""")
 over_files("file_parse_custom", DETECTED_PARTS.replace(TS["detected"], m(P.DETECT_TIMESTAMPS[0])).replace(LEVEL, m(f"(?i){P.DETECT_SEVERITIES[0]}")).rstrip()
