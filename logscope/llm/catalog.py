@@ -2,7 +2,7 @@
 
 from logscope.llm import (
     bin_packing, hamming_search, html_wrappers, license_scan, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup,
-    weak_labels,
+    turn_repair, weak_labels,
 )
 
 QUERIES = {
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_source_mixing": source_mixing.op9_source_mixing,
     "op10_hamming_search": hamming_search.op10_hamming_search,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op9_source_mixing": source_mixing.SQL,
     "op10_hamming_search": hamming_search.SQL,
+    "op12_turn_repair": turn_repair.SQL,
 }
