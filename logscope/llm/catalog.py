@@ -1,8 +1,8 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
 from logscope.llm import (
-    bin_packing, hamming_search, html_wrappers, license_scan, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup,
-    turn_repair, weak_labels,
+    bin_packing, hamming_search, html_wrappers, license_scan, private_data, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup,
+    term_pipeline, turn_repair, weak_labels,
 )
 
 QUERIES = {
@@ -16,12 +16,15 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_source_mixing": source_mixing.op9_source_mixing,
     "op10_hamming_search": hamming_search.op10_hamming_search,
+    "op11_term_pipeline": term_pipeline.op11_term_pipeline,
     "op12_turn_repair": turn_repair.op12_turn_repair,
+    "op13_private_data": private_data.op13_private_data,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op9_source_mixing": source_mixing.SQL,
     "op10_hamming_search": hamming_search.SQL,
+    "op11_term_pipeline": term_pipeline.SQL,
     "op12_turn_repair": turn_repair.SQL,
 }
