@@ -151,10 +151,9 @@ def through(rows: list[tuple], audit: str, state: int) -> int:
 _NARROW = ["initial", "forced", "truncated"]
 
 
-def _segments(table: pa.Table, columns: list[str]) -> Iterator[tuple[str, list[tuple]]]:
-    """The conversations of a block with their rows, in order."""
-    table = table.sort_by("at")
-    values = list(zip(*[table.column(c).to_pylist() for c in columns])) if columns else []
+def _segments(table: pa.Table, columns: list[str]) -> Iterator[tuple[str, list[tuple], int]]:
+    """The conversations of a block, sorted by ``at``, with their rows and where they start."""
+    values = list(zip(*[table.column(c).to_pylist() for c in columns]))
     convs = table.column("conv").to_pylist()
     start = 0
     for at in range(1, len(convs) + 1):
@@ -165,7 +164,7 @@ def _segments(table: pa.Table, columns: list[str]) -> Iterator[tuple[str, list[t
 
 def _costs(table: pa.Table) -> pa.Table:
     """Per segment the least cost from each state before it to each state behind it."""
-    plain, out = Weights(0), {"conv": [], "block": [], "costs": []}
+    table, plain, out = table.sort_by("at"), Weights(0), {"conv": [], "block": [], "costs": []}
     for conv, rows, _ in _segments(table, _NARROW):
         matrix = [0] * 16
         for e in STATES:
@@ -224,7 +223,7 @@ _DECIDED = pa.schema([
 
 def _decide(table: pa.Table) -> pa.Table:
     """Per segment and state before it the letters of the least integer, and the state behind it."""
-    out = []
+    table, out = table.sort_by("at"), []
     for conv, rows, start in _segments(table, _NARROW):
         ahead, last, total = (table.column(c)[start].as_py() for c in ("ahead", "last", "total"))
         weights = Weights(3 * len(rows) + 2)
@@ -260,7 +259,7 @@ _PIECES = pa.schema([
 
 def _repair(table: pa.Table) -> pa.Table:
     """Per segment the repaired rows as text (null: none), the audit with a D for each further equal row, and illegal neighbours."""
-    out = []
+    table, out = table.sort_by("at"), []
     for conv, rows, start in _segments(table, ["initial", "role", "text", "n"]):
         edits, state, total = (table.column(c)[start].as_py() for c in ("audit", "state", "total"))
         audit, lines, left = [], [], iter(rows)
