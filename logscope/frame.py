@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logscope.operators import errors, export, filters, formats, histogram, ranking, records, report, rows, summary
 from logscope.sources.csv import write_csv
 from logscope.sources.files import number_lines, read_lines
+from logscope.sources.heads import read_heads
 from logscope.sources.memory import lines_from_text
 
 
@@ -33,6 +34,8 @@ class LogFrame:
     lines: DataFrame
     source: str = "<table>"
     filters: dict[str, Filter] = field(default_factory=dict)
+    #: What the lines were read from, if from files.
+    paths: str | list[str] | None = None
 
     # -- filters ---------------------------------------------------------------------
 
@@ -140,8 +143,20 @@ class LogFrame:
     def time_histogram(self, interval: str = "hour", year: int | None = None) -> DataFrame:
         return histogram.time_histogram(self.view, interval, year)
 
-    def detect_format(self) -> DataFrame:
-        return formats.detect_format(self.lines)
+    def heads(self, n: int = formats.SAMPLE_LINES) -> DataFrame:
+        """The first ``n`` lines of each file; of files, only their beginning is read."""
+        heads = None if self.paths is None else read_heads(self.lines.sparkSession, self.paths, n)
+        return formats.head_lines(self.lines, n) if heads is None else heads
+
+    def detect_format(self, registry: formats.FormatRegistry = formats.REGISTRY) -> DataFrame:
+        return formats.detect_format(self.lines, registry, self.heads())
+
+    def detect_patterns(self) -> DataFrame:
+        return formats.detect_patterns(self.lines, self.heads())
+
+    def parse_detected(self) -> DataFrame:
+        """Timestamp, severity and message of the view, by the patterns found at the head of each file."""
+        return formats.parse_detected(self.view, self.heads())
 
     def parse(self, name: str) -> DataFrame:
         return formats.parse_format(self.view, name)
@@ -180,7 +195,7 @@ class LogFrame:
 
 def read(spark: SparkSession, paths: str | list[str]) -> LogFrame:
     source = paths if isinstance(paths, str) else ", ".join(paths)
-    return LogFrame(read_lines(spark, paths), source)
+    return LogFrame(read_lines(spark, paths), source, paths=paths)
 
 
 def read_text(spark: SparkSession, text: str, name: str = "<text>") -> LogFrame:

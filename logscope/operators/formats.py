@@ -12,7 +12,7 @@ from logscope.functions.staged import computed
 from logscope.functions.text import first_match
 from logscope.operators.joins import join_per_file
 from logscope.operators.ranking import BLOCK, position, with_block
-from logscope.sources.files import bounded, split_shifts
+from logscope.sources.files import bounded, split_bound, split_shifts
 
 SAMPLE_LINES = 20
 MARK = "\u0001"
@@ -155,35 +155,49 @@ def cloudtrail_records(df: DataFrame, record: str = CLOUDTRAIL_RECORD) -> DataFr
     return df.where(F.col("line").startswith('{"Records":[')).select(*keep, F.inline(parsed["Records"]))
 
 
-def w3c_rows(df: DataFrame, block: int = BLOCK) -> DataFrame:
+#: Splits whose header table may be broadcast, and how long the headers in it may be: some 100 MB at most.
+HEADED_BLOCKS, HEADER_LENGTH = 50_000, 500
+
+
+def w3c_rows(df: DataFrame, block: int = BLOCK, limit: int = HEADED_BLOCKS) -> DataFrame:
     """Data lines of W3C files as a map from the field names of their ``#Fields:`` header.
 
-    A file may repeat its header; a data line takes the nearest one above it. Within a
-    block of lines (a split, for lines as read) that is a running last value, and the
-    last header of earlier blocks comes from a table of one row per block. Of a name
-    that a header repeats, the last value counts.
+    A file may repeat its header; a data line takes the nearest one above it. Headers are
+    few, so they are intervals that lines meet, not rows sorted among the lines: a block
+    of lines (a split, for lines as read) has the last header of earlier blocks up to its own
+    header, and that one from there on. Only blocks with several headers, or with one
+    too long to hand round, are ordered, each on its own. Of a name that a header
+    repeats, the last value counts.
     """
-    header = F.nullif(F.regexp_extract("line", "^#Fields: (.*)$", 1), F.lit(""))
-    is_data = F.col("line").rlike("^[0-9-]+ [0-9:]+ ")
-    blocked = with_block(df, block)
     places = [c for c in df.columns if c != "line"]
-    lines = blocked.select("file", "block", position(df).alias("at"), "line", header.alias("names"), *[c for c in places if c not in ("file", "block")])
-    by_block = Window.partitionBy("file").orderBy("block")
-    last = lines.where("names is not null").groupBy("file", "block").agg(F.max_by("names", "at").alias("names"))
-    carried = (
-        lines.groupBy("file", "block").agg(F.count("*").alias("n")).join(last, ["file", "block"], "left")
-        .select("file", "block", F.last("names", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    blocked = with_block(df, block).select(
+        "file", "block", position(df).alias("at"), "line", *[c for c in places if c not in ("file", "block")]
+    )
+    names = F.nullif(F.regexp_extract("line", "^#Fields: (.*)$", 1), F.lit(""))
+    lines = computed(blocked, names=names, is_data=F.col("line").rlike("^[0-9-]+ [0-9:]+ "))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    found = F.collect_list(F.when(F.col("names").isNotNull(), F.struct("at", "names")))
+    per_block = lines.groupBy("file", "block").agg(found.alias("found")).select(
+        "file", "block", F.size("found").alias("headers"), F.array_min("found")["at"].alias("own_at"), F.array_min("found")["names"].alias("own"),
+        F.last(F.array_max("found")["names"], ignorenulls=True).over(earlier).alias("carried"),
+    )
+    short = F.coalesce(F.greatest(F.length("carried"), F.length("own")), F.lit(0)) <= HEADER_LENGTH
+    plain = short & (F.col("headers") <= 1)
+    few = per_block.where(plain).drop("headers")
+    few = F.broadcast(few) if split_bound(df) <= limit else few
+    simple = lines.where("is_data").join(few, ["file", "block"]).withColumn(
+        "names", F.when(F.col("at") > F.col("own_at"), F.col("own")).otherwise(F.col("carried"))
     )
     so_far = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    named = (
-        lines.where(is_data | F.col("names").isNotNull())
-        .withColumn("names", F.last("names", ignorenulls=True).over(so_far))
-        .join(carried, ["file", "block"])
+    mixed = (
+        lines.where("is_data or names is not null").join(bounded(df, per_block.where(~plain).select("file", "block")), ["file", "block"], "left_semi")
+        .withColumn("names", F.last("names", ignorenulls=True).over(so_far)).where("is_data")
+        .join(per_block.where(~plain).select("file", "block", "carried"), ["file", "block"])
         .withColumn("names", F.coalesce("names", "carried"))
-        .where(is_data & F.col("names").isNotNull())
     )
-    names, values = F.split("names", " "), F.split("line", " ")
-    pairs = F.slice(F.arrays_zip(names.alias("key"), values.alias("value")), F.lit(1), F.least(F.size(names), F.size(values)))
+    named = simple.select("line", "names", *places).unionByName(mixed.select("line", "names", *places)).where("names is not null")
+    keys, values = F.split("names", " "), F.split("line", " ")
+    pairs = F.slice(F.arrays_zip(keys.alias("key"), values.alias("value")), F.lit(1), F.least(F.size(keys), F.size(values)))
     once = F.filter(pairs, lambda pair, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == pair["key"]))
     return named.select(*places, F.map_from_entries(once).alias("row"))
 
@@ -205,9 +219,9 @@ def _first_pattern(patterns, flags: str = "") -> Column:
     ])
 
 
-def detect_patterns(df: DataFrame) -> DataFrame:
-    """Per file, the first timestamp and severity pattern that occurs in its first 20 lines."""
-    return head_lines(df).groupBy("file").agg(
+def detect_patterns(df: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Per file, the first timestamp and severity pattern that occurs in its first 20 lines (``heads``, if at hand)."""
+    return (head_lines(df) if heads is None else heads).groupBy("file").agg(
         F.lit("custom").alias("format"),
         _first_pattern(P.DETECT_TIMESTAMPS).alias("timestamp_pattern"),
         _first_pattern(P.DETECT_SEVERITIES, "(?i)").alias("severity_pattern"),
@@ -221,13 +235,13 @@ def _vote(fmt: LogFormat) -> Column:
     return F.when(F.bool_or(F.col("line").rlike(fmt.header)), matched).otherwise(0)
 
 
-def detect_format(df: DataFrame, registry: FormatRegistry = REGISTRY) -> DataFrame:
-    """Per file, the named format that most of its first 20 lines have; ``custom`` if none.
+def detect_format(df: DataFrame, registry: FormatRegistry = REGISTRY, heads: DataFrame | None = None) -> DataFrame:
+    """Per file, the named format that most of its first 20 lines (``heads``, if at hand) have; ``custom`` if none.
 
     Of equally frequent formats the more specific one (by priority) wins.
     """
     formats = registry.detectable()
-    votes = head_lines(df).groupBy("file").agg(
+    votes = (head_lines(df) if heads is None else heads).groupBy("file").agg(
         F.count("*").alias("lines"),
         *[_vote(f).alias(f"v{i}") for i, f in enumerate(formats)],
     )
@@ -238,13 +252,13 @@ def detect_format(df: DataFrame, registry: FormatRegistry = REGISTRY) -> DataFra
     return votes.select("file", name.otherwise("custom").alias("format"), "lines", most.alias("matched"))
 
 
-def parse_detected(df: DataFrame) -> DataFrame:
-    """Timestamp, severity and message by the patterns detected for each file.
+def parse_detected(df: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Timestamp, severity and message by the patterns detected for each file (from ``heads``, if at hand).
 
     A part whose pattern was not detected is empty, and so is one that a line lacks.
     """
     line = F.col("line")
-    found = join_per_file(df, detect_patterns(df).drop("format"))
+    found = join_per_file(df, detect_patterns(df, heads).drop("format"))
 
     def by_pattern(column, patterns, extract):
         out = F

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logscope.functions.staged import computed
 from logscope.operators.formats import REGISTRY
 from logscope.operators.ranking import BLOCK, position, with_block
 
@@ -22,9 +23,8 @@ def stacktrace_lines(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     line, at = F.col("line"), F.col("at")
     numbered = "line_no" in df.columns
-    blocked = with_block(df, block).select(
-        "file", "block", position(df).alias("at"), "line", line.rlike(REGISTRY["java_stacktrace"].regex).alias("is_head"),
-    )
+    blocked = with_block(df, block).select("file", "block", position(df).alias("at"), "line")
+    blocked = computed(blocked, is_head=line.rlike(REGISTRY["java_stacktrace"].regex))
     kept = F.col("is_head") | line.rlike(CONTINUATION)
     blocks = blocked.groupBy("file", "block").agg(
         F.count("*").alias("n"), F.min("at").alias("first"),

@@ -345,6 +345,10 @@ over_files("file_report_long", lambda log: report.report_long(log.lines, YEAR).w
 over_files("file_report_whole", lambda log: report.report_long(log.lines, YEAR))
 over_files("file_detect_patterns", lambda log: formats.detect_patterns(log.lines))
 over_files("file_parse_custom", lambda log: formats.parse_detected(log.numbered).select("file", "line_no", "timestamp", "severity", "message"))
+over_files("file_detect_heads", lambda log: log.detect_patterns())
+over_files("file_heads", lambda log: log.heads(7))
+over_files("file_parse_heads", lambda log: log.parse_detected().select("file", "timestamp", "severity", "message"))
+over_files("file_top_errors", lambda log: errors.top_errors(log.lines, 4, by_file=True).select("file", "occurrences", "message"))
 over_files("file_stacktraces", lambda log: log.stacktraces(),
            lambda spark, sf_dir: D.derived_lines(spark, sf_dir, D.TRACE_FILES, "trace_files"))
 over_files("file_w3c_rows", lambda log: log.w3c_rows().select("file", *[
@@ -352,6 +356,19 @@ over_files("file_w3c_rows", lambda log: log.w3c_rows().select("file", *[
     lambda spark, sf_dir: D.derived_lines(spark, sf_dir, D.W3C_FILES, "w3c_files"))
 
 
+over_files("file_w3c_many_headers", lambda log: log.w3c_rows().select("file", *[
+    F.col("row")[f].alias(c) for c, f in {"day": "date", "clock": "time", "method": "cs-method", "status": "sc-status"}.items()]),
+    lambda spark, sf_dir: D.derived_lines(spark, sf_dir, D.W3C_SHORT, "w3c_short"))
+
+
+@query("file_detect_format")
+def file_detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of each format: what their first lines say."""
+    lines = D.format_lines(spark, sf_dir, *D.FORMAT_LINES)
+    part = F.array_position(F.array(*[F.lit(f"{n}.log") for n in D.FORMAT_LINES]), F.col("file"))
+    return D.with_part(read(spark, D.written_log(spark, lines.withColumn("part", part), "formats")).detect_format())
+
+
 @query("file_export_view")
 def file_export_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filtered view of text files, exported: its rows with the counts of its metadata."""

@@ -230,6 +230,15 @@ w3c_files AS (SELECT 'iis.log' AS file, line_no, CASE
   WHEN event_id % 1000 < 500 THEN d||' '||t||' '||lvl||' '||k
   ELSE d||' '||t||' '||k||' '||lvl END AS line FROM ev)"""
 
+# A header every few lines, so that a split has one, several or none, and lines before any.
+W3C_SHORT = """
+w3c_short AS (SELECT 'iis.log' AS file, line_no, CASE
+  WHEN event_id < 8 THEN d||' '||t||' before any header'
+  WHEN event_id % 40 BETWEEN 8 AND 11 THEN '#Fields: date time cs-method sc-status'
+  WHEN event_id % 40 BETWEEN 28 AND 31 THEN '#Fields: date time sc-status cs-method'
+  WHEN event_id % 40 BETWEEN 12 AND 27 THEN d||' '||t||' '||lvl||' '||k
+  ELSE d||' '||t||' '||k||' '||lvl END AS line FROM ev)"""
+
 
 def written_log(spark: SparkSession, lines: DataFrame, label: str) -> str:
     """The lines (``file, line_no, line, part``) as text files, one per ``part``, in a folder of the shared scratch folder."""

@@ -362,10 +362,19 @@ over_files("file_detect_patterns", f"""SELECT cast(file AS bigint) AS part, 'cus
 over_files("file_parse_custom", DETECTED_PARTS.replace(TS["detected"], m(P.DETECT_TIMESTAMPS[0])).replace(LEVEL, m(f"(?i){P.DETECT_SEVERITIES[0]}")).rstrip()
            + f", {PLACED} SELECT part, n AS line_no, coalesce(m.ts, '') AS timestamp, coalesce(p.level, '') AS severity, m.message"
            " FROM msgs m JOIN parts p USING (line_no) JOIN placed ON old_no = m.line_no")
+ORACLES["file_detect_heads"] = ORACLES["file_detect_patterns"]
+over_files("file_heads", f"WITH {PLACED} SELECT part, n AS line_no, line FROM placed WHERE n <= 7")
+ORACLES["file_parse_heads"] = ORACLES["file_parse_custom"].replace("SELECT part, n AS line_no, ", "SELECT part, ")
+over_files("file_top_errors", f"WITH {RANKED_ERRORS} SELECT cast(file AS bigint) AS part, occurrences, message FROM ranked WHERE r <= 4")
+ORACLES["file_detect_format"] = f"WITH {D.EVENTS.format(**D.DUCKDB)} " + " UNION ALL ".join(
+    f"SELECT {i} AS part, '{DETECTED_AS.get(n, n)}' AS format, count(*) AS lines, count(*) FILTER (WHERE good) AS matched FROM ev WHERE line_no <= 20"
+    for i, n in enumerate(D.FORMAT_LINES, start=1))
 ORACLES["file_stacktraces"] = ORACLES["stacktrace_records"].replace(
     "SELECT cast(event_id*4+1 AS bigint) AS head_no,", "SELECT event_id % 4 AS part, cast(event_id // 4 * 4 + 1 AS bigint) AS head_no,")
 over_formats("file_w3c_rows", """SELECT line_no % 4 AS part, d AS day, t AS clock, lvl AS method, k AS status FROM ev
  WHERE event_id % 1000 >= 4 AND event_id % 1000 NOT BETWEEN 500 AND 503""")
+over_formats("file_w3c_many_headers", """SELECT line_no % 4 AS part, d AS day, t AS clock, lvl AS method, k AS status FROM ev
+ WHERE event_id >= 12 AND event_id % 40 NOT BETWEEN 8 AND 11 AND event_id % 40 NOT BETWEEN 28 AND 31""")
 over_lines("file_export_view", CONTEXT_PARTS + f"""SELECT timestamp, severity, message, (SELECT count(*) FROM log_lines) AS total_entries,
  (SELECT count(*) FROM log_lines WHERE {ERROR} AND line ILIKE '%backend-1%') AS filtered_entries, 'Errors only; Text: "backend-1"' AS filters
  FROM msgs WHERE {CONTENT} AND {ERROR} AND line ILIKE '%backend-1%' AND message <> '' AND message NOT LIKE '#%'""")

@@ -66,5 +66,5 @@ def split_bound(lines: DataFrame) -> int:
     A file has at most one split that does not fill a partition of its own.
     """
     plan = lines._jdf.queryExecution().optimizedPlan()
-    size = int(lines.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    size = lines.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return int(str(plan.stats().sizeInBytes())) // size + len(lines._jdf.inputFiles())

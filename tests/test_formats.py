@@ -87,3 +87,61 @@ def test_parse_detected_per_file(lines):
         ("2024-01-01 00:00:00", "WARN", "ING disk"), ("", "info", "01/01/2024 00:00:00  x"),
         ("01/02/2024 00:00:00", "NOTICE", "y"), ("", "", "nothing"),
     ]
+
+
+def w3c(lines):
+    """What each data line must give, file by file."""
+    out = {}
+    for file, _, line in sorted(lines):
+        names = out.setdefault(file, [None, []])
+        if line.startswith("#Fields: ") and len(line) > 9:
+            names[0] = line[9:].split(" ")
+        elif line[:1] in "0123456789-" and names[0]:
+            names[1].append(dict(zip(names[0], line.split(" "))))
+    return {f: rows for f, (_, rows) in out.items()}
+
+
+@pytest.mark.parametrize("block", [1, 3, 10, 1000])
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_w3c_headers_over_blocks(lines, block, limit):
+    """Blocks with no header, one, several, and with one that is too long to be handed round."""
+    import random
+
+    rng = random.Random(block)
+    rows = []
+    for file in "abc":
+        for i in range(60):
+            long = " ".join(f"field{k}" for k in range(100))
+            kind = rng.random()
+            line = (
+                "#Fields: date time x" + rng.choice("123") if kind < 0.1 else f"#Fields: date time {long}" if kind < 0.13 else "#Fields: " if kind < 0.16
+                else "# other" if kind < 0.2 else f"2024-01-01 00:00:{i % 60:02d} v{i} w{i}"
+            )
+            rows.append((file, i, line))
+    found = {}
+    for r in formats.w3c_rows(lines(rows), block=block, limit=limit).orderBy("file", "line_no").collect():
+        found.setdefault(r.file, []).append(r.row)
+    assert found == {f: rows for f, rows in w3c(rows).items() if rows}
+
+
+def test_w3c_sorts_no_plain_lines(spark, tmp_path):
+    """Data lines of splits with a header at most reach the result without a shuffle or a sort."""
+    from logscope import read
+
+    (tmp_path / "a.log").write_text("#Fields: date time m\n" + "2024-01-01 00:00:00 GET\n" * 50)
+    log = read(spark, str(tmp_path))
+    frame = log.w3c_rows()
+    assert frame.count() == 50
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    simple = plan[: plan.index("Window")] if plan.index("Window") < len(plan) else plan
+    assert "BroadcastHashJoin" in simple
+    spark.sparkContext.setJobGroup("w3c", "w3c")
+    try:
+        frame.collect()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("w3c") for s in tracker.getJobInfo(j).stageIds}
+    records = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if tracker.getStageInfo(s))
+    assert records < 15  # rows of block tables; none of the 50 lines

@@ -166,10 +166,13 @@ def test_scans_of_files(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     scans = lambda df: plan(df).count("Scan text") or plan(df).count("FileScan text")
     assert scans(frame.stacktraces()) == 2
-    assert scans(frame.w3c_rows()) == 3
+    rows = frame.w3c_rows()
+    rows.collect()
+    final = plan(rows).split("== Initial Plan ==")[0]
+    assert final.count("FileScan text") <= 3  # the table of blocks, lines of plain blocks, and of others if there are any
     assert scans(frame.export_metadata()) == 1
     assert scans(summary.date_range(frame.lines)) == 2 and scans(summary.iso_time_range(frame.lines)) == 2
-    assert scans(report.report_long(frame.lines)) == 3
+    assert scans(report.report_long(frame.lines)) == 4  # frequent errors: their hashes, then the lines wanted
     assert scans(formats.head_lines(frame.lines)) == 2 and "row_number" not in plan(formats.head_lines(frame.lines))
 
 
