@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from logscope.llm import common
 
 K = 10
-#: Text and documents of a shard, items of a bundle (a power of 2).
+#: Text and documents of a shard, items of a bundle.
 SHARD_BYTES, SHARD_DOCS, BUNDLE = 2 << 20, 4096, 256
 #: Bits of a term's hash that the bitmap takes.
 BITMAP = 24
@@ -55,13 +55,13 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _INDEX = "shard long, ids array<long>, lengths array<long>, terms binary, sizes binary, docs binary, tfs binary, n_docs long, n_terms long"
 
 
-def _index(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], bitmap: bytes, most: int) -> Iterator[pa.RecordBatch]:
     """One row per shard: its documents, and the postings of terms that pass the bitmap, by term and document."""
     bits, made = np.frombuffer(bitmap, np.uint8), TaskContext.get().partitionId() << 32
     for batch in batches:
         for lo, hi in common.steps(batch, "text", SHARD_BYTES):
-            for at in range(lo, hi, SHARD_DOCS):
-                part = batch.slice(at, min(hi, at + SHARD_DOCS) - at)
+            for at in range(lo, hi, most):
+                part = batch.slice(at, min(hi, at + most) - at)
                 terms, lengths = _terms(part.column("text"))
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 place = terms >> np.uint64(64 - BITMAP)
@@ -160,9 +160,9 @@ _CARRIED_COLUMNS = "bundle long, shard long, places binary, scores binary"
 _CARRIED = pa.schema([("bundle", pa.int64()), ("shard", pa.int64()), ("places", pa.binary()), ("scores", pa.binary())])
 
 
-def _added(carried: pa.Table, postings: pa.Table, n: int, total: int) -> np.ndarray | None:
-    """The scores (item by document of the shard) with what the postings add."""
-    scores = np.zeros(BUNDLE * SHARD_DOCS, np.int64)
+def _added(carried: pa.Table, postings: pa.Table, n: int, total: int, shape: tuple[int, int]) -> np.ndarray:
+    """The scores (of items times documents of the shard, ``shape``) with what the postings add."""
+    scores, width = np.zeros(shape[0] * shape[1], np.int64), shape[1]
     for row in carried.to_pylist():
         scores[np.frombuffer(row["places"], np.int32)] = np.frombuffer(row["scores"], np.int64)
     for row in postings.to_pylist():
@@ -173,13 +173,13 @@ def _added(carried: pa.Table, postings: pa.Table, n: int, total: int) -> np.ndar
         tf = tfs.astype(np.int64)
         part = 1_000_000_000 * tf // (1000 * tf + 8 * m[docs])
         for slot, weight, a, b in zip(slots.tolist(), weights.tolist(), first.tolist(), (first + size).tolist()):
-            scores[slot * SHARD_DOCS + docs[a:b]] += weight * part[a:b]
+            scores[slot * width + docs[a:b]] += weight * part[a:b]
     return scores
 
 
-def _stage(carried: pa.Table, postings: pa.Table, n: int, total: int) -> pa.Table:
+def _stage(carried: pa.Table, postings: pa.Table, **whole) -> pa.Table:
     """A bundle at an owner: its accumulators with this owner's contributions."""
-    scores = _added(carried, postings, n, total)
+    scores = _added(carried, postings, **whole)
     some = carried if carried.num_rows else postings
     places = np.flatnonzero(scores)
     row = {"bundle": some.column("bundle")[0].as_py(), "shard": some.column("shard")[0].as_py(),
@@ -190,9 +190,9 @@ def _stage(carried: pa.Table, postings: pa.Table, n: int, total: int) -> pa.Tabl
 _BEST = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
 
-def _last_stage(carried: pa.Table, postings: pa.Table, n: int, total: int, k: int) -> pa.Table:
+def _last_stage(carried: pa.Table, postings: pa.Table, k: int, **whole) -> pa.Table:
     """A bundle at the last owner: the best documents of the shard for each of its items."""
-    scores = _added(carried, postings, n, total).reshape(BUNDLE, SHARD_DOCS)
+    scores = _added(carried, postings, **whole).reshape(whole["shape"])
     row = postings.select(["bundle", "ids"]).to_pylist()[0]
     bare = np.array([i is None for i in row["ids"]], bool)
     ids = np.array([0 if i is None else i for i in row["ids"]], np.int64)
@@ -203,17 +203,20 @@ def _last_stage(carried: pa.Table, postings: pa.Table, n: int, total: int, k: in
         if len(docs) > k:
             docs = docs[own[docs] >= np.partition(own[docs], -k)[-k]]
         docs = docs[np.lexsort((ids[docs], bare[docs], -own[docs]))[:k]]
-        out["item"] += [row["bundle"] * BUNDLE + slot] * len(docs)
+        out["item"] += [row["bundle"] * len(scores) + slot] * len(docs)
         out["doc_id"] += [row["ids"][d] for d in docs]
         out["score"] += own[docs].tolist()
     return pa.table(out, _BEST)
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
-    """(item_id, rank, doc_id, score): the ``k`` best of ``docs`` (doc_id, text) for each row of ``items`` (item_id, text)."""
+def search(docs: DataFrame, items: DataFrame, k: int = K, bundle: int = BUNDLE, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """(item_id, rank, doc_id, score): the ``k`` best of ``docs`` (doc_id, text) for each row of ``items`` (item_id, text).
+
+    ``bundle`` items travel together, ``shard_docs`` documents at most make a shard: the scores of a task are one array of their product.
+    """
     asking = common.written(items.select("item_id", "text").withColumn("item", F.monotonically_increasing_id()), "items")
     asked = common.written(asking.select("item", "text").mapInArrow(_asked, "item long, term long, times long"), "asked")
-    index = common.written(docs.select("doc_id", "text").mapInArrow(partial(_index, bitmap=_bitmap(asked)), _INDEX), "index")
+    index = common.written(docs.select("doc_id", "text").mapInArrow(partial(_index, bitmap=_bitmap(asked), most=shard_docs), _INDEX), "index")
     n, total = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     held = index.select("terms", "sizes").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * n + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long")
@@ -221,15 +224,15 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     for at, share in reversed(list(enumerate(OWNERS))):
         owner = F.when(F.col("df") * share < n, at).otherwise(owner)
     terms = asked.join(held, "term").select(
-        F.floor(F.col("item") / BUNDLE).cast("long").alias("bundle"), owner.alias("owner"),
-        F.struct((F.col("item") % BUNDLE).cast("int").alias("slot"), "term", (weight * F.col("times")).alias("weight")).alias("q"),
+        F.call_function("div", F.col("item"), F.lit(bundle)).alias("bundle"), owner.alias("owner"),
+        F.struct((F.col("item") % bundle).cast("int").alias("slot"), "term", (weight * F.col("times")).alias("weight")).alias("q"),
     )
     queries = common.written(terms.groupBy("bundle", "owner").agg(F.collect_list("q").alias("query")), "queries")
     bundles = [r["bundle"] for r in queries.select("bundle").distinct().collect()]
     if not bundles:
         return asking.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     shards = index.withColumn("bundle", F.explode(F.array(*[F.lit(b).cast("long") for b in bundles])))
-    at = ["bundle", "shard"]
+    at, whole = ["bundle", "shard"], {"n": n, "total": total, "shape": (bundle, shard_docs)}
     carried = None
     for stage in range(_LAST + 1):
         last = stage == _LAST
@@ -240,9 +243,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
             carried = asking.sparkSession.createDataFrame([], _CARRIED_COLUMNS)
         pair = carried.groupBy(*at).cogroup(postings.groupBy(*at))
         if last:
-            best = pair.applyInArrow(partial(_last_stage, n=n, total=total, k=k), "item long, doc_id long, score long")
+            best = pair.applyInArrow(partial(_last_stage, k=k, **whole), "item long, doc_id long, score long")
         else:
-            carried = pair.applyInArrow(partial(_stage, n=n, total=total), _CARRIED_COLUMNS)
+            carried = pair.applyInArrow(partial(_stage, **whole), _CARRIED_COLUMNS)
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     top = best.withColumn("rank", rank).where(F.col("rank") <= k)
     return top.join(asking.select("item", "item_id"), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
