@@ -14,6 +14,7 @@ from logscope.plans import dataset as D
 from logscope.sources.csv import read_csv, write_csv
 from logscope.sources.memory import split_text
 from logscope.sources.scratch import scratch_path
+from logscope.streaming import traces, windows
 from logscope.streaming.piped import write_rows
 
 YEAR = 2024
@@ -253,6 +254,27 @@ def stream_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, f"{path}/rows").drop("csv_parse_error")
 
 
+@query("stream_hist_hour")
+def stream_hist_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per hour of a stream: the windows that are finished when it ends."""
+    path = scratch_path(spark, "windows")
+    counts = windows.windowed_counts(D.log_line_stream(spark, sf_dir), "hour", YEAR, delay="90 minutes")
+    windows.write_windows(counts, f"{path}/counts", f"{path}/checkpoint").awaitTermination()
+    return windows.histogram(spark, f"{path}/counts", "hour")
+
+
+@query("stream_stacktraces")
+def stream_stacktraces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a log that comes in four batches, cut anywhere: those that close, and those still open at the end."""
+    path = scratch_path(spark, "traces")
+    lines = D.derived_lines(spark, sf_dir, D.TRACE_LINES, "trace_lines")
+    stream = D.in_batches(lines, f"{path}/lines", 4)
+    records = traces.stream_stacktraces(stream)
+    records.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/records").awaitTermination()
+    closed = spark.read.schema(records.schema).parquet(f"{path}/records")
+    return closed.unionByName(traces.open_records(spark, f"{path}/checkpoint")).drop("file")
+
+
 @query("export_metadata")
 def export_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = LogFrame(D.log_lines(spark, sf_dir)).errors_only().text("backend-1")

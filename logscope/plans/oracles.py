@@ -271,6 +271,9 @@ CSV_ROWS = CSV_PARTS + f"SELECT line_no, coalesce(ts, '') AS timestamp, severity
 over_lines("csv_rows", CSV_ROWS)
 over_lines("csv_roundtrip", CSV_ROWS.replace("SELECT line_no, coalesce", "SELECT NULL AS csv_parse_error, coalesce"))
 over_lines("stream_csv_rows", CSV_ROWS.replace("SELECT line_no, coalesce", "SELECT coalesce"))
+ENDED = "(SELECT max({at}) - INTERVAL 90 MINUTES FROM hits)".format(at=instant("ts"))
+over_lines("stream_hist_hour", f"WITH {histogram('%Y-%m-%d %H')} SELECT file, bucket, count FROM hist WHERE strptime(bucket, '%Y-%m-%d %H') + INTERVAL 1 HOUR <= {ENDED}")
+ORACLES["stream_stacktraces"] = ORACLES["stacktrace_records"]
 over_lines("csv_rows_separator", DETECTED_PARTS + f"SELECT line_no, coalesce(ts, '') AS timestamp, severity, message FROM cuts WHERE {CONTENT} AND message <> '' AND message NOT LIKE '#%'")
 over_lines("csv_rows_view", CONTEXT_PARTS + f"SELECT line_no, timestamp, severity, message FROM msgs WHERE {CONTENT} AND message <> '' AND message NOT LIKE '#%'")
 over_lines("log_entries", f"SELECT line_no, line AS raw, {SEVERITY['api']} AS severity, {TS['api']} AS timestamp, NULL AS message FROM log_lines WHERE trim(line) <> ''")
