@@ -9,8 +9,9 @@ confirmed if the paragraph holds 0.8 or more of a template's five-word shingles
 
 All of it is DataFrame operations and Spark's own estimators. The training set is bounded: the templates below, and the
 paragraphs of the ``NEGATIVE_DOCS`` documents with the least hash, ``NEGATIVES`` at most. The scan covers all documents:
-a document that holds no word of any n-gram in favour of a family cannot be predicted, and is left out first. Equal
-paragraphs are classified once, so that a notice in a third of all documents is one row there.
+a document that holds no word of any n-gram in favour of a family cannot be predicted, and is left out first. What is found in
+a paragraph are the n-grams of the model it holds, in time linear in its words; their weights are summed per paragraph, by
+numbers, so no text is shuffled to be classified and a notice in a third of all documents is no hot key.
 
 A paragraph of several lines gives a row, at its first line, unless one of its lines alone is confirmed for the same family or
 resembles a template as much.
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from logscope.functions.staged import computed
 from logscope.llm import common
 
 #: Common wordings of license notices. Several lines of a family are several templates.
@@ -97,29 +99,44 @@ def _paragraphs(docs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _units(docs: DataFrame) -> DataFrame:
+def _units(docs: DataFrame, words: list[str]) -> DataFrame:
     """(row, doc_id, block, line_no, n_lines, tokens, paragraph): runs of lines with words, where longer than a line, and each line.
 
-    ``row`` numbers the rows of ``docs``, ``block`` is the first line of the run. Comment marks made of letters are taken off runs;
-    others hold no words.
+    Only those with one of ``words``. ``row`` numbers the rows of ``docs``, ``block`` is the first line of the run. Comment
+    marks made of letters are taken off runs; others hold no words.
     """
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
-    rows = rows.withColumn("said", F.transform("lines", lambda x: F.lower(x).rlike("[a-z0-9]")))
-    places = F.sequence(F.lit(0), F.size("said") - 1)
+    rows = computed(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), lines=F.split("text", "\n")).drop("text")
+    rows = computed(rows, said=F.transform("lines", lambda x: F.lower(x).rlike("[a-z0-9]")))
     at = lambda i: F.coalesce(F.get("said", i), F.lit(False))
-    ends = rows.select(
-        "doc_id", "row", "lines", F.filter(places, lambda i: at(i) & ~at(i - 1)).alias("start"), F.filter(places, lambda i: at(i) & ~at(i + 1)).alias("end")
-    ).where("size(start) > 0")
-    runs = ends.select("doc_id", "row", "lines", F.explode(F.arrays_zip("start", "end")).alias("run")).select(
-        "doc_id", "row", F.col("run.start").alias("block"), F.expr("slice(lines, run.start + 1, run.end - run.start + 1)").alias("lines")
+    places = F.sequence(F.lit(0), F.size("said") - 1)
+    rows = computed(rows, start=F.filter(places, lambda i: at(i) & ~at(i - 1)), end=F.filter(places, lambda i: at(i) & ~at(i + 1)))
+    runs = rows.select("doc_id", "row", "lines", F.inline(F.arrays_zip("start", "end"))).select(
+        "doc_id", "row", F.col("start").alias("block"), F.expr("slice(lines, start + 1, end - start + 1)").alias("lines")
     )
     plain = F.transform("lines", lambda x: F.regexp_replace(x, r"^\s*(?i:rem|dnl)\b", ""))
     whole = F.struct(F.col("block").alias("line_no"), F.size("lines").alias("n_lines"), F.array_join(plain, " ").alias("line"))
     single = F.transform("lines", lambda x, i: F.struct((F.col("block") + i).alias("line_no"), F.lit(1).alias("n_lines"), x.alias("line")))
     units = runs.select("doc_id", "row", "block", F.inline(F.when(F.size("lines") > 1, F.concat(F.array(whole), single)).otherwise(single)))
-    return units.withColumn("tokens", _tokens(F.col("line"))).select(
-        "row", "doc_id", "block", "line_no", "n_lines", "tokens", F.array_join("tokens", " ").alias("paragraph")
-    )
+    units = computed(units, tokens=_tokens(F.col("line"))).drop("line")
+    return units.where(F.exists("tokens", lambda t: t.isin(words)))
+
+
+def _features(units: DataFrame, grams: list[str]) -> DataFrame:
+    """``units`` (tokens, ...) with the n-grams of the model that a unit holds.
+
+    Its words are looked up once; n-grams are made of neighbours that are both words of the model, by one pass for each length.
+    """
+    words = sorted({w for g in grams for w in g.split(" ")})
+    units = computed(units, known=F.transform("tokens", lambda t: F.when(t.isin(words), t)))
+    made = units
+    before = "known"
+    for n in range(2, GRAMS + 1):
+        behind = F.slice("known", F.lit(n), F.greatest(F.size("known") - (n - 1), F.lit(0)))
+        made = computed(made, **{f"known{n}": F.zip_with(before, behind, lambda a, b: F.concat(a, F.lit(" "), b))})
+        before = f"known{n}"
+    parts = ["known", *[f"known{n}" for n in range(2, GRAMS + 1)]]
+    found = F.array_distinct(F.filter(F.concat(*parts), lambda g: g.isin(grams)))
+    return computed(made, grams=found).drop(*parts)
 
 
 def _examples(docs: DataFrame, templates: DataFrame) -> DataFrame:
@@ -140,12 +157,12 @@ def _examples(docs: DataFrame, templates: DataFrame) -> DataFrame:
     return common.written(rows.coalesce(2), "examples")
 
 
-def _scored(paragraphs: DataFrame, weights: DataFrame, intercepts: list[float]) -> DataFrame:
-    """``paragraphs`` (paragraph, grams) with the best family and its margin over unknown."""
-    each = paragraphs.select("paragraph", F.explode("grams").alias("gram")).join(weights, "gram")
-    logits = each.groupBy("paragraph").agg(*[(F.sum(f"w{k}") + F.lit(b)).alias(f"z{k}") for k, b in enumerate(intercepts)])
+def _scored(units: DataFrame, keys: list[str], weights: DataFrame, intercepts: list[float]) -> DataFrame:
+    """``keys`` of ``units`` (keys, grams) with the best family and its margin over unknown. ``weights`` has the model's n-grams alone."""
+    each = units.select(*keys, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
+    logits = each.groupBy(*keys).agg(*[(F.sum(f"w{k}") + F.lit(b)).alias(f"z{k}") for k, b in enumerate(intercepts)])
     best = F.array_max(F.array(*[F.struct(F.col(f"z{k}").alias("z"), F.lit(f).alias("family")) for k, f in enumerate(FAMILIES) if k]))
-    return logits.select("paragraph", best.alias("best"), "z0").select("paragraph", "best.family", (F.col("best.z") - F.col("z0")).alias("margin"))
+    return logits.select(*keys, best.alias("best"), "z0").select(*keys, "best.family", (F.col("best.z") - F.col("z0")).alias("margin"))
 
 
 def cue_words(weights: list[tuple], intercepts: list[float], least: float, common_words: dict[str, int]) -> list[str]:
@@ -191,7 +208,7 @@ class Classifier:
         schema = StructType([StructField("gram", StringType()), *[StructField(f"w{k}", DoubleType()) for k in range(len(FAMILIES))]])
         self.weights = common.written(spark.createDataFrame(rows, schema), "weights")
         named = common.written(examples.where("held_out").withColumn("paragraph", F.monotonically_increasing_id()), "held")
-        margins = _scored(named, self.weights, self.intercepts)
+        margins = _scored(named, ["paragraph"], self.weights, self.intercepts)
         held = named.join(margins, "paragraph").select((F.col("label") > 0).cast("double").alias("label"), "margin")
         line = LogisticRegression(regParam=1e-3).fit(VectorAssembler(inputCols=["margin"], outputCol="features").transform(held))
         self.slope, self.shift = float(line.coefficients[0]), float(line.intercept)
@@ -207,17 +224,17 @@ class Classifier:
 def scan(docs: DataFrame, trained_on: DataFrame | None = None) -> DataFrame:
     """(doc_id, line_no, family, probability, template, similarity, confirmed) of each paragraph of ``docs`` predicted to be a license notice."""
     model = Classifier(docs if trained_on is None else trained_on)
-    cues = F.array(*[F.lit(w) for w in model.words])
-    some = docs.select("doc_id", "text").where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), cues))
-    found = _units(some).where(F.arrays_overlap("tokens", cues))
-    found = common.written(found.select("row", "doc_id", "block", "line_no", "n_lines", "paragraph"), "paragraphs")
-    grams = F.array_intersect(_grams(F.split("paragraph", " ")), F.array(*[F.lit(g) for g in model.grams]))
-    different = found.select("paragraph").distinct().withColumn("grams", grams)
-    predicted = _scored(different, model.weights, model.intercepts).withColumn("probability", model.probability(F.col("margin"))).where("probability >= 0.5")
-    compared = predicted.join(F.broadcast(model.templates.select("family", "template", "shingles")), "family").groupBy("paragraph", "family", "probability").agg(
-        F.max(F.struct(_held(F.col("paragraph"), F.col("shingles")).alias("similarity"), (-F.col("template")).alias("template"))).alias("best")
-    ).select("paragraph", "family", "probability", (-F.col("best.template")).alias("template"), "best.similarity")
-    notices = common.written(found.join(compared, "paragraph").drop("paragraph"), "notices").withColumn("confirmed", F.col("similarity") >= SIMILAR)
+    some = docs.select("doc_id", "text").where(F.exists(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t.isin(model.words)))
+    unit = ["row", "line_no", "n_lines"]
+    found = _features(_units(some, model.words), model.grams).where(F.size("grams") > 0)
+    found = common.written(found.select(*unit, "doc_id", "block", F.array_join("tokens", " ").alias("paragraph"), "grams"), "paragraphs")
+    predicted = _scored(found, unit, model.weights, model.intercepts).withColumn("probability", model.probability(F.col("margin"))).where("probability >= 0.5")
+    compared = found.join(predicted, unit).join(F.broadcast(model.templates.select("family", "template", "shingles")), "family").select(
+        *unit, "doc_id", "block", "family", "probability", (-F.col("template")).alias("template"), _held(F.col("paragraph"), F.col("shingles")).alias("similarity")
+    )
+    best = compared.groupBy(*unit, "doc_id", "block", "family", "probability").agg(F.max(F.struct("similarity", "template")).alias("best"))
+    notices = best.select(*unit, "doc_id", "block", "family", "probability", (-F.col("best.template")).alias("template"), "best.similarity")
+    notices = common.written(notices, "notices").withColumn("confirmed", F.col("similarity") >= SIMILAR)
     lines = notices.where("n_lines = 1").groupBy("row", "block", "family").agg(F.max("similarity").alias("best"))
     known = (F.col("n_lines") > 1) & F.col("best").isNotNull() & ((F.col("best") >= SIMILAR) | (F.col("best") >= F.col("similarity")))
     return notices.join(lines, ["row", "block", "family"], "left").where(~known).select(
