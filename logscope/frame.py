@@ -187,7 +187,7 @@ class LogFrame:
         write_csv(self.csv_rows(profile, year), path)
 
     def export(self, path: str, scope: str = "filtered", year: int | None = None) -> None:
-        export.export_view(self.lines, self.view, path, self.tests, self.labels, self.source, scope, year)
+        export.export_view(self.lines, path, self.tests, self.labels, self.source, scope, year)
 
     def export_metadata(self, scope: str = "filtered") -> DataFrame:
         return export.export_metadata(self.lines, self.tests, self.labels, self.source, scope)

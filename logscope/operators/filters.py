@@ -124,16 +124,21 @@ def _whole_day(bound: str, clock: str) -> str:
     return f"{bound} {clock}" if dated else bound
 
 
-def filter_counts(df: DataFrame, *tests: Predicate | Column) -> DataFrame:
-    """``kept, total``: lines that pass all tests, and all lines, in one pass."""
-    keep = F.lit(True)
+def passed(df: DataFrame, *tests: Predicate | Column) -> DataFrame:
+    """``df`` with ``passed``: whether a line passes all tests."""
+    columns, keep = df.columns, F.lit(True)
     for i, test in enumerate(tests):
         if isinstance(test, Predicate):
             # two windows may need a column of the same name
             df = test.staged(df).withColumn(f"test{i}", test.keep).drop(*test.needs)
             test = F.col(f"test{i}")
         keep = keep & test
-    return df.agg(F.count_if(keep).alias("kept"), F.count("*").alias("total"))
+    return df.select(*columns, F.coalesce(keep, F.lit(False)).alias("passed"))
+
+
+def filter_counts(df: DataFrame, *tests: Predicate | Column) -> DataFrame:
+    """``kept, total``: lines that pass all tests, and all lines, in one pass."""
+    return passed(df, *tests).agg(F.count_if("passed").alias("kept"), F.count("*").alias("total"))
 
 
 def search(

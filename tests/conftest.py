@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -45,3 +47,25 @@ def lines(spark):
         ]
         return spark.createDataFrame(rows, "file string, line_no bigint, line string")
     return make
+
+
+@pytest.fixture
+def measured(spark):
+    """``measured(run)``: the result of a call, and the sums of its tasks' metrics by name."""
+    names = ("inputBytes", "inputRecords", "shuffleWriteBytes", "shuffleWriteRecords")
+
+    def run_measured(run):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            result = run()
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        tracker, store = spark.sparkContext.statusTracker(), context.statusStore()
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        attempts = [store.lastStageAttempt(s) for s in stages if tracker.getStageInfo(s)]
+        return result, {n: sum(getattr(a, n)() for a in attempts) for n in names}
+
+    return run_measured

@@ -60,20 +60,12 @@ def test_equal_hashes_are_told(lines, monkeypatch):
             top(lines(f"{lead} error a", f"{lead} error a", f"{lead} error b", "error c"), n)
 
 
-def test_text_is_not_shuffled(spark):
+def test_text_is_not_shuffled(spark, measured):
     """Bytes shuffled per different line stay far below its length."""
     long = 2000
     df = spark.range(20_000, numPartitions=4).select(
         F.lit("f").alias("file"), F.col("id").alias("line_no"),
         F.concat(F.lit("error "), F.sha2(F.col("id").cast("string"), 512), F.repeat(F.sha2((-F.col("id")).cast("string"), 512), (long - 134) // 128)).alias("line"),
     )
-    spark.sparkContext.setJobGroup("shuffled", "shuffled")
-    try:
-        assert len(errors.top_errors(df, 5).collect()) == 5
-    finally:
-        spark.sparkContext._jsc.clearJobGroup()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
-    stages = {s for j in tracker.getJobIdsForGroup("shuffled") for s in tracker.getJobInfo(j).stageIds}
-    written = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s))
-    assert 0 < written < 20_000 * 120
+    rows, metrics = measured(lambda: errors.top_errors(df, 5).collect())
+    assert len(rows) == 5 and 0 < metrics["shuffleWriteBytes"] < 20_000 * 120

@@ -124,24 +124,11 @@ def test_w3c_headers_over_blocks(lines, block, limit):
     assert found == {f: rows for f, rows in w3c(rows).items() if rows}
 
 
-def test_w3c_sorts_no_plain_lines(spark, tmp_path):
+def test_w3c_sorts_no_plain_lines(spark, tmp_path, measured):
     """Data lines of splits with a header at most reach the result without a shuffle or a sort."""
     from logscope import read
 
     (tmp_path / "a.log").write_text("#Fields: date time m\n" + "2024-01-01 00:00:00 GET\n" * 50)
     log = read(spark, str(tmp_path))
-    frame = log.w3c_rows()
-    assert frame.count() == 50
-    plan = frame._jdf.queryExecution().sparkPlan().toString()
-    simple = plan[: plan.index("Window")] if plan.index("Window") < len(plan) else plan
-    assert "BroadcastHashJoin" in simple
-    spark.sparkContext.setJobGroup("w3c", "w3c")
-    try:
-        frame.collect()
-    finally:
-        spark.sparkContext._jsc.clearJobGroup()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
-    stages = {s for j in tracker.getJobIdsForGroup("w3c") for s in tracker.getJobInfo(j).stageIds}
-    records = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if tracker.getStageInfo(s))
-    assert records < 15  # rows of block tables; none of the 50 lines
+    rows, metrics = measured(lambda: log.w3c_rows().collect())
+    assert len(rows) == 50 and metrics["shuffleWriteRecords"] < 15  # rows of block tables; none of the 50 lines

@@ -10,19 +10,6 @@ from logscope.sources.files import split_bound
 LINE = "2024-01-01 00:00:00 INFO line {} with some text to fill it up\n"
 
 
-def bytes_read(spark, run):
-    """The result of a call, and what its tasks read from files."""
-    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
-    spark.sparkContext.setJobGroup("bytes", "bytes")
-    try:
-        result = run()
-    finally:
-        spark.sparkContext._jsc.clearJobGroup()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    stages = {s for j in tracker.getJobIdsForGroup("bytes") for s in tracker.getJobInfo(j).stageIds}
-    return result, sum(store.lastStageAttempt(s).inputBytes() for s in stages if tracker.getStageInfo(s))
-
-
 @pytest.fixture
 def store(tmp_path):
     """Two files of some megabytes, small ones, an empty one, one without a newline at its end, odd names."""
@@ -53,13 +40,13 @@ def test_heads_of_files(spark, store, packed):
     assert {r[0] for r in rows} == set(texts)
 
 
-def test_detection_reads_first_blocks(spark, store):
+def test_detection_reads_first_blocks(spark, store, measured):
     path, _ = store
     log = read(spark, str(path))
-    found, size = bytes_read(spark, lambda: {r.file.rsplit("/", 1)[1]: (r.format, r.lines) for r in log.detect_format().collect()})
+    found, metrics = measured(lambda: {r.file.rsplit("/", 1)[1]: (r.format, r.lines) for r in log.detect_format().collect()})
     assert found["big%201.log"] == ("simple", 20) and found["three.log"] == ("simple", 3) and found["open.log"] == ("custom", 2)
     whole = sum(f.stat().st_size for f in path.iterdir())
-    assert 0 < size < 300_000 < whole / 15
+    assert 0 < metrics["inputBytes"] < 300_000 < whole / 15
 
 
 def test_many_large_files_are_scanned(spark, store):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from logscope import LogOptions, analyze, read
+from logscope import LogOptions, analyze, read, read_text
 from logscope.sources.csv import read_csv, write_csv
 from logscope.sources.files import number_lines, read_lines
 from logscope.sources.memory import lines_from_table, lines_from_text, split_text
@@ -84,3 +84,48 @@ def test_scratch_path_follows_the_session(spark):
     assert scratch_path(session("local[2]"), "x") != scratch_path(session("local[2]"), "x")
     with pytest.raises(ValueError):
         scratch_path(session("yarn"), "x")
+
+
+def test_export_reads_once(spark, tmp_path, measured):
+    (tmp_path / "in.log").write_text("".join(f"2024-01-01 00:00:00 {'ERROR' if i % 3 else 'INFO'} message {i}\n" for i in range(300)) + "# note on errors\n\n")
+    view = read(spark, str(tmp_path / "in.log")).errors_only().between("2024-01-01", window="instant", year=2024)
+    _, metrics = measured(lambda: view.export(str(tmp_path / "out")))
+    assert metrics["inputRecords"] == 302 + 1  # and the one row of the metadata
+    meta = spark.read.json(str(tmp_path / "out" / "metadata")).first()
+    assert (meta.total_entries, meta.filtered_entries) == (302, 201)
+    assert read_csv(spark, str(tmp_path / "out" / "data")).count() == 200
+
+
+def test_export_of_nothing(spark, tmp_path):
+    read_text(spark, "").errors_only().export(str(tmp_path / "out"))
+    meta = spark.read.json(str(tmp_path / "out" / "metadata")).first()
+    assert (meta.total_entries, meta.filtered_entries) == (0, 0)
+
+
+RETRIED = """
+import sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession, functions as F
+from logscope.frame import LogFrame
+
+def lose_first(batches):
+    for batch in batches:
+        yield batch
+    if TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError("lost")
+
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+lines = spark.range(100, numPartitions=3).select(F.lit("f").alias("file"), (F.col("id") + 1).alias("line_no"), F.concat(F.lit("error "), "id").alias("line"))
+LogFrame(lines.mapInArrow(lose_first, lines.schema)).text("7").export(sys.argv[1])
+print(spark.read.json(sys.argv[1] + "/metadata").first())
+"""
+
+
+def test_export_counts_after_retries(tmp_path):
+    """Every task is lost after it has seen all its lines; the counts are of the attempts that succeed."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", RETRIED, str(tmp_path / "out")], capture_output=True, text=True, cwd=Path(__file__).parent.parent, timeout=200)
+    assert "total_entries=100" in done.stdout and "filtered_entries=19" in done.stdout, done.stderr[-2000:]
