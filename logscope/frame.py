@@ -172,6 +172,9 @@ class LogFrame:
     def error_anomalies(self, interval: str = "hour", threshold: int = 100, year: int | None = None) -> DataFrame:
         return histogram.error_anomalies(self.view, interval, threshold, year)
 
+    def error_baseline(self, interval: str = "hour", window: int = 24, factor: float = 3.0, year: int | None = None) -> DataFrame:
+        return histogram.error_baseline(self.view, interval, window, factor, year)
+
     def w3c_rows(self) -> DataFrame:
         """Rows of all lines, as headers apply to what follows them."""
         return formats.w3c_rows(self.lines)

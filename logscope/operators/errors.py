@@ -79,15 +79,20 @@ def unique_errors(df: DataFrame, threshold: int = 1) -> DataFrame:
     return _unique_errors(df, threshold).orderBy(F.desc("occurrences"), F.desc("message"))
 
 
-def _unique_errors(df: DataFrame, threshold: int) -> DataFrame:
+def messages_by_file(df: DataFrame) -> DataFrame:
+    """``file, message, occurrences`` of the cleaned error messages."""
+    return _unique_errors(df, 1, "file")
+
+
+def _unique_errors(df: DataFrame, threshold: int, *by: str) -> DataFrame:
     line = F.col("line")
     return (
         df.where(has_error(line) & ~line.rlike(COMMENT))
-        .groupBy(error_message(line).alias("message")).agg(F.count("*").alias("occurrences"))
+        .groupBy(*by, error_message(line).alias("message")).agg(F.count("*").alias("occurrences"))
         # one condition on both columns stays above the aggregation; a filter on the
         # message alone would be pushed below it and clean every line twice
         .where(F.when(F.col("message") != "", F.col("occurrences")) >= threshold)
-        .select("occurrences", "message")
+        .select(*by, "occurrences", "message")
     )
 
 

@@ -109,16 +109,21 @@ def in_time_window(
     A date alone starts at 00:00:00 or ends at 23:59:59. A bound that cannot be read
     leaves its side open.
     """
-    bound = lambda text, clock, open_end: F.coalesce(
-        F.unix_seconds(to_ts(F.lit(_whole_day(text or "", clock)), year)), F.lit(open_end)
-    )
     instant = F.unix_seconds(to_ts(F.col("window_ts"), year))
-    keep = F.coalesce(within(instant, bound(start, "00:00:00", -OPEN), bound(end, "23:59:59", OPEN)), F.lit(True))
+    keep = F.coalesce(within(instant, *window_bounds(start, end, year)), F.lit(True))
     if drop_comments:
         keep = ~line.startswith("#") & keep
     return Predicate(keep, {"window_ts": extract_ts(line, ts_profile, year)})
 
 
+def window_bounds(start: str | None, end: str | None, year: int | None = None) -> tuple[Column, Column]:
+    """First and last second of a window as ``in_time_window`` takes it."""
+    bound = lambda text, clock, open_end: F.coalesce(
+        F.unix_seconds(to_ts(F.lit(_whole_day(text or "", clock)), year)), F.lit(open_end)
+    )
+    return bound(start, "00:00:00", -OPEN), bound(end, "23:59:59", OPEN)
+
+
 def _whole_day(bound: str, clock: str) -> str:
     dated = re.fullmatch(rf"{P.ISO_DATE}|{P.US_DATE}", bound)
     return f"{bound} {clock}" if dated else bound

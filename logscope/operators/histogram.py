@@ -1,6 +1,6 @@
 """Counts of timestamps over time, their peak, anomalies and chart."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.functions.patterns import DETECT_TIMESTAMPS
@@ -58,6 +58,62 @@ def error_anomalies(
     return time_histogram(errors, interval, year).where(F.col("count") >= threshold)
 
 
+#: Scales a median deviation to the standard deviation of a normal distribution.
+NORMAL = 1.4826
+_STEPS = {"minute": "INTERVAL 1 MINUTE", "hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "month": "INTERVAL 1 MONTH"}
+
+
+def _without_gaps(spans: DataFrame, grain: str) -> DataFrame:
+    """``spans`` (file, form, first, last) with each bucket ``at`` from first to last; by days, then within them, so no array is long."""
+    if grain in ("day", "month"):
+        return spans.select("file", "form", F.explode(F.sequence("first", "last", F.expr(_STEPS[grain]))).alias("at"))
+    days = spans.select("file", "form", "first", "last", F.explode(F.sequence(F.date_trunc("day", "first"), "last", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    step = F.expr(_STEPS[grain])
+    within_day = days.select("file", "form", "first", "last", F.explode(F.sequence("day", F.col("day") + F.expr("INTERVAL 1 DAY") - step, step)).alias("at"))
+    return within_day.where("at BETWEEN first AND last").select("file", "form", "at")
+
+
+def error_baseline(
+    df: DataFrame, interval: str = "hour", window: int = 24, factor: float = 3.0, year: int | None = None
+) -> DataFrame:
+    """``file, bucket, count, median, deviation, anomaly``: timestamps on lines with "error" per bucket, against the buckets before.
+
+    Every bucket between a file's first and last timestamp has a row, those without any line
+    with a count of 0. ``median`` is of the ``window`` buckets before (as many as there are),
+    ``deviation`` the median distance from it, scaled by 1.4826 and 1 at least. A bucket
+    is an anomaly if its count exceeds the median by more than ``factor`` deviations. The first
+    bucket has nothing to be compared with: NULL.
+    """
+    grain = interval if interval in GRAINS else "hour"
+    wrong = df.withColumn("wrong", has_error(F.col("line")))
+    found = occurrences(wrong, DETECT_TIMESTAMPS, "file", "wrong").where("file is not null and form is not null")
+    counts = (
+        found.select("file", "form", "wrong", F.explode("found").alias("text"))
+        .select("file", "form", "wrong", F.date_trunc(grain, to_ts(F.col("text"), year)).alias("at")).where("at is not null")
+        .groupBy("file", "form", "at").agg(F.count_if("wrong").alias("count"))
+    )
+    spans = counts.groupBy("file", "form").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    of_file = spans.groupBy("file").agg(F.min_by(F.struct("form", "first", "last"), "form").alias("span")).select("file", "span.*")
+    series = _without_gaps(of_file, grain).join(counts, ["file", "form", "at"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(-window, -1)
+    held = series.withColumn("before", F.array_sort(F.collect_list("count").over(before)))
+    held = held.withColumn("median", _median("before"))
+    held = held.withColumn("distances", F.array_sort(F.transform("before", lambda x: F.abs(x - F.col("median")))))
+    held = held.withColumn("deviation", F.greatest(F.lit(1.0), NORMAL * _median("distances")))
+    deviation = F.when(F.col("median").isNotNull(), F.col("deviation"))
+    return held.select(
+        "file", F.date_format("at", GRAINS[grain]).alias("bucket"), "count", "median", deviation.alias("deviation"),
+        (F.col("count") - F.col("median") > factor * deviation).alias("anomaly"),
+    ).orderBy("file", "bucket")
+
+
+def _median(sorted_array: str) -> Column:
+    """The middle of a sorted array, between the two middle ones if their number is even; NULL if it is empty."""
+    n = F.size(sorted_array)
+    low, high = F.get(sorted_array, F.floor((n - 1) / 2).cast("int")), F.get(sorted_array, F.floor(n / 2).cast("int"))
+    return F.when(n > 0, (low + high) / 2)
+
+
 def time_chart(histogram: DataFrame) -> DataFrame:
     """The histogram with a bar each, scaled to the largest count of all files."""
     largest = histogram.agg(F.max("count")).scalar()

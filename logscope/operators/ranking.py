@@ -36,13 +36,7 @@ def block_table(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """``file, block, n, before, total``: rows of the block, rows ahead of it, rows in all."""
     blocks = with_block(df, block).groupBy("file", "block").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per file from here on: names and counts only
-    earlier_files = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = blocks.groupBy("file").agg(F.sum("n").alias("file_n")).select(
-        "file",
-        F.coalesce(F.sum("file_n").over(earlier_files), F.lit(0)).alias("file_before"),
-        F.sum("file_n").over(Window.partitionBy()).alias("total"),
-    )
+    files = running(blocks.groupBy("file").agg(F.sum("n").alias("n"))).select("file", F.col("before").alias("file_before"), "total")
     return (
         blocks.withColumn("in_file", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .join(files, "file")
@@ -50,6 +44,12 @@ def block_table(df: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def running(files: DataFrame) -> DataFrame:
+    """``file, n, before, total`` of a table of one row per file (names and counts only)."""
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("file", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+
+
 def rank_in_blocks(df: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
     """``position`` of rows in the blocks given, each block on its own."""
     in_block = Window.partitionBy("file", "block").orderBy(_order(df)[-1])
@@ -71,6 +71,14 @@ def position_range(df: DataFrame, first: int, last: int, block: int = BLOCK) ->
     return ranked.where(F.col("position").between(first, last)).select("position", *df.columns)
 
 
+def at_positions(df: DataFrame, wanted: list[int], block: int = BLOCK) -> DataFrame:
+    """Rows at these positions, some hundred at most."""
+    listed = F.array(*[F.lit(p).cast("bigint") for p in wanted])
+    holds = F.exists(listed, lambda p: (p > F.col("before")) & (p <= F.col("before") + F.col("n")))
+    ranked = rank_in_blocks(df, F.broadcast(block_table(df, block).where(holds)), block)  # a block per position at most
+    return ranked.where(F.col("position").isin(wanted)).select("position", *df.columns)
+
+
 def limit_lines(df: DataFrame, n: int) -> DataFrame:
     """First ``n`` rows, sorted by file and line."""
     if n < 0:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logscope.frame import LogFrame, read
+from logscope.functions import sql
 from logscope.functions.messages import error_message, with_message
 from logscope.functions.severity import severity
 from logscope.functions.timestamps import compare_ts, extract_ts, in_range, normalize_ts, to_epoch
+from logscope.index import FileIndex
 from logscope.operators import errors, filters, formats, histogram, ranking, records, report, rows, summary
 from logscope.plans import dataset as D
 from logscope.sources.csv import read_csv, write_csv
@@ -56,6 +58,8 @@ for grain in histogram.GRAINS:
 over_lines("hist_peak", lambda df: histogram.peak(histogram.time_histogram(df, "hour", YEAR)))
 over_lines("hist_chart", lambda df: histogram.time_chart(histogram.time_histogram(df, "day", YEAR)))
 over_lines("hour_error_anomalies", lambda df: histogram.error_anomalies(df, "hour", 3, YEAR))
+over_lines("error_baseline", lambda df: histogram.error_baseline(df, "hour", 12, 2.5, YEAR))
+over_lines("error_baseline_daily", lambda df: histogram.error_baseline(df.where("line_no % 5 = 1 OR line_no < 40"), "day", 5, 2.0, YEAR))
 over_lines("count_by_severity", lambda df: summary.count_severity(df, "warn"))
 over_lines("severity_distribution", lambda df: summary.severity_distribution(df, "csv"))
 
@@ -110,6 +114,22 @@ per_time("ts_compare", "rich", "order", lambda ts: compare_ts(ts, F.lit("2024-01
 per_time("ts_in_range", "rich", "inside", lambda ts: in_range(ts, "2024-01-05", "2024-01-07 23:59:59", YEAR))
 
 
+@query("sql_functions")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main CSV columns by a query in SQL."""
+    sql.register(spark, YEAR)
+    D.log_lines(spark, sf_dir).createOrReplaceTempView("logscope_lines")
+    return spark.sql("SELECT line_no, ts_csv(line) AS ts, severity_csv(line) AS severity, msg_csv(line) AS message FROM logscope_lines")
+
+
+@query("sql_formats")
+def sql_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a format by a query in SQL."""
+    sql.register(spark, YEAR)
+    D.format_lines(spark, sf_dir, "apache_combined").createOrReplaceTempView("logscope_access")
+    return spark.sql("SELECT line_no, x.* FROM (SELECT line_no, fields_apache_combined(line) AS x FROM logscope_access)")
+
+
 @query("sanitize_text")
 def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirty = D.derived_lines(spark, sf_dir, D.DIRTY_LINES, "dirty_lines")
@@ -371,6 +391,19 @@ over_files("file_detect_heads", lambda log: log.detect_patterns())
 over_files("file_heads", lambda log: log.heads(7))
 over_files("file_parse_heads", lambda log: log.parse_detected().select("file", "timestamp", "severity", "message"))
 over_files("file_top_errors", lambda log: errors.top_errors(log.lines, 4, by_file=True).select("file", "occurrences", "message"))
+
+
+def indexed(log):
+    """An index of the log's files, of whose tables the first question makes the rows."""
+    spark = log.lines.sparkSession
+    return FileIndex(spark, log.paths, scratch_path(spark, "index"))
+
+
+over_files("file_index_page", lambda log: indexed(log).page(log.errors_only(), 3).select("file", "position", "line"))
+over_files("file_index_sample", lambda log: indexed(log).sample(log.errors_only()).select("file", "position", "line"))
+over_files("file_index_window", lambda log: indexed(log).between(log, *WINDOW, year=YEAR).view.select("file", "line"))
+over_files("file_index_statistics", lambda log: indexed(log).statistics())
+over_files("file_index_times", lambda log: indexed(log).times(year=YEAR).select("file", "lines", "untimed", "first", "last"))
 over_files("file_stacktraces", lambda log: log.stacktraces(),
            lambda spark, sf_dir: D.derived_lines(spark, sf_dir, D.TRACE_FILES, "trace_files"))
 over_files("file_w3c_rows", lambda log: log.w3c_rows().select("file", *[
@@ -383,6 +416,17 @@ over_files("file_w3c_many_headers", lambda log: log.w3c_rows().select("file", *[
     lambda spark, sf_dir: D.derived_lines(spark, sf_dir, D.W3C_SHORT, "w3c_short"))
 
 
+@query("file_index_errors")
+def file_index_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a folder that grows between two questions."""
+    lines = D.log_lines(spark, sf_dir).withColumn("part", F.col("line_no") % D.PARTS)
+    path = D.written_log(spark, lines.where("part < 2"), "growing")
+    index = FileIndex(spark, path, scratch_path(spark, "index"))
+    index.unique_errors().count()
+    D.add_to_log(lines.where("part >= 2"), path)
+    return index.unique_errors(2)
+
+
 @query("file_detect_format")
 def file_detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of each format: what their first lines say."""

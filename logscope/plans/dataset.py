@@ -252,11 +252,16 @@ w3c_short AS (SELECT 'iis.log' AS file, line_no, CASE
 def written_log(spark: SparkSession, lines: DataFrame, label: str) -> str:
     """The lines (``file, line_no, line, part``) as text files, one per ``part``, in a folder of the shared scratch folder."""
     path = scratch_path(spark, label)
-    rows = lines.repartition("part").sortWithinPartitions("part", "line_no")
-    rows.select("part", F.col("line").alias("value")).write.partitionBy("part").text(path)
+    add_to_log(lines, path)
     return path
 
 
+def add_to_log(lines: DataFrame, path: str) -> None:
+    """More files of a written log."""
+    rows = lines.repartition("part").sortWithinPartitions("part", "line_no")
+    rows.select("part", F.col("line").alias("value")).write.mode("append").partitionBy("part").text(path)
+
+
 def with_part(read: DataFrame) -> DataFrame:
     """Results on written logs, with the number of their file instead of its path."""
     return read.withColumn("part", F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint")).drop("file")

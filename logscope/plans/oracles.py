@@ -134,6 +134,7 @@ for lead in (P.ISO_T_OR_SPACE + P.ISO_TAIL, "[A-Za-z]{3} +[0-9]+ +[0-9]{2}:[0-9]
     ERROR_MESSAGE = f"regexp_replace({ERROR_MESSAGE}, '^{lead}', '')"
 ERROR_MESSAGE = f"nullif(trim({ERROR_MESSAGE}, {{ws}}), '')".replace("{ws}", WS)
 over_lines("error_message_norm", f"SELECT line_no, {ERROR_MESSAGE} AS message FROM log_lines")
+over_lines("sql_functions", CSV_PARTS + "SELECT line_no, ts, severity, message FROM msgs")
 over_derived("sanitize_text", D.DIRTY_LINES, """SELECT line_no, CASE WHEN line LIKE '#%' THEN line
  ELSE replace(replace(line, chr(7), ''), '"', chr(92)||'"') END AS line FROM dirty_lines""")
 
@@ -204,6 +205,28 @@ over_lines("hist_peak", f"WITH {histogram('%Y-%m-%d %H')} SELECT file, bucket AS
 over_lines("hist_chart", f"WITH {histogram('%Y-%m-%d')} SELECT file, bucket, count, repeat('#', count * 50 // (SELECT max(count) FROM hist)) AS bar FROM hist")
 over_lines("hour_error_anomalies", f"WITH {histogram('%Y-%m-%d %H', ERROR)} SELECT file, bucket, count FROM hist WHERE count >= 3")
 
+
+
+def baseline(grain: str, window: int, factor: float, where: str = "true") -> str:
+    """Counts of errors per bucket without gaps, against the median and median deviation of those before."""
+    hits = range_of(P.DETECT_TIMESTAMPS).replace("SELECT file, 0 AS form, line_no,", f"SELECT file, 0 AS form, {ERROR} AS wrong, line_no,")
+    for i in range(1, len(P.DETECT_TIMESTAMPS)):
+        hits = hits.replace(f"SELECT file, {i} AS form, line_no,", f"SELECT file, {i} AS form, {ERROR} AS wrong, line_no,")
+    hits = hits.replace("FROM log_lines", f"FROM log_lines WHERE {where}")
+    fmt = BUCKETS[grain]
+    return f"""WITH {hits}, counted AS (SELECT date_trunc('{grain}', {instant('ts')}) AS t, count(*) FILTER (WHERE wrong) AS n
+   FROM hits JOIN best USING (file, form) GROUP BY 1),
+ series AS (SELECT unnest(generate_series(min(t), max(t), INTERVAL 1 {grain})) AS t FROM counted),
+ filled AS (SELECT t, coalesce(n, 0) AS n FROM series LEFT JOIN counted USING (t)),
+ framed AS (SELECT t, n, list(n) OVER (ORDER BY t ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING) AS l FROM filled),
+ middle AS (SELECT *, list_median(l) AS med FROM framed),
+ spread AS (SELECT *, CASE WHEN med IS NOT NULL THEN greatest(1.0, 1.4826 * list_median(list_transform(l, lambda x: abs(x - med)))) END AS dev FROM middle)
+ SELECT 'app.log' AS file, strftime(t, '{fmt}') AS bucket, n AS count, med::DOUBLE AS median, dev::DOUBLE AS deviation, n - med > {factor} * dev AS anomaly FROM spread"""
+
+
+over_lines("error_baseline", baseline("hour", 12, 2.5))
+over_lines("error_baseline_daily", baseline("day", 5, 2.0, "(line_no % 5 = 1 OR line_no < 40)"))
+
 # -- filters --------------------------------------------------------------------------
 
 LINES = "SELECT line_no, line FROM log_lines WHERE "
@@ -246,6 +269,7 @@ over_lines("positions_by_file", RANKED + "SELECT position, file, line_no FROM ra
 for name, (_, fields) in D.FORMAT_LINES.items():
     over_formats(f"parse_{name}", "SELECT line_no, " + ", ".join(
         f"CASE WHEN good THEN {value} END AS \"{f}\"" for f, value in fields.items()) + " FROM ev")
+ORACLES["sql_formats"] = ORACLES["parse_apache_combined"]
 over_lines("parse_custom", DETECTED_PARTS.replace(TS["detected"], m(P.DETECT_TIMESTAMPS[0])).replace(LEVEL, m(f"(?i){P.DETECT_SEVERITIES[0]}"))
            + "SELECT m.line_no, coalesce(m.ts, '') AS timestamp, coalesce(p.level, '') AS severity, m.message FROM msgs m JOIN parts p USING (line_no)")
 over_derived("json_fields", D.JSON_LINES, """SELECT line_no,
@@ -365,6 +389,12 @@ over_files("file_detect_patterns", f"""SELECT cast(file AS bigint) AS part, 'cus
 over_files("file_parse_custom", DETECTED_PARTS.replace(TS["detected"], m(P.DETECT_TIMESTAMPS[0])).replace(LEVEL, m(f"(?i){P.DETECT_SEVERITIES[0]}")).rstrip()
            + f", {PLACED} SELECT part, n AS line_no, coalesce(m.ts, '') AS timestamp, coalesce(p.level, '') AS severity, m.message"
            " FROM msgs m JOIN parts p USING (line_no) JOIN placed ON old_no = m.line_no")
+ORACLES["file_index_page"], ORACLES["file_index_sample"] = ORACLES["file_page"], ORACLES["file_sample"]
+over_files("file_index_window", f"WITH times AS (SELECT file, line, {TS['rich']} AS ts FROM log_lines) SELECT cast(file AS bigint) AS part, line FROM times WHERE ts IS NULL OR {instant('ts')} {DAYS}")
+over_files("file_index_times", f"""WITH times AS (SELECT file, {TS['rich']} AS ts FROM log_lines), seconds AS (SELECT file, cast(floor(epoch({instant('ts')})) AS bigint) AS second FROM times)
+ SELECT cast(file AS bigint) AS part, count(*) AS lines, count(*) FILTER (WHERE second IS NULL) AS untimed, min(second) AS first, max(second) AS last FROM seconds GROUP BY file""")
+ORACLES["file_index_statistics"] = ORACLES["file_statistics_of_files"]
+over_lines("file_index_errors", f"WITH {UNIQUE} SELECT occurrences, message FROM uniques WHERE occurrences >= 2")
 ORACLES["file_detect_heads"] = ORACLES["file_detect_patterns"]
 over_files("file_heads", f"WITH {PLACED} SELECT part, n AS line_no, line FROM placed WHERE n <= 7")
 ORACLES["file_parse_heads"] = ORACLES["file_parse_custom"].replace("SELECT part, n AS line_no, ", "SELECT part, ")

@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 BROADCAST_BLOCKS = 400_000
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of text files (only ``\\n`` ends a line). Missing paths raise."""
+def read_lines(spark: SparkSession, paths: str | list[str], files: list[str] | None = None) -> DataFrame:
+    """Lines of text files (only ``\\n`` ends a line), of these ``files`` alone if given. Missing paths raise."""
+    read = spark.read.option("lineSep", "\n").text(paths)
+    if files is not None:
+        # a condition on the path alone leaves the other files out of the plan
+        read = read.where(F.col("_metadata.file_path").isin(files))
     return (
-        spark.read.option("lineSep", "\n").text(paths)
+        read
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -68,3 +72,11 @@ def split_bound(lines: DataFrame) -> int:
     plan = lines._jdf.queryExecution().optimizedPlan()
     size = lines.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return int(str(plan.stats().sizeInBytes())) // size + len(lines._jdf.inputFiles())
+
+
+def file_listing(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, size, modified`` of the files, without their content."""
+    place = F.col("_metadata")
+    return spark.read.format("binaryFile").load(paths).select(
+        place["file_path"].alias("file"), place["file_size"].alias("size"), place["file_modification_time"].alias("modified")
+    )
