@@ -11,7 +11,7 @@ from logscope.functions.messages import error_message, with_message
 from logscope.functions.severity import severity
 from logscope.functions.timestamps import compare_ts, extract_ts, in_range, normalize_ts, to_epoch
 from logscope.index import FileIndex
-from logscope.operators import errors, filters, formats, histogram, ranking, records, report, rows, summary
+from logscope.operators import errors, filters, formats, histogram, json_schema, ranking, records, report, rows, summary
 from logscope.plans import dataset as D
 from logscope.sources.csv import read_csv, write_csv
 from logscope.sources.memory import split_text
@@ -208,6 +208,18 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.json_fields(D.derived_lines(spark, sf_dir, D.JSON_LINES, "json_lines")).drop("file", "line")
 
 
+@query("json_schema")
+def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_schema.json_schema(D.derived_lines(spark, sf_dir, D.JSON_SHAPES, "json_shapes"))
+
+
+@query("json_columns")
+def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = D.derived_lines(spark, sf_dir, D.JSON_SHAPES, "json_shapes")
+    found = json_schema.json_columns(lines, json_schema.json_schema(lines))
+    return found.select("line_no", "a", F.col("`b.c`").alias("c"), "f")
+
+
 @query("syslog_priority")
 def syslog_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = formats.parse_format(D.format_lines(spark, sf_dir, "syslog"), "syslog")

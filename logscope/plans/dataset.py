@@ -142,6 +142,13 @@ json_lines AS (SELECT 'json.log' AS file, line_no, CASE
   WHEN event_id % 20 = 5 THEN '{{"timestamp":"'||d||'T'||t||'Z","severity":"'||lvl||'"}}'
   ELSE '{{"timestamp":"'||d||'T'||t||'Z","level":"'||lvl||'","message":"'||e||' by user'||u||'"}}' END AS line FROM ev)"""
 
+# JSON of six shapes: nested, of mixed types, empty, malformed, plain text, an array at the top.
+JSON_SHAPES = """
+json_shapes AS (SELECT 'shapes.log' AS file, line_no, event_id % 7 AS shape, CASE event_id % 7
+  WHEN 0 THEN '{{"a":'||u||',"b":{{"c":"'||lvl||'","d":[1,2.5,"z"]}}}}' WHEN 1 THEN '{{"a":"'||e||'","b":null}}'
+  WHEN 2 THEN '{{"a":true,"list":[],"o":{{}},"f":'||u||'.5}}' WHEN 3 THEN '{{"a":' WHEN 4 THEN d||' plain '||e
+  WHEN 5 THEN '[1,{{"k":"'||u||'"}}]' ELSE ' ' END AS line FROM ev)"""
+
 # W3C log whose header changes and repeats.
 W3C_LINES = """
 w3c_lines AS (SELECT 'iis.log' AS file, line_no, CASE

@@ -275,6 +275,12 @@ over_lines("parse_custom", DETECTED_PARTS.replace(TS["detected"], m(P.DETECT_TIM
 over_derived("json_fields", D.JSON_LINES, """SELECT line_no,
  CASE WHEN event_id % 20 = 3 THEN '' ELSE d||'T'||t||'Z' END AS timestamp, CASE WHEN event_id % 20 = 3 THEN '' ELSE lvl END AS severity,
  CASE WHEN event_id % 20 IN (3, 5) THEN '' ELSE e||' by user'||u END AS message FROM ev""")
+SHAPES = {0: ("$.a integer", "$.b.c string", "$.b.d[] integer", "$.b.d[] number", "$.b.d[] string"), 1: ("$.a string", "$.b null"),
+          2: ("$.a boolean", "$.list array", "$.o object", "$.f number"), 3: ("$ malformed",), 4: ("$ malformed",), 5: ("$[] integer", "$[].k string")}
+over_derived("json_schema", D.JSON_SHAPES, "SELECT 'shapes.log' AS file, path, type, count(*) AS count FROM json_shapes JOIN (VALUES " + ", ".join(
+    f"({shape}, '{x.split()[0]}', '{x.split()[1]}')" for shape, held in SHAPES.items() for x in held) + ") v(shape, path, type) USING (shape) GROUP BY ALL")
+over_derived("json_columns", D.JSON_SHAPES, """SELECT line_no, CASE event_id % 7 WHEN 0 THEN u WHEN 1 THEN e WHEN 2 THEN 'true' END AS a,
+ CASE WHEN event_id % 7 = 0 THEN lvl END AS c, CASE WHEN event_id % 7 = 2 THEN cast(u||'.5' AS double) END AS f FROM ev""")
 over_formats("syslog_priority", "SELECT line_no, CASE WHEN good THEN cast(k AS bigint) // 8 END AS facility, CASE WHEN good THEN cast(k AS bigint) % 8 END AS level FROM ev")
 over_formats("cloudtrail_records", """SELECT line_no, e AS "eventName", 'r'||k AS "awsRegion", NULL AS "errorCode" FROM ev WHERE good
  UNION ALL SELECT line_no, 'Again', NULL, lvl FROM ev WHERE good""")

@@ -51,8 +51,10 @@ def test_formats_and_plans(spark, table):
 
 
 def test_filters_and_aggregates(spark, table):
-    found = spark.sql("SELECT severity_csv(line) AS s, count(*) AS n FROM some_lines WHERE ts_csv(line) >= '2023' GROUP BY 1 ORDER BY 1").collect()
-    assert ("ERROR", 2) in [tuple(r) for r in found]
+    rows, _ = table
+    found = spark.sql("SELECT severity_csv(line) AS s, count(*) AS n FROM some_lines WHERE ts_csv(line) >= '2023' GROUP BY 1")
+    want = rows.where(extract_ts(F.col("line"), "csv", 2024) >= "2023").groupBy(severity(F.col("line"), "csv")).count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 1
 
 
 def test_formats_of_the_user(spark, table):
