@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logscope.llm import common
+
 CAPACITY = 2048
 SHARD = 4096
 
@@ -97,7 +99,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
         "doc_id", "origin", F.xxhash64("words").alias("cluster"),
         F.when(F.element_at("words", 1) == "", 0).otherwise(F.size("words")).alias("total"),
     )
-    same = sized.groupBy("doc_id", "origin", "cluster", "total").agg(F.count("*").cast("int").alias("copies"))
+    same = common.written(sized.groupBy("doc_id", "origin", "cluster", "total").agg(F.count("*").cast("int").alias("copies")), "sizes")
     copied = same.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     pieces = copied.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("total") / capacity).cast("int") - 1)))).select(
         "doc_id", "copy", "piece", "origin", "cluster",

@@ -237,9 +237,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[l
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected; their statistics are computed again beside the text, to spare a join."""
-    _, rules = quality_rules(docs, labels)
-    return statistics(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text")).where(verdict(rules)).select("_row.*")
+    """The rows of ``docs`` that are not rejected. Each is written once with its statistics, which the rules then choose from."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row")).select("_row", "_row.doc_id", "_row.text")
+    stats = common.written(statistics(rows).drop("text"), "statistics")
+    return stats.where(verdict(_learned(stats.drop("_row"), labels))).select("_row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

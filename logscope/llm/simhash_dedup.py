@@ -16,12 +16,13 @@ each give a row; a null doc_id is no component_id unless no other document is re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,13 +70,19 @@ def _bit(place: Column) -> Column:
     return F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), place - 1)).otherwise(F.lit(0).cast("long"))
 
 
-def anchors(fp: Column) -> Column:
-    """All anchors within 2 bits of bits 0 to 62 of a fingerprint."""
-    low = fp.bitwiseAND(F.lit((1 << 63) - 1))
+def _syndrome(low: Column) -> Column:
+    """The place of the bit by which bits 0 to 62 miss a code word; 0 if they are one."""
     syndrome = F.lit(0)
     for k in range(6):
         mask = sum(1 << (place - 1) for place in range(1, 64) if place >> k & 1)
         syndrome = syndrome + F.bit_count(low.bitwiseAND(F.lit(mask))) % 2 * (1 << k)
+    return syndrome
+
+
+def anchors(fp: Column) -> Column:
+    """All anchors within 2 bits of bits 0 to 62 of a fingerprint."""
+    low = fp.bitwiseAND(F.lit((1 << 63) - 1))
+    syndrome = _syndrome(low)
     pairs = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: i < i.bitwiseXOR(syndrome))
     return F.when(syndrome == 0, F.array(low)).otherwise(
         F.transform(pairs, lambda i: low.bitwiseXOR(_bit(i)).bitwiseXOR(_bit(i.bitwiseXOR(syndrome))))
@@ -125,6 +132,131 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRE
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+# -- similarity of shingle sets -----------------------------------------------------------
+
+#: Words of a shingle, least Jaccard similarity of linked documents.
+WIDE, SIMILAR = 5, 0.8
+#: Fingerprints of a document, and shingles that each is made of.
+BLOCKS, SAMPLE = 10, 5
+#: Rows of a group that all others are compared with, at most, before its groups are cut finer.
+ROOTS = 8
+#: Hashes that one step of the sampling orders.
+_ORDERED = 1 << 22
+_SETS = "doc_id long, row long, h1 long, h2 long, prints array<long>, shingles array<int>"
+
+
+def _sampled(hashes: np.ndarray, blocks: int, sample: int) -> np.ndarray:
+    """Per block the SimHash of the shingles that come first in the order of the block."""
+    some = np.broadcast_to(hashes, (blocks, len(hashes)))
+    if len(hashes) > sample:
+        seeds = common.mix(np.arange(1, blocks + 1, dtype=np.uint64))
+        together = max(1, min(blocks, _ORDERED // len(hashes)))  # blocks in one step
+        first = [
+            np.argpartition(common.mix(hashes ^ seeds[k : k + together, None]), sample, axis=1)[:, :sample] for k in range(0, blocks, together)
+        ]
+        some = hashes[np.concatenate(first)]
+    ones = np.unpackbits(np.ascontiguousarray(some, ">u8").view(np.uint8).reshape(blocks, -1, 8), axis=2).sum(axis=1)
+    return np.packbits(2 * ones > some.shape[1], axis=1).view(">i8").ravel().astype(np.int64)
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int, blocks: int, sample: int) -> Iterator[pa.RecordBatch]:
+    made = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for lo, hi in common.steps(batch, "text"):
+            data, text_starts = common.joined(batch.column("text")[lo:hi])
+            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+            starts, ends = common.words(data)
+            plain, at = common.plain(data, starts, ends)
+            values = common.byte_values(np.frombuffer(plain, np.uint8))
+            first = np.searchsorted(starts, text_starts)
+            n_words = np.diff(first)
+            n = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
+            begin = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            end = np.minimum(begin + shingle, np.repeat(first[1:], n))
+            hashes = common.rolling(values, at[begin], at[end] - 1)
+            rows, prints, sets = [], [], []
+            for doc, own in zip(batch.column("doc_id")[lo:hi].cast(pa.int64()).to_pylist(), np.split(hashes, np.cumsum(n)[:-1])):
+                own = np.unique(own)
+                sums = [int(np.bitwise_xor.reduce(common.mix(own ^ np.uint64(k)), initial=np.uint64(len(own))).astype(np.int64)) for k in (1, 2)]
+                rows.append((doc, made, *sums))
+                prints.append(_sampled(own, blocks, sample) if len(own) else np.zeros(0, np.int64))
+                short = (own >> np.uint64(32)).astype(np.uint32)
+                sets.append(short[common.run_starts(short)].view(np.int32))
+                made += 1
+            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32), np.concatenate(parts)) for parts in (prints, sets)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            yield pa.RecordBatch.from_arrays([*columns, *lists], ["doc_id", "row", "h1", "h2", "prints", "shingles"])
+
+
+def similar_links(sets: DataFrame, similarity: float, blocks: int) -> DataFrame:
+    """(a, b): links of rows (row, prints, shingles) that share a fingerprint and whose sets are as similar as asked.
+
+    A fingerprint goes to its anchor, the code word within the covering radius, where those equal to it are its candidates.
+    Per anchor and fingerprint the least rows are compared with all others there; what is similar to one of them leaves, the
+    others go on with twice as many to be compared with. So a group of any size around one text takes one comparison a
+    row. What is left after ``ROOTS`` such rows are strangers that share a passage, mostly: their groups are
+    cut by the fingerprint of a further block, and again, until nothing is left or all blocks are equal; only
+    those go on to the end. So comparisons grow with the rows, not with their pairs.
+    """
+    low = F.col("print").bitwiseAND(F.lit((1 << 63) - 1))
+    key = ["block", "anchor", "print", "deeper"]
+    placed = sets.select("row", "prints", F.posexplode("prints").alias("block", "print")).withColumns(
+        {"anchor": low.bitwiseXOR(_bit(_syndrome(low))), "deeper": F.lit(0).cast("long")}
+    )
+    groups = placed.groupBy("block", "print").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    left = common.written(placed.join(groups, ["block", "print"]).select("row", "prints", *key), "candidates")
+    wanted = common.written(sets.select("row", "shingles").join(left.select("row").distinct(), "row", "left_semi"), "shingles")
+    found, roots, level = [], 1, 0
+    while True:
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("row"))
+        chosen = left.select("row", *key).withColumn("rank", rank).where(F.col("rank") <= roots).select(*key, F.col("row").alias("root"))
+        chosen = common.written(chosen, "roots")
+        pairs = common.written(left.join(chosen, key).where("root < row").select("root", "row", *key), "pairs")
+        if pairs.isEmpty():
+            break
+        each = pairs.select("root", "row").distinct().join(wanted.withColumnRenamed("shingles", "a"), "row").join(
+            wanted.select(F.col("row").alias("root"), F.col("shingles").alias("b")), "root"
+        )
+        both = F.size(F.array_intersect("a", "b"))
+        alike = both >= similarity * (F.size("a") + F.size("b") - both)
+        linked = common.written(each.where(alike).select("root", "row"), "alike")
+        found.append(linked)
+        done = pairs.join(linked, ["root", "row"], "left_semi").select("row", *key).unionByName(chosen.withColumnRenamed("root", "row"))
+        left = left.join(done.distinct(), ["row", *key], "left_anti")
+        roots *= 2
+        if roots > ROOTS and level < blocks - 1:
+            level, roots = level + 1, 1
+            further = F.get("prints", (F.col("block") + level) % blocks)
+            left = left.withColumn("deeper", F.xxhash64("deeper", further))
+        left = common.written(left, "left")
+    if not found:
+        return wanted.select(F.col("row").alias("a"), F.col("row").alias("b")).where("a < b")
+    return reduce(DataFrame.unionByName, found).select(F.col("row").alias("a"), F.col("root").alias("b")).distinct()
+
+
+def similar_documents(
+    docs: DataFrame, shingle: int = WIDE, similarity: float = SIMILAR, blocks: int = BLOCKS, sample: int = SAMPLE
+) -> DataFrame:
+    """(doc_id, component_id) per row of ``docs`` (doc_id, text, ...): links join texts whose shingle sets have this Jaccard similarity.
+
+    A SimHash of all shingles differs in some ten bits at a similarity of 0.8, more than anchors can cover. So a
+    document gets a fingerprint per block, each of the ``sample`` shingles that come first in an order of the block; two documents of
+    similarity J share all of those with a chance of about J^sample per block, and some block with 0.98 at 0.8 (a greater J, more).
+    Candidates are compared by their whole sets, of 32-bit hashes. Equal sets are one row throughout.
+
+    Shingles are of lower-cased words; a text with fewer words is one shingle, and blank texts equal one another. Null doc_ids as
+    in ``simhash_dedup``.
+    """
+    made = docs.select("doc_id", "text").mapInArrow(partial(_shingle_sets, shingle=shingle, blocks=blocks, sample=sample), _SETS)
+    sets = common.written(made, "sets")
+    same = ["h1", "h2"]
+    heads = common.written(sets.groupBy(*same).agg(F.min("row").alias("row"), F.min("doc_id").alias("first")), "heads")
+    roots = components(similar_links(sets.join(heads.select("row"), "row", "left_semi"), similarity, blocks))
+    rooted = heads.join(roots, F.col("row") == F.col("node"), "left").select(*same, "first", F.coalesce("root", "row").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return sets.select("doc_id", *same).join(rooted.join(least, "root").select(*same, "component_id"), same).select("doc_id", "component_id")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = simhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -127,3 +127,34 @@ def base_statistics(text: str | None) -> tuple:
     again = {k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
     failed = len(w) < 20 or 100 * len(again) > 30 * len(w)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), failed
+
+
+def shingles(text: str | None, n: int = 5) -> set[tuple]:
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def similar(rows: list[tuple], least: float = 0.8) -> list[tuple]:
+    """doc_id and the least doc_id that links of this Jaccard similarity reach, of each row."""
+    sets = [shingles(text) for _, text, *_ in rows]
+    holders = defaultdict(list)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        met = Counter(j for s in own for j in holders[s]) if own else Counter({j: 0 for j in range(i) if not sets[j]})
+        for j, both in met.items():
+            if not own or both >= least * (len(own) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for s in own:
+            holders[s].append(i)
+    first = defaultdict(lambda: None)
+    for i, (doc, *_) in enumerate(rows):
+        if doc is not None and (first[find(i)] is None or doc < first[find(i)]):
+            first[find(i)] = doc
+    return [(doc, first[find(i)]) for i, (doc, *_) in enumerate(rows)]

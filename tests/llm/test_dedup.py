@@ -1,6 +1,7 @@
 """Substring, SimHash and suffix-array dedup against brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,69 @@ def test_components_of_long_chain(spark):
     links = spark.range(500).selectExpr("id AS a", "id + 1 AS b").unionAll(spark.range(600, 900).selectExpr("id AS a", "CAST(600 AS LONG) AS b"))
     roots = {r["node"]: r["root"] for r in graph.components(links).collect()}
     assert all(roots[n] == 0 for n in range(501)) and all(roots[n] == 600 for n in range(601, 900))
+
+
+# -- similarity of shingle sets -----------------------------------------------------------
+
+
+def variants(seed, groups, sizes, targets):
+    """Texts with copies in which words are changed until the similarity is what was asked; and (first, second, similarity)."""
+    rng = random.Random(seed)
+    docs, pairs = [], []
+    for k in range(0, 2 * groups, 2):
+        a = [f"w{rng.randrange(5000)}" for _ in range(rng.choice(sizes))]
+        b, own, goal, j = list(a), cases.shingles(" ".join(a)), rng.uniform(*targets), 1.0
+        while j > goal:
+            b[rng.randrange(len(b))] = f"w{rng.randrange(5000)}"
+            other = cases.shingles(" ".join(b))
+            j = len(own & other) / len(own | other)
+        docs += [(k, " ".join(a), "en", "s", 0), (k + 1, " ".join(b), "en", "s", 0)]
+        pairs.append((k, k + 1, j))
+    return docs, pairs
+
+
+def test_similar_documents_recall(spark):
+    """At similarities from 0.8 on 0.95 are found, below none."""
+    docs, pairs = variants(3, 400, [30, 60, 150, 600], (0.8, 0.86))
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(cases.frame(spark, docs).repartition(4)).collect()}
+    near = [got[b] == a for a, b, j in pairs if j >= 0.8]
+    assert len(near) > 40 and sum(near) >= 0.95 * len(near)
+    assert all(got[b] == b for a, b, j in pairs if j < 0.8)
+
+
+def test_similar_documents_of_odd_rows(spark):
+    rows = cases.odd_rows()
+    got = simhash_dedup.similar_documents(cases.frame(spark, rows, clash=True)).collect()
+    assert Counter(map(tuple, got)) == Counter(cases.similar(rows))
+    assert simhash_dedup.similar_documents(cases.frame(spark, [])).count() == 0
+
+
+def test_large_group_of_near_copies(spark):
+    """One text with a word changed here and there, thousands of times, among strangers that share its first words."""
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for k in range(1500):
+        own = list(base)
+        own[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(own), "en", "s", 0))
+    rows += [(5000 + k, " ".join(base[:60] + [f"y{rng.randrange(10**6)}" for _ in range(140)]), "en", "s", 0) for k in range(200)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(cases.frame(spark, rows).repartition(4)).collect()}
+    assert all(got[k] == 0 for k in range(1500)) and all(got[5000 + k] == 5000 + k for k in range(200))
+
+
+def test_near_copies_among_strangers_with_a_passage(spark):
+    """Most of each text is one passage, so hundreds of strangers share fingerprints; copies with a word changed are found among them."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(110)]
+    rows, near = [], {}
+    for k in range(400):
+        own = [f"o{k}x{i}" for i in range(40)]
+        rows.append((k, " ".join(passage + own), "en", "s", 0))
+        if k % 8 == 0:
+            own[-1] = "changed"
+            near[1000 + k] = k
+            rows.append((1000 + k, " ".join(passage + own), "en", "s", 0))
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(cases.frame(spark, rows).repartition(4)).collect()}
+    assert sum(got[d] == k for d, k in near.items()) >= 0.95 * len(near)
+    assert all(got[k] == k for k in range(400))
