@@ -20,7 +20,7 @@ SF = cases.SF
 @pytest.fixture(scope="module")
 def db():
     db = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "labels"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     return db
 
