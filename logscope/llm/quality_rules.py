@@ -35,11 +35,11 @@ BINS, RULES, CONDITIONS = 32, 12, 3
 PRECISION, SUPPORT = 0.9, 5
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: What rules may test, as expressions over the statistics.
+#: What rules may test, as expressions over the statistics; a text without words has no shares (null).
 TESTED = {
-    "symbols_per_word": "n_symbols / n_words", "shouts_per_word": "n_shouts / n_words", "word_length": "word_chars / n_words",
-    "repeat_share": "n_repeat_words / n_words", "dup_line_share": "n_dup_lines / n_lines", "distinct_share": "n_distinct / n_words",
-    "words_per_line": "n_words / n_lines", "n_words": "double(n_words)",
+    "symbols_per_word": "try_divide(n_symbols, n_words)", "shouts_per_word": "try_divide(n_shouts, n_words)", "word_length": "try_divide(word_chars, n_words)",
+    "repeat_share": "try_divide(n_repeat_words, n_words)", "dup_line_share": "try_divide(n_dup_lines, n_lines)", "distinct_share": "try_divide(n_distinct, n_words)",
+    "words_per_line": "try_divide(n_words, n_lines)", "n_words": "double(n_words)",
 }
 _BLANKS = " \t\n\x0b\f\r"
 

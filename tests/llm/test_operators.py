@@ -175,6 +175,18 @@ def test_grown_rule_is_a_conjunction(spark):
     assert all(r["kept"] == (want[r["doc_id"]] == 1) for r in done.collect()), [[str(c) for c in r] for r in rules]
 
 
+def test_rules_meet_texts_without_words(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    blank = [(10**6 + k, text, "en", "s", 0) for k, text in enumerate([None, "", " \n\t"])]
+    docs = docs.unionByName(cases.frame(spark, blank))
+    done, rules = quality_rules.quality_rules(docs, labels)
+    assert rules
+    rows = [r for r in done.collect() if r["doc_id"] >= 10**6]
+    assert len(rows) == 3 and all(r["base_failed"] and not r["kept"] and r["n_words"] == 0 for r in rows)
+    assert quality_rules.kept_documents(docs, labels).count() == done.where("kept").count()
+
+
 def test_license_notices_are_found(spark):
     rng = random.Random(7)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(800)]
