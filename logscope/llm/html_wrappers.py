@@ -6,10 +6,12 @@ neighbours of one kind fold into a *repeated* group, and texts that differ becom
 the wrapper is union-free. In it, the content is the deepest main, article or other container that leaves
 nothing behind but boilerplate by its tag or class, links and the page's header.
 
-All pages are grouped by host and template, the tags on the way to the content. A wrapper is inferred from the ``SAMPLE``
-pages of a template with the least hash (a documented bound on what is fitted), and the path to its content is followed in
-each page of the template, first by tag and class, then by tag; where it ends or leaves text of the page behind, the page's
-own path is taken. Of the content all text is kept but that in boilerplate elements.
+All pages are grouped by host and template, the tags on the way to the content. A wrapper is inferred from all pages of a
+template: each task aligns its own, and the wrappers of the tasks are aligned with one another. The path to its content is
+followed in each page of the template, first by tag and class, then by tag; where it ends or leaves text of the page behind, the
+page's own path is taken. Of the content all text is kept but that in boilerplate elements. Elements on the way to the content
+align by their tag, as the template says, and keep the marks they have in common. An element with more than ``KIDS`` children in a wrapper
+keeps one repeated group per kind, or if kinds differ from page to page per tag, so that a wrapper does not grow with the pages.
 
 Pages are joined with wrappers by host. That table is small; where it is not, Spark sorts and splits hot hosts.
 
@@ -20,21 +22,25 @@ the element at that depth, without those of boilerplate elements.
 
 from __future__ import annotations
 
-import functools
 import html
 import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache, partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logscope.llm import common
 
-SAMPLE, DEPTH = 8, 150
+#: Children of an element in a wrapper that keep their order.
+KIDS, DEPTH = 256, 150
+#: Characters of pages whose wrappers a task holds before it hands them on; and groups that join the tasks' wrappers of a template first.
+HELD, SHARES = 8 << 20, 64
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style template noscript iframe object svg math canvas title textarea select head".split())
@@ -70,14 +76,18 @@ _TOKEN = re.compile(
 _KIND = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+_PART = "host string, template string, place long, tree string"
+
+
 class Node:
     """An element or a text of a page, or of a wrapper."""
 
-    __slots__ = ("name", "key", "kids", "text", "optional", "repeated", "chars", "marked")
+    __slots__ = ("name", "key", "kids", "text", "optional", "repeated", "chars", "marked", "spine")
 
     def __init__(self, name: str, key: str, text: str | None = None, marked: tuple[int, int] = (0, 0)):
         self.name, self.key, self.text, self.kids, self.marked = name, key, text, [], marked
         self.optional = self.repeated = False
+        self.spine = False  # on the way to the content
         self.chars = 0  # of a wrapper: text in slots, or of a text that all pages share
 
 
@@ -171,7 +181,7 @@ def mark(word: str) -> int:
     return 2 if not STRONG.isdisjoint(parts) else 1 if not WEAK.isdisjoint(parts) else 0
 
 
-@functools.lru_cache(1 << 14)
+@lru_cache(1 << 14)
 def marked(name: str, marks: tuple[tuple[str, bool], ...]) -> tuple[int, int]:
     """How an element is marked, outside and inside of the content.
 
@@ -231,6 +241,7 @@ def _alternates(node: Node, one: str, other: str) -> bool:
 def fold(node: Node) -> Node:
     """A page as a wrapper: neighbours of one kind, or of an alternation of two, fold into repeated groups."""
     out = Node(node.name, node.key, None if node.text is None else " ".join(html.unescape(node.text).split()), node.marked)
+    out.spine = node.spine
     if node.name == "#text":
         out.chars = len(out.text)
         return out
@@ -260,24 +271,62 @@ def fold(node: Node) -> Node:
 
 def merge(a: Node, b: Node) -> Node:
     """The least general wrapper of two of one kind."""
-    out = Node(a.name, a.key, marked=tuple(map(min, a.marked, b.marked)))
-    out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
+    key = a.key
+    if a.key != b.key:
+        both = set(b.key.split(" "))
+        key = " ".join([a.name, *(w for w in a.key.split(" ")[1:] if w in both)])
+    out = Node(a.name, key, marked=tuple(map(min, a.marked, b.marked)))
+    out.optional, out.repeated, out.spine = a.optional or b.optional, a.repeated or b.repeated, a.spine or b.spine
     if a.name == "#text":
         out.text = a.text if a.text == b.text else None
         out.chars = a.chars if out.text is not None else a.chars + b.chars
         return out
-    x, y = [k.key for k in a.kids], [k.key for k in b.kids]
-    for kind, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out.kids += map(merge, a.kids[i:j], b.kids[k:m])
-        else:
-            for kid in a.kids[i:j] + b.kids[k:m]:
-                kid.optional = True
-                out.kids.append(kid)
+    x, y = ([k.name + " " if k.spine else k.key for k in n.kids] for n in (a, b))
+    if x == y:
+        out.kids += map(merge, a.kids, b.kids)
+    else:
+        for kind, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            if kind == "equal":
+                out.kids += map(merge, a.kids[i:j], b.kids[k:m])
+            else:
+                for kid in a.kids[i:j] + b.kids[k:m]:
+                    kid.optional = True
+                    out.kids.append(kid)
+    if len(out.kids) > KIDS:
+        out.kids = gathered(out.kids)
     out.chars = sum(k.chars for k in out.kids)
     return out
 
 
+def gathered(kids: list[Node]) -> list[Node]:
+    """One repeated group per kind of children; where kinds are too many, per tag and mark."""
+    for kind in (lambda k: k.key, lambda k: (k.name, k.marked, k.spine)):
+        groups: dict = {}
+        for kid in kids:
+            before = groups.get(kind(kid))
+            if before is None:
+                groups[kind(kid)] = kid
+            else:
+                made = groups[kind(kid)] = merge(before, kid)
+                made.optional, made.repeated = before.optional and kid.optional, True
+        kids = list(groups.values())
+        if len(kids) <= KIDS:
+            break
+    return kids
+
+
+def packed(node: Node) -> list:
+    """A wrapper as nested lists."""
+    return [node.name, node.key, node.text, *node.marked, node.optional, node.repeated, node.spine, node.chars, [packed(k) for k in node.kids]]
+
+
+def unpacked(row: list) -> Node:
+    name, key, text, outside, inside, optional, repeated, spine, chars, kids = row
+    node = Node(name, key, text, (outside, inside))
+    node.optional, node.repeated, node.spine, node.chars, node.kids = optional, repeated, spine, chars, [unpacked(k) for k in kids]
+    return node
+
+
 def written_out(node: Node) -> str:
     """The wrapper as a regular expression over tokens: ``#`` is a slot, ``( )?`` optional, ``( )+`` repeated."""
     if node.name == "#text":
@@ -320,8 +369,8 @@ def headings(node: Node, fixed: frozenset[str]) -> list[Node]:
     return out
 
 
-def content_path(tree: Node, fixed: frozenset[str] = frozenset()) -> list[str]:
-    """The keys from the root to the element that holds the content of a page or wrapper.
+def content_nodes(tree: Node, fixed: frozenset[str] = frozenset()) -> list[Node]:
+    """The elements from the root to the one that holds the content of a page or wrapper.
 
     That is the deepest main or article that leaves no text behind; without one, the deepest other container.
     """
@@ -332,12 +381,17 @@ def content_path(tree: Node, fixed: frozenset[str] = frozenset()) -> list[str]:
         kid = next((k for k in node.kids if weights.get(id(k)) == total), None)
         if kid is None or kid.name == "#text" or kid.name in CLOSED:
             break
-        path, node = [*path, kid.key], kid
+        path, node = [*path, kid], kid
         if kid.name in ("article", "main"):
             named = path
     return path if named is None else named
 
 
+def content_path(tree: Node, fixed: frozenset[str] = frozenset()) -> list[str]:
+    """The keys of these elements."""
+    return [node.key for node in content_nodes(tree, fixed)]
+
+
 def follow(root: Node, path: list[str], fixed: frozenset[str] = frozenset()) -> list[Node]:
     """The elements at the end of a path, by tag and class where they fit, else by tag."""
     nodes = [root]
@@ -404,22 +458,60 @@ def extract(page: str | None, known: dict[str, tuple[list[str], frozenset[str]]]
     return "\n".join(blocks(found, fixed))
 
 
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = pa.array([template(parse(page.as_py() or "")) for page in batch.column("html")], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("rank"), made], ["host", "rank", "template"])
+def _sent(held: dict[tuple[str, str], Node], place: int) -> pa.RecordBatch:
+    rows = [(*key, place, json.dumps(packed(wrapper))) for key, wrapper in held.items()]
+    columns = list(zip(*rows)) or [()] * 4
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["host", "template", "place", "tree"])
 
 
-def _infer(pages: pa.Table) -> pa.Table:
-    """The wrapper of a template of a host, the path to its content and the weakly marked elements it repeats."""
+def _aligned(batches: Iterator[pa.RecordBatch], held_chars: int) -> Iterator[pa.RecordBatch]:
+    """The wrapper of the pages of a task, per host and template; several, if those of the task are too many to hold."""
+    held, chars, place = {}, 0, TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for name, page in zip(batch.column("host").to_pylist(), batch.column("html")):
+            page = page.as_py()
+            if not page:
+                continue
+            tree = parse(page)
+            way = content_nodes(tree)
+            for node in way:
+                node.spine = True
+            key = name, "/".join(node.name for node in way)
+            made = fold(tree)
+            if key in held:
+                held[key] = merge(held[key], made)
+                continue
+            held[key] = made
+            chars += len(page)
+            if chars > held_chars:
+                yield _sent(held, place)
+                held, chars, place = {}, 0, place + 1
+    yield _sent(held, place)
+
+
+def _joined(parts: pa.Table) -> Node:
+    """The wrapper of wrappers of one template."""
+    parts = parts.sort_by("place")
     wrapper = None
-    for page in pages.sort_by("rank").column("html").to_pylist():
-        made = fold(parse(page or ""))
+    for tree in parts.column("tree"):
+        made = unpacked(json.loads(tree.as_py()))
         wrapper = made if wrapper is None else merge(wrapper, made)
+    return wrapper
+
+
+def _join(parts: pa.Table) -> pa.Table:
+    first = parts.sort_by("place").select(["host", "template", "place"])[:1]
+    return first.append_column("tree", pa.array([json.dumps(packed(_joined(parts)))]))
+
+
+def _infer(parts: pa.Table) -> pa.Table:
+    """The wrapper of a template of a host, the path to its content and the weakly marked elements it repeats."""
+    wrapper = _joined(parts)
     fixed = fixed_keys(wrapper)
     path = content_path(wrapper, fixed)
     return pa.table({
-        **{c: pages.column(c)[:1].cast(pa.string()) for c in ("host", "template")},
+        **{c: parts.column(c)[:1].cast(pa.string()) for c in ("host", "template")},
         "wrapper": [written_out(wrapper)], "path": [json.dumps(path)], "fixed": [json.dumps(sorted(fixed))],
     })
 
@@ -443,20 +535,18 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, template, wrapper, path, fixed) of each template of each host of ``pages`` (page_id, url, html)."""
-    marked = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("rank"), "html")
-    ranks = marked.mapInArrow(_templates, "host string, rank long, template string").distinct()
-    place = F.row_number().over(Window.partitionBy("host", "template").orderBy("rank"))
-    chosen = common.written(ranks.withColumn("place", place).where(F.col("place") <= sample).drop("place"), "templates")
-    few = marked.join(chosen, ["host", "rank"]).groupBy("host", "template", "rank").agg(F.min("html").alias("html"))
+def wrappers(pages: DataFrame, held_chars: int = HELD) -> DataFrame:
+    """(host, template, wrapper, path, fixed) of each template of each host of ``pages`` (page_id, url, html); all pages count."""
+    parts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(partial(_aligned, held_chars=held_chars), _PART)
+    share = F.pmod(F.shiftright("place", 33), F.lit(SHARES)).alias("share")
+    few = parts.groupBy("host", "template", share).applyInArrow(_join, _PART)
     return few.groupBy("host", "template").applyInArrow(_infer, "host string, template string, wrapper string, path string, fixed string")
 
 
-def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per row of ``pages`` (page_id, url, html): the main text, a line per block."""
     of_host = F.to_json(F.collect_list(F.struct("template", "path", "fixed")))
-    known = common.written(wrappers(pages, sample).groupBy(F.col("host").alias("_host")).agg(of_host.alias("wrappers")), "wrappers")
+    known = common.written(wrappers(pages).groupBy(F.col("host").alias("_host")).agg(of_host.alias("wrappers")), "wrappers")
     rows = pages.select("page_id", "url", "html")
     joined = rows.join(known, host(F.col("url")) == F.col("_host"), "left").drop("_host")
     page_id = rows.schema["page_id"].dataType.simpleString()

@@ -91,3 +91,28 @@ def test_each_template_of_a_host_keeps_its_text(spark):
     got = html_wrappers.extract_pages(frame).collect()
     assert {r["page_id"]: r["text"] for r in got} == {k: want for k, (_, want) in made.items()}
     assert html_wrappers.wrappers(frame).count() == 2
+
+
+@pytest.mark.parametrize("held_chars", [html_wrappers.HELD, 1000])
+def test_all_pages_of_a_template_count(spark, held_chars):
+    """One page of two hundred has another notice, so no page's notice is boilerplate; ids that name pages keep the way to the content."""
+    notice = lambda k: "Read our terms." if k != 137 else "Closed today."
+    rows = [
+        (k, "http://x.org/", f"<body><div><a href=x>all of it</a></div><article id=post-{k}><div class=notice>{notice(k)}</div><p>text {k}</p></article></body>")
+        for k in range(200)
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [(r["path"], r["fixed"]) for r in html_wrappers.wrappers(frame, held_chars).collect()] == [('["body", "article"]', "[]")]
+    got = html_wrappers.extract_pages(frame).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"{notice(k)}\ntext {k}" for k in range(200)}
+
+
+def test_wrapper_does_not_grow_with_the_pages():
+    wrapper = None
+    for k in range(1000):
+        made = html_wrappers.fold(html_wrappers.parse(f"<body><article><p id=a{k}>one<b>x</b><i class=c{k}>y</i></p></article></body>"))
+        wrapper = made if wrapper is None else html_wrappers.merge(wrapper, made)
+    assert len(html_wrappers.written_out(wrapper)) < 50 * html_wrappers.KIDS
+    again = html_wrappers.unpacked(html_wrappers.packed(wrapper))
+    assert html_wrappers.written_out(again) == html_wrappers.written_out(wrapper)
+    assert html_wrappers.content_path(again) == ["body", "article"]
