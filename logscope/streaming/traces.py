@@ -2,8 +2,10 @@
 
 Lines come in order, file by file, in batches that may end anywhere. The open record of a file is its state: the place and the
 lines so far. The next head or any line that is no continuation closes it; so does a timer, for files that fall
-silent. A batch hands a file's lines to one task, as their order decides; how many come at once is set at the source
-(``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+silent. Records that begin and end within the lines that a task reads together, a *stretch*, are written there, by any number of
+tasks. Only what may reach over the ends of a stretch goes to the task that holds the state of a file: the
+continuations at its beginning, the line that ends them and the record that is open at its end. How many lines come at once is set at
+the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -57,6 +62,62 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, wai
     yield pd.DataFrame(done, columns=["file", "head_no", "n_lines", "head", "stacktrace"])
 
 
+def _stretches(batch: pa.RecordBatch):
+    """The lines of a batch by file and number; where heads and continuations are; per line where its stretch starts and ends, lines without a gap."""
+    table = pa.Table.from_batches([batch]).sort_by([("file", "ascending"), ("line_no", "ascending")])
+    file = table.column("file").combine_chunks().dictionary_encode()
+    file = np.asarray(file.indices.fill_null(-1))
+    number, kind = np.asarray(table.column("line_no")), np.asarray(table.column("kind"), object)
+    new = np.ones(len(number), bool)
+    new[1:] = (file[1:] != file[:-1]) | (number[1:] != number[:-1] + 1)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(number))
+    which = np.cumsum(new) - 1
+    return table, kind == "head", kind == "at", starts[which], ends[which]
+
+
+def _next(marks: np.ndarray) -> np.ndarray:
+    """For each place the first marked one from there on, or the number of places."""
+    places = np.where(marks, np.arange(len(marks)), len(marks))
+    return np.minimum.accumulate(places[::-1])[::-1]
+
+
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records that a stretch holds whole, with the line that ends them."""
+    for batch in batches:
+        table, head, at, _, ends = _stretches(batch)
+        after = np.append(_next(~at), len(at))
+        first = np.flatnonzero(head)
+        stop = after[first + 1]
+        whole = stop < ends[first]
+        first, stop = first[whole], stop[whole]
+        text = table.column("line").combine_chunks()
+        traces = ["\n".join(text[a + 1 : b].to_pylist()) for a, b in zip(first.tolist(), stop.tolist())]
+        own = table.take(pa.array(first))
+        yield from pa.table({
+            "file": own.column("file"), "head_no": own.column("line_no"), "n_lines": pa.array(stop - first, pa.int64()), "head": own.column("line"),
+            "stacktrace": pa.array(traces, pa.string()),
+        }).combine_chunks().to_batches()
+
+
+def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a stretch that may belong to a record beyond it: those up to its first line that is no continuation, and an open record."""
+    for batch in batches:
+        table, head, at, starts, ends = _stretches(batch)
+        places = np.arange(len(at))
+        lead = np.append(_next(~at), len(at))[starts]
+        # of the lines from the last one on that is no continuation, those of a head
+        last = np.maximum.accumulate(np.where(at, -1, places))
+        last = last[ends - 1] if len(at) else last
+        is_open = (last >= starts) & head[last]
+        keep = (places <= lead) | is_open & (places >= last)
+        # a head whose record ends in the stretch only ends what comes before it
+        done = pa.array(head & ~(is_open & (places == last)))
+        for name, value in (("kind", "other"), ("line", None)):
+            table = table.set_column(table.column_names.index(name), name, pc.if_else(done, pa.scalar(value, pa.string()), table.column(name)))
+        yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
 def _split(records: DataFrame) -> DataFrame:
     regex = REGISTRY["java_stacktrace"].regex
     return records.select(
@@ -80,7 +141,8 @@ def stream_stacktraces(lines: DataFrame, wait_ms: int | None = None) -> DataFram
         return _advance(key, batches, state, wait_ms)
 
     timeout = GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return _split(marked.groupBy("file").applyInPandasWithState(advance, RECORD, _STATE, "append", timeout))
+    over = marked.mapInArrow(_outer, marked.schema).groupBy("file").applyInPandasWithState(advance, RECORD, _STATE, "append", timeout)
+    return _split(marked.mapInArrow(_inner, RECORD).unionByName(over))
 
 
 def open_records(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -157,3 +157,18 @@ def test_timer_closes_a_silent_file(spark, tmp_path):
     assert next(traces._advance(("a",), iter([batch]), state, 500)).empty and state.waits == 500
     done = next(traces._advance(("a",), iter([]), State(state.get, timed_out=True), 500))
     assert done.to_dict("records") == [{"file": "a", "head_no": 1, "n_lines": 2, "head": "E: m", "stacktrace": "\tat x"}]
+
+
+def test_few_lines_go_to_the_state(spark):
+    """Of a long stretch only the lines at its ends may belong to records beyond it."""
+    import pyarrow as pa
+
+    kinds = ["at", "at"] + ["head", "at", "at", "other"] * 2000 + ["head", "at"]
+    batch = pa.RecordBatch.from_pydict({
+        "file": ["a"] * len(kinds), "line_no": list(range(5, 5 + len(kinds))), "line": [None if k == "other" else f"{k} {i}" for i, k in enumerate(kinds)], "kind": kinds,
+    })
+    batch = batch.take(pa.array(random.Random(3).sample(range(len(kinds)), len(kinds))))
+    (outer,), (inner,) = traces._outer(iter([batch])), traces._inner(iter([batch]))
+    assert outer.column("line_no").to_pylist() == [5, 6, 7, 5 + len(kinds) - 2, 5 + len(kinds) - 1]
+    assert outer.column("kind").to_pylist() == ["at", "at", "other", "head", "at"] and outer.column("line")[2].as_py() is None
+    assert inner.num_rows == 2000 and inner.column("n_lines").to_pylist() == [3] * 2000 and inner.column("stacktrace")[0].as_py() == "at 3\nat 4"
