@@ -251,10 +251,12 @@ def similar_documents(
     sets = common.written(made, "sets")
     same = ["h1", "h2"]
     heads = common.written(sets.groupBy(*same).agg(F.min("row").alias("row"), F.min("doc_id").alias("first")), "heads")
+    members = common.written(sets.select("doc_id", *same), "members")
     roots = components(similar_links(sets.join(heads.select("row"), "row", "left_semi"), similarity, blocks))
+    common.freed(sets)  # the shingles are most of what is written here; the stages that follow need the disk
     rooted = heads.join(roots, F.col("row") == F.col("node"), "left").select(*same, "first", F.coalesce("root", "row").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return sets.select("doc_id", *same).join(rooted.join(least, "root").select(*same, "component_id"), same).select("doc_id", "component_id")
+    return members.join(rooted.join(least, "root").select(*same, "component_id"), same).select("doc_id", "component_id")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,3 +189,14 @@ def test_near_copies_among_strangers_with_a_passage(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(cases.frame(spark, rows).repartition(4)).collect()}
     assert sum(got[d] == k for d, k in near.items()) >= 0.95 * len(near)
     assert all(got[k] == k for k in range(400))
+
+
+def test_shingle_sets_are_freed(spark):
+    """The sets of all documents, most of what the near-dedup writes, do not lie beside the stages that follow."""
+    import pathlib
+
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    done = simhash_dedup.similar_documents(cases.frame(spark, cases.odd_rows()))
+    left = {p.name.split("-")[1] for p in set(folder.iterdir()) - before}
+    assert "members" in left and "sets" not in left and done.count() == len(cases.odd_rows())
